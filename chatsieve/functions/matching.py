@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatsieve.functions.patterns import alternation, any_of, nesting_levels
+from chatsieve.functions.text import let
 
 _NONE = F.lit(None).cast("string")
 
@@ -131,25 +132,23 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
                  F.lit(k).alias("edits"), F.array(*map(F.lit, cuts)).alias("pieces"))
         for o, t, n, k, cuts in entries
     ])
-    words = F.split(text, " ")
 
-    def windows(n: Column) -> Column:
-        return F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(words) - n + 1),
-            lambda i: F.array_join(F.slice(words, i, n), " "),
-        ))
-
-    def similarity(term: Column, n: Column, edits: Column) -> Column:
+    def similarity(words: Column, term: Column, n: Column, edits: Column) -> Column:
         def one(w: Column) -> Column:
             longer = F.greatest(F.length(w), F.length(term))
             close = F.abs(F.length(w) - F.length(term)) <= edits
             return F.when(close, F.lit(100.0) * (1 - F.levenshtein(w, term) / longer))
-        return F.array_max(F.transform(windows(n), one))
 
-    near = F.filter(candidates, lambda c: F.exists(c["pieces"], lambda p: F.contains(text, p)))
-    scored = F.transform(near, lambda c: F.struct(
-        similarity(c["term"], c["n"], c["edits"]).alias("similarity"),
-        c["rank"].alias("rank"), c["term"].alias("term")))
-    best = F.array_max(F.filter(scored, lambda s: s["similarity"] >= cutoff))
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        cut = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.array_max(F.transform(cut, one)))
+
+    def best(words: Column) -> Column:
+        near = F.filter(candidates, lambda c: F.exists(c["pieces"], lambda p: F.contains(text, p)))
+        scored = F.transform(near, lambda c: F.struct(
+            similarity(words, c["term"], c["n"], c["edits"]).alias("similarity"),
+            c["rank"].alias("rank"), c["term"].alias("term")))
+        return F.array_max(F.filter(scored, lambda s: s["similarity"] >= cutoff))
+
     any_piece = any_of(p for e in entries for p in e[4])
-    return F.when(text.rlike(any_piece), best)
+    return F.when(text.rlike(any_piece), let(F.split(text, " "), best))

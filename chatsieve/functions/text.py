@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"[^{WS}]+"))
 
 
+def norm_word_count(text: Column) -> Column:
+    """Word count of normalized text, whose only white space is the plain space."""
+    return F.regexp_count(text, F.lit("[^ ]+"))
+
+
 def share_of(text: Column, char_class: str) -> Column:
     """Share of the characters of `text` that fall into the class; 0 for empty text."""
-    hits = F.regexp_count(text, F.lit(f"[{char_class}]"))
+    hits = F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
     return hits / F.greatest(F.length(text), F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def head_of(text: Column, limit: int | None) -> Column:
     return text if limit is None else F.substring(text, 1, limit)
 
@@ -56,16 +68,18 @@ def replace_terms(text: Column, mapping: dict[str, str]) -> Column:
     pattern = rf"(?<![^{TERM_BOUNDARY}])({'|'.join(map(quote, keys))})(?=$|[{TERM_BOUNDARY}])"
     lookup = F.create_map(*[F.lit(x) for k in keys for x in (k, mapping[k])])
     safe = F.translate(text, _OPEN + _CLOSE, "")
-    pieces = F.split(F.regexp_replace(safe, pattern, f"{_OPEN}$1{_CLOSE}"), _OPEN)
-    swapped = F.transform(
-        F.slice(pieces, 2, F.size(pieces)),
-        lambda p: F.concat(
-            F.element_at(lookup, F.substring_index(p, _CLOSE, 1)),
-            F.substring(p, F.instr(p, _CLOSE) + 1, F.length(p)),
-        ),
+
+    def swap(piece: Column) -> Column:
+        return F.concat(
+            F.element_at(lookup, F.substring_index(piece, _CLOSE, 1)),
+            F.substring(piece, F.instr(piece, _CLOSE) + 1, F.length(piece)),
+        )
+
+    return let(
+        F.split(F.regexp_replace(safe, pattern, f"{_OPEN}$1{_CLOSE}"), _OPEN),
+        lambda pieces: F.concat(
+            pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), swap), "")),
     )
-    joined = F.concat(pieces[0], F.array_join(swapped, ""))
-    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def emoji_runs(text: Column, emoji_class: str) -> Column:

@@ -13,17 +13,12 @@ from chatsieve.plans.lexicon import Band, TriageLexicon
 DEFAULTS = TriageConfig()
 
 
-def _texts(items: list[str]) -> Column:
-    return F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
-
-
-def _labelled(label: str, terms: Column) -> Column:
-    return F.transform(terms, lambda t: F.concat(F.lit(f"{label}: "), t))
-
-
 # --- negation ---------------------------------------------------------------
-def negation(text: Column, intent_start: Column, lex: TriageLexicon, cfg: TriageConfig) -> Column:
-    """struct(negated, score, reason), evaluated in list order.
+def negation_scope(
+    df: DataFrame, lex: TriageLexicon, cfg: TriageConfig = DEFAULTS,
+    text: str = "norm_text", intent_start: str = "intent_start",
+) -> DataFrame:
+    """Add negated, negation_score and negation_reason, evaluated in list order.
 
     A resolution phrase settles it (1.0). Then the first post-clause negator in the list
     that occurs (0.8), unless an exception phrase occurs too. Then the first pre-verb
@@ -31,48 +26,41 @@ def negation(text: Column, intent_start: Column, lex: TriageLexicon, cfg: Triage
     ends the search without negation; more than the scope's number of spaces between it
     and the intent moves on to the next negator; else it negates (0.6).
     """
-    resolution = M.first_term(text, lex.terms("resolution"), cfg.match_start_limit, cfg.match_term_limit)
-    excepted = M.occurs(text, lex.terms("negation_exception"))
-    post = F.get(M.contained(text, lex.terms("post_negator")), F.lit(0))
     boundaries = lex.terms("clause_boundary") if cfg.clause_boundaries_enabled else []
+    start = F.col(intent_start)
+    # One scan tells whether any of the terms is there at all; most texts stop here.
+    some = lex.terms("resolution") + lex.terms("post_negator") + lex.terms("pre_negator")
+    df = df.withColumn("_said", F.when(M.occurs(F.col(text), some), F.col(text)))
+    said = F.col("_said")
+    df = df.withColumns({
+        "_resolution": M.first_term(said, lex.terms("resolution"), cfg.match_start_limit, cfg.match_term_limit),
+        "_post": F.get(M.contained(said, lex.terms("post_negator")), F.lit(0)),
+        "_excepted": F.coalesce(M.occurs(said, lex.terms("negation_exception")), F.lit(False)),
+        "_pre_all": M.contained(said, lex.terms("pre_negator")),
+    })
 
     def weigh(negator: Column) -> Column:
-        at = F.instr(text, negator) - 1
-        low, high = F.least(at, intent_start), F.greatest(at, intent_start)
-        between = F.substring(text, low + 1, high - low)
+        at = F.instr(said, negator) - 1
+        between = F.substring(said, F.least(at, start) + 1, F.abs(start - at))
         spaces = F.length(between) - F.length(F.replace(between, F.lit(" "), F.lit("")))
-        out_of_scope = intent_start.isNotNull() & (spaces > cfg.negation_scope_tokens)
-        blocked = excepted | M.occurs(F.substring(text, F.lit(1), at), boundaries)
+        out_of_scope = start.isNotNull() & (spaces > cfg.negation_scope_tokens)
+        blocked = F.col("_excepted") | M.occurs(F.substring(said, F.lit(1), at), boundaries)
         return F.when(blocked, F.lit("")).when(~out_of_scope, negator)
 
-    present = M.contained(text, lex.terms("pre_negator"))
-    pre = F.get(F.filter(F.transform(present, weigh), lambda r: r.isNotNull()), F.lit(0))
-
-    def verdict(score: float, label: str, term: Column) -> Column:
-        return F.struct(F.lit(True).alias("negated"), F.lit(score).alias("score"),
-                        F.concat(F.lit(f"{label}: "), term).alias("reason"))
-
-    none = F.struct(F.lit(False).alias("negated"), F.lit(0.0).alias("score"),
-                    F.lit(None).cast("string").alias("reason"))
-    return (
-        F.when(text.isNull(), None)
-        .when(resolution.isNotNull(), verdict(1.0, "resolution_phrase", resolution))
-        .when(post.isNotNull(), F.when(excepted, none).otherwise(verdict(0.8, "post_clause_negator", post)))
-        .when(pre != "", verdict(0.6, "pre_verb_negator", pre))
-        .otherwise(none)
-    )
-
-
-def negation_scope(
-    df: DataFrame, lex: TriageLexicon, cfg: TriageConfig = DEFAULTS,
-    text: str = "norm_text", intent_start: str = "intent_start",
-) -> DataFrame:
-    """Add negated, negation_score and negation_reason."""
-    found = df.withColumn("_neg", negation(F.col(text), F.col(intent_start), lex, cfg))
-    return found.withColumns({
-        "negated": F.col("_neg.negated"), "negation_score": F.col("_neg.score"),
-        "negation_reason": F.col("_neg.reason"),
-    }).drop("_neg")
+    judged = F.filter(F.transform("_pre_all", weigh), lambda r: r.isNotNull())
+    df = df.withColumn("_pre", F.get(judged, F.lit(0)))
+    is_post = F.col("_post").isNotNull() & F.col("_resolution").isNull()
+    score = (
+        F.when(F.col("_resolution").isNotNull(), 1.0)
+        .when(is_post, F.when(F.col("_excepted"), 0.0).otherwise(0.8))
+        .when(F.col("_pre") != "", 0.6).otherwise(0.0))
+    df = df.withColumn("negation_score", F.when(F.col(text).isNotNull(), score))
+    reason = (
+        F.when(F.col("negation_score") == 1.0, F.concat(F.lit("resolution_phrase: "), "_resolution"))
+        .when(F.col("negation_score") == 0.8, F.concat(F.lit("post_clause_negator: "), "_post"))
+        .when(F.col("negation_score") == 0.6, F.concat(F.lit("pre_verb_negator: "), "_pre")))
+    return df.withColumns({"negated": F.col("negation_score") > 0, "negation_reason": reason}).drop(
+        "_said", "_resolution", "_post", "_excepted", "_pre_all", "_pre")
 
 
 # --- advertisement ----------------------------------------------------------
@@ -132,28 +120,28 @@ def ad_score(
     """Add advert_score (0..1) and advert_reasons."""
     # Most texts hold no ad term at all: one scan decides that before the per-kind work.
     suspect = F.when(M.occurs(F.col(text), ad_terms(lex)), F.col(text))
-    out = df.withColumn("_hits", F.when(suspect.isNotNull(), ad_hits(suspect, lex)))
-    out = out.withColumn("_steps", ad_steps(F.col("_hits"), cfg))
-    return out.withColumns({
+    df = df.withColumn("_suspect", suspect)
+    df = df.withColumn("_hits", F.when(F.col("_suspect").isNotNull(), ad_hits(F.col("_suspect"), lex)))
+    df = df.withColumn("_steps", ad_steps(F.col("_hits"), cfg))
+    return df.withColumns({
         "advert_score": F.when(F.col(text).isNotNull(), F.coalesce(ad_total(F.col("_steps")), F.lit(0.0))),
         "advert_reasons": F.coalesce(
             F.transform("_steps", lambda s: s["reason"]), F.array().cast("array<string>")),
-    }).drop("_hits", "_steps")
+    }).drop("_suspect", "_hits", "_steps")
 
 
-def block_reason(text: Column, lex: TriageLexicon, cfg: TriageConfig) -> Column:
+def ad_block(df: DataFrame, lex: TriageLexicon, cfg: TriageConfig = DEFAULTS, text: str = "norm_text") -> DataFrame:
+    """Add block_reason: advertisement, education_provider, advertisement_emoji or null."""
     def hit(kind: str) -> Column:
-        return M.first_term(text, lex.terms(kind), cfg.match_start_limit, cfg.match_term_limit).isNotNull()
-    return (
+        if cfg.match_start_limit is None and cfg.match_term_limit is None:
+            return M.occurs(F.col(text), lex.terms(kind))
+        return M.first_term(
+            F.col(text), lex.terms(kind), cfg.match_start_limit, cfg.match_term_limit).isNotNull()
+
+    return df.withColumn("block_reason", (
         F.when(hit("advertisement"), "advertisement")
         .when(hit("education"), "education_provider")
-        .when(M.occurs(text, lex.terms("ad_emoji")), "advertisement_emoji")
-    )
-
-
-def ad_block(df: DataFrame, lex: TriageLexicon, cfg: TriageConfig = DEFAULTS, text: str = "norm_text") -> DataFrame:
-    """Add block_reason: advertisement, education_provider, advertisement_emoji or null."""
-    return df.withColumn("block_reason", block_reason(F.col(text), lex, cfg))
+        .when(M.occurs(F.col(text), lex.terms("ad_emoji")), "advertisement_emoji")))
 
 
 # --- distance and length ----------------------------------------------------

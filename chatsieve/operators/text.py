@@ -62,15 +62,14 @@ def text_signals(
     })
 
 
-def prefilter_reason(text: Column, profile: ScriptProfile, cfg: TriageConfig) -> Column:
-    words = X.word_count(text)
-    emoji = X.emoji_runs(X.head_of(text, cfg.signal_char_limit), cfg.emoji_class)
+def prefilter_reason(text: Column, words: Column, emoji: Column, ratio: Column, cfg: TriageConfig) -> Column:
+    """First failing check on normalized text, given its counts; null when it passes."""
     return (
         F.when(text.isNull(), None)
-        .when(F.length(X.strip_ws(text)) < 2, "empty_or_too_short")
+        .when(F.length(F.trim(text)) < 2, "empty_or_too_short")
         .when(words < cfg.min_words, F.concat(F.lit("too_few_words_"), words.cast("string")))
         .when(emoji > cfg.max_emojis, F.concat(F.lit("too_many_emojis_"), emoji.cast("string")))
-        .when(X.share_of(text, profile.block) < cfg.min_block_ratio, "low_arabic_ratio")
+        .when(ratio < cfg.min_block_ratio, "low_arabic_ratio")
     )
 
 
@@ -80,7 +79,13 @@ def prefilter(
 ) -> DataFrame:
     """Add `prefilter_reason`, the first failing check on the normalized text, or null."""
     cfg = TriageConfig(min_words=min_words, max_emojis=max_emojis, min_block_ratio=min_ratio)
-    return df.withColumn("prefilter_reason", prefilter_reason(F.col(text), profile, cfg))
+    counted = df.withColumns({
+        "_words": X.norm_word_count(F.col(text)),
+        "_emoji": X.emoji_runs(X.head_of(F.col(text), cfg.signal_char_limit), cfg.emoji_class),
+        "_block": X.share_of(F.col(text), profile.block),
+    })
+    reason = prefilter_reason(F.col(text), F.col("_words"), F.col("_emoji"), F.col("_block"), cfg)
+    return counted.withColumn("prefilter_reason", reason).drop("_words", "_emoji", "_block")
 
 
 def is_script(ratio: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.config import DEFAULT_TERM_WEIGHT, LEXICON_CATEGORIES, TEMPLATE_PATTERNS
 from chatsieve.operators.bounds import collect_bounded
-from chatsieve.operators.templates import expand_templates
-from chatsieve.sources import lexicon as source
 
 # List paths (`*` is one path part) of each match set.
 MATCH_SETS: dict[str, tuple[str, ...]] = {
@@ -101,45 +102,63 @@ def parse_bands(rows: Iterable[tuple[str, float | None]], open_key: str | None =
     return tuple(bands)
 
 
-def compile_documents(docs: DataFrame, weights: DataFrame | None = None) -> TriageLexicon:
-    """Match sets, bands and dialect map of one lexicon document, sizes checked."""
-    lexicon = source.lexicon_from_documents(docs)
-    patterns = lexicon.filter(F.col("category") == "template_patterns").select(F.col("term").alias("pattern"))
-    slots = lexicon.filter(F.col("category") == "templates").select(F.col("grp").alias("tag"), "term")
-
-    def numbers(root: str, leaf: str | None) -> list[tuple[str, float | None]]:
-        rows = collect_bounded(source.numbers_from_documents(docs, root, leaf), root)
-        return [(r["key"], r["value"]) for r in sorted(rows, key=lambda r: r["pos"])]
-
-    dialect = collect_bounded(source.dialect_from_documents(docs), "dialect map")
-    distance = [(k, 0.15 if v is None and k == "16_plus" else 1.0 if v is None else v)
-                for k, v in numbers("distance_scoring_config.thresholds", "score_multiplier")]
-    return compile_lexicon(
-        lexicon, expand_templates(slots, patterns), weights,
-        distance_bands=parse_bands(distance, "16_plus"),
-        length_bands=parse_bands(numbers("length_modifier", None)),
-        dialect={r["variant"]: r["canonical"] for r in dialect},
-    )
+def compile_json(text: str, weights: DataFrame | None = None) -> TriageLexicon:
+    """Match sets, bands and dialect map of one lexicon document held on the driver.
+
+    The table form of the same document comes from `sources.lexicon`.
+    """
+    doc = {k: v for k, v in json.loads(text).items() if k in LEXICON_CATEGORIES}
+    rows: list[tuple[str, str, float]] = []
+
+    def visit(node, path: str, hint) -> None:
+        if isinstance(node, list):
+            if all(isinstance(x, str) for x in node):
+                rows.extend((path, x, hint) for x in node)
+        elif isinstance(node, dict):
+            own = node.get("_weight_hint", DEFAULT_TERM_WEIGHT)
+            for key, child in node.items():
+                if not key.startswith("_"):
+                    visit(child, f"{path}.{key}" if path else key, own)
+
+    visit(doc, "", DEFAULT_TERM_WEIGHT)
+    slots = {tag: [t for p, t, _ in rows if p == f"templates.{tag}"] for tag in
+             ("need", "person", "action", "expert", "availability")}
+    wanted = [" ".join(t.split()) for p, t, _ in rows if p == "template_patterns"]
+    phrases = sorted({
+        " ".join(words) for pattern in wanted if pattern in TEMPLATE_PATTERNS
+        for words in product(*(slots[tag.strip("<>")] for tag in pattern.split(" ")))})
+    thresholds = doc.get("distance_scoring_config", {}).get("thresholds", {})
+    distance = [(k, float(v.get("score_multiplier", 0.15 if k == "16_plus" else 1.0)))
+                for k, v in thresholds.items() if isinstance(v, dict)]
+    lengths = [(k, float(v)) for k, v in doc.get("length_modifier", {}).items()]
+    dialect = {k: v for region in doc.get("dialect_mapping", {}).values() if isinstance(region, dict)
+               for k, v in region.items()}
+    return _build(rows, phrases, weights, distance_bands=parse_bands(distance, "16_plus"),
+                  length_bands=parse_bands(lengths), dialect=dialect)
 
 
 def compile_lexicon(
     lexicon: DataFrame, boost_phrases: DataFrame | None = None, weights: DataFrame | None = None, **parts
 ) -> TriageLexicon:
+    """Match sets of a lexicon table (and a table of boost phrases), sizes checked."""
     rows = collect_bounded(lexicon.select("path", "term", "weight", "pos", "ord"), "lexicon")
     rows.sort(key=lambda r: (r["ord"], r["pos"]))
-    sets: dict[str, list[str]] = {}
-    for name, paths in MATCH_SETS.items():
-        picked = [r["term"] for r in rows if any(
-            fnmatchcase(r["path"], p) and r["path"].count(".") == p.count(".") for p in paths)]
-        sets[name] = [t for t in dict.fromkeys(picked) if t]
-    boost = [] if boost_phrases is None else sorted(
+    phrases = [] if boost_phrases is None else sorted(
         r["phrase"] for r in collect_bounded(boost_phrases, "boost phrases"))
+    return _build([(r["path"], r["term"], r["weight"]) for r in rows], phrases, weights, **parts)
+
+
+def _build(
+    rows: list[tuple[str, str, float]], boost: list[str], weights: DataFrame | None, **parts
+) -> TriageLexicon:
+    def listed(path: str, patterns: tuple[str, ...]) -> bool:
+        return any(fnmatchcase(path, p) and path.count(".") == p.count(".") for p in patterns)
+
+    sets = {name: [t for t in dict.fromkeys(term for path, term, _ in rows if listed(path, paths)) if t]
+            for name, paths in MATCH_SETS.items()}
     sets["boost"] = list(dict.fromkeys(sets["boost_base"] + boost))
-    learned = {"intent": {}, "academic": {}}
-    for root, kind in (("intent_verbs.", "intent"), ("academic_objects.", "academic")):
-        for r in rows:
-            if r["path"].startswith(root) and r["path"].endswith(".terms"):
-                learned[kind][r["term"]] = r["weight"]
+    learned = {kind: {term: weight for path, term, weight in rows if listed(path, MATCH_SETS[name])}
+               for kind, name in (("intent", "intent"), ("academic", "object"))}
     if weights is not None:
         for r in collect_bounded(weights.select("kind", "term", "weight"), "term weights"):
             learned[r["kind"]][r["term"]] = r["weight"]

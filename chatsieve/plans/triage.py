@@ -16,9 +16,7 @@ from chatsieve.functions import matching as M
 from chatsieve.functions import text as X
 from chatsieve.operators.matching import lookup
 from chatsieve.operators.ordered import mark_first
-from chatsieve.operators.scoring import (
-    ad_hits, ad_steps, ad_terms, ad_total, block_reason, first_band, negation, proximity,
-)
+from chatsieve.operators.scoring import ad_block, ad_score, first_band, negation_scope, proximity
 from chatsieve.operators.text import is_script, prefilter_reason, spam_value, validity_reason
 from chatsieve.plans.lexicon import TriageLexicon
 
@@ -56,29 +54,31 @@ def _clean(df: DataFrame, cfg: TriageConfig, profile: ScriptProfile, lex: Triage
     trimmed = df.withColumn("_trimmed", X.strip_ws(F.col("_raw")))
     checked = trimmed.withColumn("_invalid", validity_reason(F.col("_raw"), F.col("_trimmed"), cfg))
     norm = X.normalize(F.when(F.col("_invalid").isNull(), F.col("_trimmed")), profile)
+    cleaned = checked.withColumn("_norm", norm).drop("_raw", "_trimmed")
     if lex.dialect:
-        norm = X.replace_terms(X.head_of(norm, cfg.signal_char_limit), lex.dialect)
-    return checked.withColumn("_norm", norm).drop("_raw", "_trimmed")
+        cleaned = cleaned.withColumn(
+            "_norm", X.replace_terms(X.head_of(F.col("_norm"), cfg.signal_char_limit), lex.dialect))
+    return cleaned
 
 
 def _cheap_gates(df: DataFrame, carried: list[str], cfg: TriageConfig, profile: ScriptProfile) -> DataFrame:
     norm = F.col("_norm")
-    pre = prefilter_reason(norm, profile, cfg) if cfg.prefilter_enabled else F.lit(None).cast("string")
-    df = df.withColumn("_early", F.coalesce("_invalid", pre))
-    passed = F.when(F.col("_early").isNull(), norm)
-    df = df.select(*carried, "_early", passed.alias("_t"))
+    seen = X.head_of(norm, cfg.signal_char_limit)
+    df = df.withColumns({
+        "_words": X.norm_word_count(norm),
+        "_emoji": X.emoji_runs(seen, cfg.emoji_class),
+        "_block_ratio": X.share_of(norm, profile.block),
+    })
+    pre = prefilter_reason(norm, F.col("_words"), F.col("_emoji"), F.col("_block_ratio"), cfg)
+    early = F.coalesce("_invalid", pre) if cfg.prefilter_enabled else F.col("_invalid")
+    df = df.withColumn("_early", early)
+    df = df.withColumn("_t", F.when(F.col("_early").isNull(), norm))
+    t, seen = F.col("_t"), X.head_of(F.col("_t"), cfg.signal_char_limit)
     return df.withColumns({
         "_content": F.sha2("_t", 256),
-        "_ratio": X.share_of(F.col("_t"), profile.letters),
-        "_words": X.word_count(F.col("_t")),
-        "_spam": _spam(F.col("_t"), cfg),
-    })
-
-
-def _spam(text: Column, cfg: TriageConfig) -> Column:
-    seen = X.head_of(text, cfg.signal_char_limit)
-    return spam_value(
-        X.has_phone(seen), X.url_count(seen), X.emoji_runs(seen, cfg.emoji_class), X.has_repeat(seen))
+        "_ratio": F.col("_block_ratio") if profile.letters == profile.block else X.share_of(t, profile.letters),
+        "_spam": spam_value(X.has_phone(seen), X.url_count(seen), F.col("_emoji"), X.has_repeat(seen)),
+    }).drop("_norm", "_invalid", "_emoji", "_block_ratio")
 
 
 def _matches(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageConfig) -> DataFrame:
@@ -109,41 +109,43 @@ def _matches(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageC
         "_object": M.first_term(t, lex.terms("context"), *bounds),
         "_n_context": M.count_all(t, lex.terms("context"), *bounds),
         "_grammar": occurs("subject", t) | occurs("action", t),
-        "_suspect": F.when(M.occurs(t, ad_terms(lex)), t) if cfg.ad_detection_enabled else F.lit(None).cast("string"),
     })
-    unmatched = F.when(F.col("_exact").isNull(), t)
-    fuzzy = M.fuzzy_term(unmatched, lex.terms("intent"), cfg.fuzzy_cutoff)
-    df = df.withColumn("_fuzzy", fuzzy["term"] if cfg.fuzzy_enabled else F.lit(None).cast("string"))
-    df = df.withColumns({
+    if cfg.fuzzy_enabled:
+        df = df.withColumn("_open", F.when(F.col("_exact").isNull(), t))
+        df = df.withColumn("_fuzzy", M.fuzzy_term(F.col("_open"), lex.terms("intent"), cfg.fuzzy_cutoff)["term"])
+    else:
+        df = df.withColumn("_fuzzy", F.lit(None).cast("string"))
+    return df.withColumns({
         "_intent": F.coalesce("_exact", "_fuzzy"),
         "_intent_start": F.when(F.col("_exact").isNotNull(), M.start_of(t, F.col("_exact")))
         .when(F.col("_fuzzy").isNotNull(), 0),
         "_object_start": M.start_of(t, F.col("_object")),
-        "_hits": F.when(F.col("_suspect").isNotNull(), ad_hits(F.col("_suspect"), lex)),
     })
-    return df
 
 
 def _scores(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageConfig) -> DataFrame:
     t = F.col("_t")
+    if cfg.negation_enabled:
+        df = negation_scope(df, lex, cfg, "_t", "_intent_start")
+    else:
+        df = df.withColumns({"negated": F.lit(False), "negation_score": F.lit(0.0),
+                             "negation_reason": F.lit(None).cast("string")})
+    if cfg.ad_detection_enabled:
+        df = ad_score(df, lex, cfg, "_t")
+    else:
+        df = df.withColumns({"advert_score": F.lit(0.0), "advert_reasons": _NO_TEXTS})
+    df = ad_block(df, lex, cfg, "_t")
     exact_weight = lookup(F.col("_exact"), lex.intent_weights, DEFAULT_TERM_WEIGHT)
     fuzzy_weight = lookup(F.col("_fuzzy"), lex.intent_weights, DEFAULT_TERM_WEIGHT) * cfg.fuzzy_discount
-    no_negation = F.struct(F.lit(False).alias("negated"), F.lit(0.0).alias("score"),
-                           F.lit(None).cast("string").alias("reason"))
     df = df.withColumns({
         "_w_intent": F.coalesce(exact_weight, fuzzy_weight, F.lit(0.0)),
         "_w_object": F.coalesce(lookup(F.col("_object"), lex.object_weights, DEFAULT_TERM_WEIGHT), F.lit(0.0)),
-        "_neg": negation(t, F.col("_intent_start"), lex, cfg) if cfg.negation_enabled else no_negation,
-        "_steps": ad_steps(F.col("_hits"), cfg),
         "_keyword": F.coalesce("_intent", "_indirect"),
         "_length": first_band(F.col("_words"), lex.length_bands, F.lit(0.9)),
         "_distance": proximity(F.col("_intent_start"), F.col("_object_start"), F.col("_intent").isNotNull(),
                                F.length(t), lex.distance_bands),
-        "_block": block_reason(F.col("_suspect") if cfg.ad_detection_enabled else t, lex, cfg)
-        if cfg.ad_detection_enabled and not _extra_block_terms(lex) else block_reason(t, lex, cfg),
+        "_ad": F.coalesce("advert_score", F.lit(0.0)),
     })
-    df = df.withColumn("_ad", F.coalesce(ad_total(F.col("_steps")), F.lit(0.0)))
-    df = df.withColumn("_ad_reasons", F.coalesce(F.transform("_steps", lambda s: s["reason"]), _NO_TEXTS))
     legacy = (
         F.when(F.col("_intent").isNotNull(), cfg.score_direct).otherwise(0)
         + F.col("_boosted")
@@ -166,27 +168,23 @@ def _scores(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageCo
     df = df.withColumn("_weighted", weighted if cfg.distance_scoring_enabled else F.lit(None).cast("double"))
     base = F.coalesce((F.col("_legacy") / 100.0 + F.col("_weighted")) / 2.0, F.col("_legacy") / 100.0)
     conf = base * F.col("_length")
-    conf = F.when(F.col("_neg.negated"), conf * (1 - F.col("_neg.score") * 0.7)).otherwise(conf)
+    conf = F.when(F.col("negated"), conf * (1 - F.col("negation_score") * 0.7)).otherwise(conf)
     conf = conf * (1 - F.col("_ad") * 0.9)
     conf = F.when(F.col("_boost").isNotNull(), conf + 0.25).otherwise(conf)
     return df.withColumn("_conf", F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
 
 
-def _extra_block_terms(lex: TriageLexicon) -> bool:
-    known = set(ad_terms(lex))
-    return any(t not in known for k in ("advertisement", "education", "ad_emoji") for t in lex.terms(k))
-
-
 def _decide(
     df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageConfig, profile: ScriptProfile
 ) -> DataFrame:
-    neg, ad = F.col("_neg"), F.col("_ad")
+    negated, neg_score, neg_reason = F.col("negated"), F.col("negation_score"), F.col("negation_reason")
+    ad = F.col("_ad")
     # How the row ended: an early or later gate, or the scored path.
     df = df.withColumn("_stop", F.coalesce(
         "_early", "_gate",
-        F.when(neg["negated"] & (neg["score"] > 0.7), F.lit("<negation>"))
+        F.when(negated & (neg_score > 0.7), F.lit("<negation>"))
         .when(ad > 0.6, F.lit("<ad>"))
-        .when(F.col("_block").isNotNull(), F.lit("<block>"))
+        .when(F.col("block_reason").isNotNull(), F.lit("<block>"))
         .when(F.col("_keyword").isNull(), F.lit("<no_keyword>")),
     ))
     stop = F.col("_stop")
@@ -200,10 +198,10 @@ def _decide(
         .when(F.col("_conf") >= cfg.review_threshold, "review")
         .otherwise("ignore")
     )
-    gate_conf = F.when(stop == "<negation>", 1.0 - neg["score"]).when(stop == "<ad>", 1.0 - ad).otherwise(0.0)
+    gate_conf = F.when(stop == "<negation>", 1.0 - neg_score).when(stop == "<ad>", 1.0 - ad).otherwise(0.0)
     end_reason = (
-        F.when(stop == "<negation>", neg["reason"]).when(stop == "<ad>", F.get("_ad_reasons", F.lit(0)))
-        .when(stop == "<block>", F.col("_block")).when(stop == "<no_keyword>", "no_keyword").otherwise(stop))
+        F.when(stop == "<negation>", neg_reason).when(stop == "<ad>", F.get("advert_reasons", F.lit(0)))
+        .when(stop == "<block>", F.col("block_reason")).when(stop == "<no_keyword>", "no_keyword").otherwise(stop))
 
     def tag(label: str, term: str) -> Column:
         one = F.array(F.concat(F.lit(f"{label}: "), F.col(term)))
@@ -212,8 +210,8 @@ def _decide(
     reasons = F.concat(
         tag("intent_verb", "_intent"), tag("academic_object", "_object"), tag("urgency", "_urgency"),
         F.when(F.col("_implicit").isNotNull(), F.array(F.lit("implicit_request"))).otherwise(_NO_TEXTS),
-        F.when(neg["negated"], F.array(neg["reason"])).otherwise(_NO_TEXTS),
-        F.when(ad > 0.3, F.col("_ad_reasons")).otherwise(_NO_TEXTS),
+        F.when(negated, F.array(neg_reason)).otherwise(_NO_TEXTS),
+        F.when(ad > 0.3, F.col("advert_reasons")).otherwise(_NO_TEXTS),
         tag("template_boost", "_boost"),
     )
     detail = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
@@ -252,13 +250,13 @@ def _decide(
             F.when(quiet, 0.5).otherwise(gate_conf)),
         "decision": decision,
         "confidence": when_scored(F.col("_conf"), gate_conf),
-        "reasons": when_scored(reasons, F.when(stop == "<ad>", F.col("_ad_reasons"))
+        "reasons": when_scored(reasons, F.when(stop == "<ad>", F.col("advert_reasons"))
                                .when(quiet, _NO_TEXTS).otherwise(F.array(end_reason))),
         "score_details": F.when(scored, details).otherwise(F.create_map().cast("map<string,double>")),
         "intent_verb": when_scored(F.col("_intent"), none),
         "academic_object": when_scored(F.col("_object"), none),
         "urgency_marker": when_scored(F.col("_urgency"), none),
-        "negation_detected": scored & F.coalesce(neg["negated"], F.lit(False)),
+        "negation_detected": scored & F.coalesce(negated, F.lit(False)),
         "advert_score": when_scored(ad, F.lit(0.0)),
         "key_phrases": when_scored(phrases, _NO_TEXTS),
         "fuzzy_matched": scored & F.col("_fuzzy").isNotNull(),
