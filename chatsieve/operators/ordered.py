@@ -128,3 +128,54 @@ def fold_steps(df: DataFrame, keys: list[str], order: list[str], value: Column)
     return partial.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_chunk", "step"))).alias("rows"), F.sum("n").alias("n")
     ).select(*keys, _fold(F.col("rows")).alias("step"), "n")
+
+
+def carried_values(steps: DataFrame, keys: list[str], start: float) -> DataFrame:
+    """(keys, _chunk, carried): the value with which each chunk begins.
+
+    `steps` has one row per (key, chunk), so a key's list is as long as its chunks are many.
+    """
+    chunks = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "step"))).alias("rows"))
+    empty = F.array().cast("array<struct<chunk:int,carried:double>>")
+    begin = F.struct(F.lit(start).alias("x"), empty.alias("out"))
+    walked = F.aggregate("rows", begin, lambda acc, r: F.struct(
+        apply_step(acc["x"], r["step"]).alias("x"),
+        F.array_append(acc["out"], F.struct(r["_chunk"].alias("chunk"), acc["x"].alias("carried"))).alias("out")))
+    return chunks.select(*keys, F.explode(walked["out"]).alias("c")).select(
+        *keys, F.col("c.chunk").alias("_chunk"), "c.carried")
+
+
+def sessions(chunked: DataFrame, keys: list[str], order: list[str], ts: str, gap_seconds: float) -> DataFrame:
+    """Add `session`: it rises where at least the gap lies between a key's successive rows."""
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    chunk_first = chunked.groupBy(*keys, "_chunk").agg(F.max(ts).alias("_last_ts"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    before = chunk_first.select(*keys, "_chunk", F.lag("_last_ts").over(across).alias("_before"))
+    rows = chunked.join(before, [*keys, "_chunk"])
+    previous = F.coalesce(F.lag(ts).over(within), "_before")
+    seconds = (F.unix_micros(ts) - F.unix_micros(previous)) / 1e6
+    rows = rows.withColumn("_opens", (previous.isNull() | (seconds >= gap_seconds)).cast("int"))
+    opened = rows.groupBy(*keys, "_chunk").agg(F.sum("_opens").alias("_n"))
+    offset = opened.select(*keys, "_chunk", (F.sum("_n").over(across) - F.col("_n")).alias("_offset"))
+    running = F.sum("_opens").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(offset, [*keys, "_chunk"]).withColumn(
+        "session", F.col("_offset") + running).drop("_before", "_opens", "_offset")
+
+
+def newest_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key. A table of counts per key and hour first tells from
+    which hour on they lie, so that older rows never shuffle; the rest is ranked within
+    salts before the winners are ranked against each other."""
+    ts = order[0]
+    hours = df.groupBy(*keys, F.date_trunc("hour", ts).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    newest_first = Window.partitionBy(*keys).orderBy(F.desc("_hour"))
+    later = F.sum("_n").over(newest_first) - F.col("_n")
+    since = hours.withColumn("_later", later).filter(F.col("_later") < n).groupBy(*keys).agg(
+        F.min("_hour").alias("_since"))
+    late = df.join(since, keys).filter(F.col(ts) >= F.col("_since")).drop("_since")
+    late = late.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(shuffle_width(df.sparkSession))))
+    down = [F.desc(c) for c in order]
+    for group in ([*keys, "_salt"], keys):
+        late = late.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*down))).filter(
+            F.col("_rank") <= n)
+    return late.drop("_salt", "_rank")
