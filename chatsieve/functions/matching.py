@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from chatsieve.functions.patterns import alternation, any_of, nesting_levels
 from chatsieve.functions.text import let
 
-_NONE = F.lit(None).cast("string")
-
-
 def _bounded(terms: list[str], max_len: int | None) -> list[str]:
     return [t for t in dict.fromkeys(terms) if t and (max_len is None or len(t) <= max_len)]
 
@@ -33,7 +30,7 @@ def first_term(
     """Term with the leftmost start, the shortest one there; null when none occurs."""
     pattern = any_of(_bounded(terms, term_limit))
     if pattern is None:
-        return _NONE
+        return F.lit(None).cast("string")
     found = F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
     if start_limit is None:
         return found

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.operators.bounds import broadcast_if_small
 from chatsieve.operators.dedup import first_per_key
 
-_RANK = [F.desc("priority"), F.desc("created_at"), F.desc("id")]
+def _rank() -> list[Column]:
+    return [F.desc("priority"), F.desc("created_at"), F.desc("id")]
 
 
 def cap_backlog(df: DataFrame, capacity: int = 1000) -> DataFrame:
     """The rows kept when the backlog is cut to its capacity: the lowest priority goes
     first, and within a priority the oldest."""
-    return df.orderBy(*_RANK).limit(capacity)
+    return df.orderBy(*_rank()).limit(capacity)
 
 
 def evicted_backlog(df: DataFrame, capacity: int = 1000) -> DataFrame:

@@ -35,7 +35,8 @@ def _chunk_window() -> Window:
 
 
 def zscore_anomalies(
-    samples: DataFrame, window: int = 2000, z: float = 3.5, min_samples: int = 30
+    samples: DataFrame, window: int = 2000, z: float = 3.5, min_samples: int = 30,
+    digits: int | None = 3,
 ) -> DataFrame:
     """Add mean, std, z_score, sample_size and is_anomaly of each sample against the up to
     `window` samples before it. Sums run along and are subtracted, so the cost per row does
@@ -67,10 +68,11 @@ def zscore_anomalies(
     df = df.withColumn("_std", F.when(enough & ~constant, spread).otherwise(0.0))
     df = df.withColumn("_z", F.when(
         F.col("_std") > 0, (F.col("_d") - F.col("_m")) / F.col("_std")).otherwise(0.0))
+    shown = lambda c: c if digits is None else F.round(c, digits)
     return df.filter(~F.col("_halo")).select(
         "key", *_ORDER, "value",
-        F.round(F.when(enough, F.col("_c") + F.col("_m")).otherwise(F.col("value")), 3).alias("mean"),
-        F.round("_std", 3).alias("std"), F.round("_z", 3).alias("z_score"), "sample_size",
+        shown(F.when(enough, F.col("_c") + F.col("_m")).otherwise(F.col("value"))).alias("mean"),
+        shown(F.col("_std")).alias("std"), shown(F.col("_z")).alias("z_score"), "sample_size",
         (F.abs("_z") >= z).alias("is_anomaly"))
 
 

@@ -105,7 +105,8 @@ def ad_steps(hits: Column, cfg: TriageConfig) -> Column:
 
 def ad_total(steps: Column) -> Column:
     """The steps added up one by one (so that rounding is that of a running sum), at most 1."""
-    return F.least(F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["step"]), F.lit(1.0))
+    total = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + s["step"])
+    return F.when(total < 1.0, total).when(total.isNotNull(), 1.0)
 
 
 def ad_terms(lex: TriageLexicon) -> list[str]:

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from chatsieve.operators.bounds import broadcast_if_small
 from chatsieve.operators.profiles import with_profile
 
-_NEWEST = [F.desc("ts"), F.desc("message_hash")]
+def _newest() -> list[Column]:
+    return [F.desc("ts"), F.desc("message_hash")]
 
 
 def _page(df: DataFrame, limit: int, offset: int) -> DataFrame:
-    ordered = df.orderBy(*_NEWEST)
+    ordered = df.orderBy(*_newest())
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
@@ -40,7 +41,7 @@ def search_messages(
         df = df.filter(F.col("chat_id") == chat_id)
     if sender_id:
         df = df.filter(F.col("sender_id") == sender_id)
-    return with_profile(_page(df, limit, offset), contacts).orderBy(*_NEWEST)
+    return with_profile(_page(df, limit, offset), contacts).orderBy(*_newest())
 
 
 def filter_alerts(
@@ -65,7 +66,7 @@ def filter_alerts(
 def search_alerts(
     alerts: DataFrame, contacts: DataFrame, limit: int = 50, offset: int = 0, **filters
 ) -> DataFrame:
-    return with_profile(_page(filter_alerts(alerts, **filters), limit, offset), contacts).orderBy(*_NEWEST)
+    return with_profile(_page(filter_alerts(alerts, **filters), limit, offset), contacts).orderBy(*_newest())
 
 
 def alerts_in_category(alerts: DataFrame, lexicon: DataFrame, category: str | None) -> DataFrame:
@@ -141,4 +142,4 @@ def activity_stats(messages: DataFrame, alerts: DataFrame, now: str) -> DataFram
 
 def recent(df: DataFrame, contacts: DataFrame, n: int = 10) -> DataFrame:
     """The newest n alerts or messages with their sender's profile."""
-    return with_profile(_page(df, n, 0), contacts).orderBy(*_NEWEST)
+    return with_profile(_page(df, n, 0), contacts).orderBy(*_newest())

@@ -101,8 +101,8 @@ def detect_script(df: DataFrame, profile: ScriptProfile = ARABIC, text: str = "n
 def spam_value(phone: Column, urls: Column, emoji: Column, repeat: Column) -> Column:
     score = (
         F.when(phone, 0.3).otherwise(0.0)
-        + F.least(F.lit(0.4), urls * 0.2)
-        + F.least(F.lit(0.2), emoji * 0.04)
+        + F.least(F.lit(0.4), F.coalesce(urls, F.lit(0)) * 0.2)
+        + F.least(F.lit(0.2), F.coalesce(emoji, F.lit(0)) * 0.04)
         + F.when(repeat, 0.15).otherwise(0.0)
     )
     return F.least(score, F.lit(1.0))

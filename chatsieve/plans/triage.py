@@ -26,7 +26,10 @@ RESULT_COLUMNS = (
     "reasons", "score_details", "intent_verb", "academic_object", "urgency_marker", "negation_detected",
     "advert_score", "key_phrases", "fuzzy_matched",
 )
-_NO_TEXTS = F.array().cast("array<string>")
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def triage(
@@ -133,7 +136,7 @@ def _scores(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageCo
     if cfg.ad_detection_enabled:
         df = ad_score(df, lex, cfg, "_t")
     else:
-        df = df.withColumns({"advert_score": F.lit(0.0), "advert_reasons": _NO_TEXTS})
+        df = df.withColumns({"advert_score": F.lit(0.0), "advert_reasons": _no_texts()})
     df = ad_block(df, lex, cfg, "_t")
     exact_weight = lookup(F.col("_exact"), lex.intent_weights, DEFAULT_TERM_WEIGHT)
     fuzzy_weight = lookup(F.col("_fuzzy"), lex.intent_weights, DEFAULT_TERM_WEIGHT) * cfg.fuzzy_discount
@@ -205,13 +208,13 @@ def _decide(
 
     def tag(label: str, term: str) -> Column:
         one = F.array(F.concat(F.lit(f"{label}: "), F.col(term)))
-        return F.when(F.col(term).isNotNull(), one).otherwise(_NO_TEXTS)
+        return F.when(F.col(term).isNotNull(), one).otherwise(_no_texts())
 
     reasons = F.concat(
         tag("intent_verb", "_intent"), tag("academic_object", "_object"), tag("urgency", "_urgency"),
-        F.when(F.col("_implicit").isNotNull(), F.array(F.lit("implicit_request"))).otherwise(_NO_TEXTS),
-        F.when(negated, F.array(neg_reason)).otherwise(_NO_TEXTS),
-        F.when(ad > 0.3, F.col("advert_reasons")).otherwise(_NO_TEXTS),
+        F.when(F.col("_implicit").isNotNull(), F.array(F.lit("implicit_request"))).otherwise(_no_texts()),
+        F.when(negated, F.array(neg_reason)).otherwise(_no_texts()),
+        F.when(ad > 0.3, F.col("advert_reasons")).otherwise(_no_texts()),
         tag("template_boost", "_boost"),
     )
     detail = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
@@ -251,14 +254,14 @@ def _decide(
         "decision": decision,
         "confidence": when_scored(F.col("_conf"), gate_conf),
         "reasons": when_scored(reasons, F.when(stop == "<ad>", F.col("advert_reasons"))
-                               .when(quiet, _NO_TEXTS).otherwise(F.array(end_reason))),
+                               .when(quiet, _no_texts()).otherwise(F.array(end_reason))),
         "score_details": F.when(scored, details).otherwise(F.create_map().cast("map<string,double>")),
         "intent_verb": when_scored(F.col("_intent"), none),
         "academic_object": when_scored(F.col("_object"), none),
         "urgency_marker": when_scored(F.col("_urgency"), none),
         "negation_detected": scored & F.coalesce(negated, F.lit(False)),
         "advert_score": when_scored(ad, F.lit(0.0)),
-        "key_phrases": when_scored(phrases, _NO_TEXTS),
+        "key_phrases": when_scored(phrases, _no_texts()),
         "fuzzy_matched": scored & F.col("_fuzzy").isNotNull(),
     }
     return df.select(*carried, *[c.alias(n) for n, c in columns.items()],
@@ -283,7 +286,7 @@ def _mark_duplicates(results: DataFrame, carried: list[str], order: list[str]) -
         "reasons": F.array(F.lit("duplicate")), "score_details": F.create_map().cast("map<string,double>"),
         "intent_verb": F.lit(None).cast("string"), "academic_object": F.lit(None).cast("string"),
         "urgency_marker": F.lit(None).cast("string"), "negation_detected": F.lit(False),
-        "advert_score": F.lit(0.0), "key_phrases": _NO_TEXTS, "fuzzy_matched": F.lit(False),
+        "advert_score": F.lit(0.0), "key_phrases": _no_texts(), "fuzzy_matched": F.lit(False),
     }
     final = marked.withColumns({n: F.when(repeat, v).otherwise(F.col(n)) for n, v in empty.items()})
     return final.select(*carried, *RESULT_COLUMNS)
