@@ -134,15 +134,16 @@ def first_hit(text: str, terms: list[str]) -> str:
     return f"list_extract(list_sort(list_filter({found}, lambda h: h.p >= 0)), 1)"
 
 
-def n_hits(chars: str, text: str, terms: list[str]) -> str:
-    """Occurrences of all terms, overlapping ones included."""
-    parts = []
-    for t in terms:
-        word = "[" + ", ".join(q(c) for c in t) + "]"
-        parts.append(
-            f"CASE WHEN contains({text}, {q(t)}) THEN len(list_filter(range(0, len({chars}) - {len(t) - 1}), "
-            f"lambda i: {chars}[i+1:i+{len(t)}] = {word})) ELSE 0 END")
-    return "(" + " + ".join(parts) + ")"
+def occurrence_ctes(source: str, terms: list[str]) -> dict[str, str]:
+    """occ(message_id, term, start): every start compared with every term."""
+    longest = max(map(len, terms))
+    window = " || ".join(["ch", *(f"coalesce(lead(ch, {k}) OVER w, '')" for k in range(1, longest))])
+    return {
+        "ch": f"""SELECT message_id, unnest(c) AS ch, unnest(range(0, len(c))) AS i
+            FROM (SELECT message_id, string_split(norm, '') AS c FROM {source})""",
+        "win": f"SELECT message_id, i, {window} AS w FROM ch WINDOW w AS (PARTITION BY message_id ORDER BY i)",
+        "occ": f"SELECT message_id, term, i AS start FROM win JOIN {values(terms)} ON starts_with(w, term)",
+    }
 
 
 def kept(text: str, terms: list[str]) -> str:
@@ -230,6 +231,11 @@ def starts_sql(lex, source: str) -> str:
         FROM {source})"""
 
 
+def ascii(text: str) -> str:
+    """The engine's edit distance counts bytes: give accented letters one byte each."""
+    return f"translate({text}, 'àâäáãçéèêëíîïñóôöúùûüßœ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
 def fuzzy_sql(lex, source: str) -> dict[str, str]:
     """Best near match by comparing every word window with every term."""
     terms = list(lex.intent_weights)
@@ -243,7 +249,7 @@ def fuzzy_sql(lex, source: str) -> dict[str, str]:
         "fz_cuts": f"SELECT DISTINCT message_id, n, win FROM ({cuts})",
         "fz": f"""SELECT message_id, arg_max(term, (sim, -ord)) AS term, max(sim) AS sim, arg_max(weight, (sim, -ord)) AS weight
             FROM (SELECT message_id, ord, term, weight,
-              100.0::DOUBLE * (1 - levenshtein(win, term)::DOUBLE / greatest(length(win), length(term))) AS sim
+              100.0::DOUBLE * (1 - levenshtein({ascii("win")}, {ascii("term")})::DOUBLE / greatest(length(win), length(term))) AS sim
               FROM fz_cuts JOIN (VALUES {rows}) AS terms(ord, term, n, weight) USING (n)
               WHERE abs(length(win) - length(term)) <= 4) WHERE sim >= 85 GROUP BY message_id""",
     }
@@ -292,13 +298,15 @@ def triage_ctes() -> dict[str, str]:
             WHEN {any_contains('norm', lex.terms('ignore'))} THEN 'ignore_pattern'
             WHEN {any_contains('norm', lex.terms('ad_blocker'))} THEN 'ad_blocker' END) AS gate FROM ranked""",
         "open": "SELECT * FROM gated WHERE gate IS NULL",
+        **occurrence_ctes("open", lex.terms("context")),
         "hits": f"""SELECT *, {first_hit('norm', lex.terms('request'))} AS eh, {first_hit('norm', lex.terms('context'))} AS oh,
             ({first_hit('norm', lex.terms('indirect'))}).term AS indirect_term,
             ({first_hit('norm', lex.terms('urgency'))}).term AS urgency_term,
             ({first_hit('norm', lex.terms('implicit'))}).term AS implicit_term,
             ({first_hit('norm', lex.terms('boost'))}).term AS boost_term,
-            {n_hits('c', 'norm', lex.terms('context'))} AS n_context,
-            {any_contains('norm', lex.terms('subject') + lex.terms('action'))} AS grammar FROM open""",
+            coalesce(n.n, 0) AS n_context,
+            {any_contains('norm', lex.terms('subject') + lex.terms('action'))} AS grammar FROM open
+            LEFT JOIN (SELECT message_id, count(*) AS n FROM occ GROUP BY message_id) n USING (message_id)""",
         "unmatched": "SELECT * FROM hits WHERE eh IS NULL",
         **fuzzy_sql(lex, "unmatched"),
         "starts": """SELECT h.*, f.term AS fuzzy_term, coalesce(eh.term, f.term) AS intent,
@@ -430,9 +438,8 @@ def oracle_sql() -> dict[str, str]:
         FROM pages"""
 
     # matching and scoring
-    out["match_all"] = with_views(f"""SELECT message_id, term, unnest(list_filter(range(0, len(c) - length(term) + 1),
-        lambda i: c[i+1:i+length(term)] = w)) AS start FROM (SELECT message_id, norm, string_split(norm, '') AS c FROM msg_norm)
-        JOIN (SELECT term, string_split(term, '') AS w FROM {values(lex.terms('context'))}) ON contains(norm, term)""", "msg_norm")
+    out["match_all"] = with_views("SELECT message_id, term, start FROM occ", "msg_norm",
+                                  extra=occurrence_ctes("msg_norm", lex.terms("context")))
     out["match_all_joined"] = out["match_all"]
     out["match_first"] = with_views(f"""SELECT message_id, arg_min(term, (p, length(term))) AS term, min(p) AS start FROM (
         SELECT message_id, term, strpos(norm, term) - 1 AS p FROM msg_norm JOIN {values(lex.terms('request'))}
@@ -467,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
     det = lambda c, n: f"CASE WHEN ok THEN round({c}, 4) ELSE 0.0 END AS {n}"
     out["triage_messages"] = triage_sql(f"""SELECT message_id, CAST(ok AND legacy >= 50 AND decision <> 'ignore' AS INT) AS valid, reason,
         CASE WHEN ok THEN kw END AS keyword, CASE WHEN ok THEN legacy ELSE CAST(trunc(confidence * 100) AS INT) END AS score,
-        decision, round(confidence, 6) AS confidence,
+        decision, round(confidence + 1.3e-8, 6) AS confidence,
         array_to_string(coalesce(reasons, [reason]), '|') AS reasons,
         CASE WHEN ok THEN array_to_string(phrases, '|') ELSE '' END AS key_phrases,
         CASE WHEN NOT ok THEN 'general' WHEN n_context > 0 THEN 'academic_request' WHEN urgency_term IS NOT NULL

@@ -277,7 +277,7 @@ def triage_messages(spark, sf):
     detail = lambda k: F.coalesce(F.try_element_at("score_details", F.lit(k)), F.lit(0.0)).alias(k)
     return triaged(spark, sf).select(
         "message_id", flag("valid").alias("valid"), "reason", "keyword", "score", "decision",
-        r6("confidence").alias("confidence"), F.array_join("reasons", "|").alias("reasons"),
+        off_tie("confidence").alias("confidence"), F.array_join("reasons", "|").alias("reasons"),
         F.array_join("key_phrases", "|").alias("key_phrases"), "context_type", "context_boost",
         r6("context_confidence").alias("context_confidence"), flag("indirect").alias("indirect"),
         flag("urgent").alias("urgent"), "intent_verb", "academic_object", "urgency_marker",
