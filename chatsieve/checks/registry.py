@@ -517,7 +517,7 @@ def alerts_in_category(spark, sf):
 def hourly_stats(spark, sf):
     h = search.hourly_stats(A.messages_v(spark, sf), A.results_v(spark, sf), "2024-01-10 00:00:00")
     return h.select(stamp("hour").alias("hour"), "messages_count", "alerts_count", "accepted_count",
-                    r6("avg_confidence").alias("avg_confidence"))
+                    off_tie("avg_confidence").alias("avg_confidence"))
 
 
 @query

@@ -6,6 +6,7 @@ whole group.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -124,3 +125,29 @@ def walked_reputation(keys: list[str]):
                 out[i] = x
             yield pdf.drop(columns="carried").assign(reputation=out)
     return run
+
+
+def gated(base: float, per_min: int, per_hour: int, burst: int):
+    """Task function over valid messages sorted by (scope, time): cooldown and rate limit in
+    one step, since a rate-limited alert starts no cooldown. Adds `admitted` and, for admitted
+    rows, `rate_state`: what the next batch of the scope continues from."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, last = object(), None, {}
+        for pdf in batches:
+            wait = cooldown_seconds(pdf["reputation"].to_numpy(dtype=float), base)
+            times, admitted, saved = pdf["_at"].to_numpy(), [], []
+            rows = zip(pdf["scope"], pdf["account_name"], pdf["sender_id"], pdf["_last_alert"], pdf["_rate_state"])
+            for i, (scope, account, sender, before, carried) in enumerate(rows):
+                if scope != current:
+                    current, state, last = scope, RateState(per_min, per_hour, burst), {}
+                    if carried:
+                        state.restore(json.loads(carried))
+                previous = last.get(sender, before)
+                cool = previous is None or np.isnan(previous) or times[i] - previous >= wait[i]
+                ok = bool(cool and state.offer(times[i], account)[0])
+                if ok:
+                    last[sender] = times[i]
+                admitted.append(ok)
+                saved.append(json.dumps(state.export()) if ok else None)
+            yield pdf.drop(columns=["_at", "_last_alert", "_rate_state"]).assign(admitted=admitted, rate_state=saved)
+    return run

@@ -130,14 +130,19 @@ def fold_steps(df: DataFrame, keys: list[str], order: list[str], value: Column)
     ).select(*keys, _fold(F.col("rows")).alias("step"), "n")
 
 
-def carried_values(steps: DataFrame, keys: list[str], start: float) -> DataFrame:
+def carried_values(
+    steps: DataFrame, keys: list[str], start: float, starts: DataFrame | None = None
+) -> DataFrame:
     """(keys, _chunk, carried): the value with which each chunk begins.
 
+    A key begins at its value in `starts` (keys, start), else at `start`.
     `steps` has one row per (key, chunk), so a key's list is as long as its chunks are many.
     """
     chunks = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "step"))).alias("rows"))
     empty = F.array().cast("array<struct<chunk:int,carried:double>>")
-    begin = F.struct(F.lit(start).alias("x"), empty.alias("out"))
+    chunks = chunks.withColumn("start", F.lit(None).cast("double")) if starts is None else chunks.join(
+        starts.select(*keys, "start"), keys, "left")
+    begin = F.struct(F.coalesce("start", F.lit(start)).alias("x"), empty.alias("out"))
     walked = F.aggregate("rows", begin, lambda acc, r: F.struct(
         apply_step(acc["x"], r["step"]).alias("x"),
         F.array_append(acc["out"], F.struct(r["_chunk"].alias("chunk"), acc["x"].alias("carried"))).alias("out")))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatsieve.operators import admission
 from chatsieve.operators import ordered as O
 from chatsieve.operators.admission import cooled_down, rate_limited, walked_reputation
 
 START, TOP = 50.0, 100.0
 
+# The task functions travel to the workers by value: no package needs to be installed there.
+cloudpickle.register_pickle_by_value(admission)
+
 
 def sender_stats(messages: DataFrame, results: DataFrame, alerts: DataFrame) -> DataFrame:
     """Totals per sender: messages, valid and invalid ones, alerts, first seen, last alert."""
@@ -37,13 +42,13 @@ def reputation(results: DataFrame, order: list[str]) -> DataFrame:
     return folded.select("sender_id", O.apply_step(F.lit(START), F.col("step")).alias("reputation_score"))
 
 
-def running_reputation(results: DataFrame, order: list[str]) -> DataFrame:
-    """Add `reputation` after each message. A busy sender's rows are walked chunk by chunk
+def running_reputation(results: DataFrame, order: list[str], start: DataFrame | None = None) -> DataFrame:
+    """Add `reputation` after each message, from 50 or from `start` (sender_id, start). A busy sender's rows are walked chunk by chunk
     in parallel, each chunk starting from the value folded over the earlier ones."""
     keys = ["sender_id", "_chunk"]
     rows = results if "_chunk" in results.columns else O.in_chunks(results, ["sender_id"], order)
     steps = O.chunk_steps(rows, ["sender_id"], order, _reputation_step())
-    carried = O.carried_values(steps, ["sender_id"], START)
+    carried = O.carried_values(steps, ["sender_id"], START, start)
     joined = rows.join(carried, keys)
     schema = T.StructType([*rows.schema.fields, T.StructField("reputation", T.DoubleType())])
     ready = joined.select(*rows.columns, "carried").repartition(*keys).sortWithinPartitions(*keys, *order)

@@ -36,11 +36,13 @@ def triage(
     msgs: DataFrame, lex: TriageLexicon, keys: list[str], order: list[str],
     cfg: TriageConfig = TriageConfig(), profile: ScriptProfile = ARABIC,
     text: str = "text", content_dedup: bool = True,
+    known_content: DataFrame | None = None, keep_content: bool = False,
 ) -> DataFrame:
     """Triage result per message: the key and order columns plus `RESULT_COLUMNS`.
 
     `order` decides which of several messages with equal normalized text is the first one;
-    the others end as duplicates. It must tell messages apart.
+    the others end as duplicates. It must tell messages apart. `known_content` (content_hash)
+    holds what earlier batches have seen.
     """
     carried = list(dict.fromkeys([*keys, *order]))
     df = _clean(msgs.select(*carried, F.col(text).alias("_raw")), cfg, profile, lex)
@@ -50,7 +52,7 @@ def triage(
     results = _decide(df, carried, lex, cfg, profile)
     if not content_dedup:
         return results.drop("_content", "_passed")
-    return _mark_duplicates(results, carried, order)
+    return _mark_duplicates(results, carried, order, known_content, keep_content)
 
 
 def _clean(df: DataFrame, cfg: TriageConfig, profile: ScriptProfile, lex: TriageLexicon) -> DataFrame:
@@ -268,7 +270,9 @@ def _decide(
                      F.col("_content"), analysed.alias("_passed"))
 
 
-def _mark_duplicates(results: DataFrame, carried: list[str], order: list[str]) -> DataFrame:
+def _mark_duplicates(
+    results: DataFrame, carried: list[str], order: list[str], known: DataFrame | None, keep_content: bool
+) -> DataFrame:
     """End all but the first message of equal content as duplicates.
 
     Messages that failed before the duplicate gate have no content hash; each of them is
@@ -277,7 +281,12 @@ def _mark_duplicates(results: DataFrame, carried: list[str], order: list[str]) -
     keyed = results.withColumn("_group", F.coalesce("_content", F.concat_ws(
         "/", F.lit("-"), *[F.col(c).cast("string") for c in carried])))
     marked = mark_first(keyed, ["_group"], order)
-    repeat = ~F.col("is_first") & F.col("_passed")
+    again = ~F.col("is_first")
+    if known is not None:
+        seen = known.select(F.col("content_hash").alias("_content")).distinct().withColumn("_seen", F.lit(True))
+        marked = marked.join(seen, "_content", "left")
+        again = again | F.col("_seen").isNotNull()
+    repeat = again & F.col("_passed")
     empty = {
         "valid": F.lit(False), "reason": F.lit("duplicate"), "keyword": F.lit(None).cast("string"),
         "score": F.lit(0), "match_score": F.lit(0.0), "spam_score": F.lit(0.0), "context_boost": F.lit(0),
@@ -289,7 +298,8 @@ def _mark_duplicates(results: DataFrame, carried: list[str], order: list[str]) -
         "advert_score": F.lit(0.0), "key_phrases": _no_texts(), "fuzzy_matched": F.lit(False),
     }
     final = marked.withColumns({n: F.when(repeat, v).otherwise(F.col(n)) for n, v in empty.items()})
-    return final.select(*carried, *RESULT_COLUMNS)
+    content = [F.col("_content").alias("content_hash")] if keep_content else []
+    return final.select(*carried, *RESULT_COLUMNS, *content)
 
 
 def triage_report(results: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def read_if_any(spark, path: str) -> DataFrame | None:
     jvm = spark._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
     files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(location) or not files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*part-*")):
+    if not files.exists(location) or not files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "[^_.]*")):
         return None
     return spark.read.parquet(path)
 
