@@ -124,28 +124,39 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
         entries.append((order, term, len(term.split(" ")), edits, [c for c in cuts if c]))
     if not entries:
         return F.lit(None).cast("struct<similarity:double,rank:int,term:string>")
-    candidates = F.array(*[
-        F.struct(F.lit(-o).alias("rank"), F.lit(t).alias("term"), F.lit(n).alias("n"),
-                 F.lit(k).alias("edits"), F.array(*map(F.lit, cuts)).alias("pieces"))
-        for o, t, n, k, cuts in entries
-    ])
 
-    def similarity(words: Column, term: Column, n: Column, edits: Column) -> Column:
-        def one(w: Column) -> Column:
-            longer = F.greatest(F.length(w), F.length(term))
-            close = F.abs(F.length(w) - F.length(term)) <= edits
-            return F.when(close, F.lit(100.0) * (1 - F.levenshtein(w, term) / longer))
+    def candidates(n: int) -> Column:
+        return F.array(*[
+            F.struct(F.lit(-o).alias("rank"), F.lit(t).alias("term"), F.lit(k).alias("edits"),
+                     F.array(*map(F.lit, cuts)).alias("pieces"))
+            for o, t, m, k, cuts in entries if m == n])
 
+    def windows(words: Column, n: int) -> Column:
+        """The distinct windows of n words, cut once for all terms of n words."""
+        if n == 1:
+            return F.array_distinct(words)
         starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-        cut = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, F.array_max(F.transform(cut, one)))
+        cut = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
+        return F.when(F.size(words) >= n, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+    def similarity(cuts: Column, c: Column) -> Column:
+        term, edits = c["term"], c["edits"]
+        close = F.filter(cuts, lambda w: F.abs(F.length(w) - F.length(term)) <= edits)
+
+        def one(w: Column) -> Column:
+            distance = F.nullif(F.call_function("levenshtein", w, term, edits), F.lit(-1))
+            return F.lit(100.0) * (1 - distance / F.greatest(F.length(w), F.length(term)))
+
+        return F.array_max(F.transform(close, one))
+
+    def scored(words: Column, n: int) -> Column:
+        near = F.filter(candidates(n), lambda c: F.exists(c["pieces"], lambda p: F.contains(text, p)))
+        return let(windows(words, n), lambda cuts: F.transform(near, lambda c: F.struct(
+            similarity(cuts, c).alias("similarity"), c["rank"].alias("rank"), c["term"].alias("term"))))
 
     def best(words: Column) -> Column:
-        near = F.filter(candidates, lambda c: F.exists(c["pieces"], lambda p: F.contains(text, p)))
-        scored = F.transform(near, lambda c: F.struct(
-            similarity(words, c["term"], c["n"], c["edits"]).alias("similarity"),
-            c["rank"].alias("rank"), c["term"].alias("term")))
-        return F.array_max(F.filter(scored, lambda s: s["similarity"] >= cutoff))
+        every = F.concat(*[scored(words, n) for n in sorted({e[2] for e in entries})])
+        return F.array_max(F.filter(every, lambda s: s["similarity"] >= cutoff))
 
     any_piece = any_of(p for e in entries for p in e[4])
     return F.when(text.rlike(any_piece), let(F.split(text, " "), best))

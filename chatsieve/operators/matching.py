@@ -106,9 +106,10 @@ def fuzzy_match(
                   key=lambda r: r["ord"])
     weights = {r["term"]: r["weight"] for r in rows}
     exact = [r["term"] for r in collect_bounded(request_terms.select("term"), "request terms")]
-    open_text = F.when(~M.occurs(F.col(text), exact), F.col(text))
-    best = msgs.select(*keys, M.fuzzy_term(open_text, list(weights), cutoff).alias("best"))
-    return best.filter(F.col("best").isNotNull()).select(
+    unmatched = msgs.select(*keys, text).filter(~M.occurs(F.col(text), exact))
+    # Exploding the at most one find, rather than filtering on it, computes it only once.
+    found = F.filter(F.array(M.fuzzy_term(F.col(text), list(weights), cutoff)), lambda b: b.isNotNull())
+    return unmatched.select(*keys, F.explode(found).alias("best")).select(
         *keys, "best.term", "best.similarity",
         (lookup(F.col("best.term"), weights, 0.7) * discount).alias("weight"), F.lit(0).alias("start"))
 
