@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, packing, records
+from chatsieve.llm import bpe, packing, quality, records
+from chatsieve.llm.common import crc_of_id
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit_quality(documents(spark, sf_dir), quality.learnable(labels))
+    rows = quality.score_quality(documents(spark, sf_dir), model)
+    return rows.select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(documents(spark, sf_dir), end_id=0)
     rows = records.read_records(index).join(F.broadcast(records.file_starts(index)), "part")
@@ -36,6 +44,7 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
+    "op7_quality": op7_quality,
     "op9_binary_records": op9_binary_records,
 }
 ORACLE_SQL: dict[str, str] = {}
