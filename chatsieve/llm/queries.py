@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, packing, quality, records
+from chatsieve.llm import bpe, lm, packing, quality, records
 from chatsieve.llm.common import crc_of_id
 
 
@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = lm.score_texts(docs, *lm.trained(docs))
+    return rows.select("doc_id", (crc_of_id("doc_id") % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_sequences(documents(spark, sf_dir), end_id=1, size=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -42,6 +48,7 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
