@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 _WHITE = frozenset("\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0            "
                    "    　")
 #: Distinct pieces that a worker keeps, and characters of text taken at once. They bound memory and change no result.
-KEPT_PIECES, CHARS_AT_ONCE = 1_000_000, 4_000_000
+KEPT_PIECES, CHARS_AT_ONCE = 700_000, 2_000_000
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
