@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, lm, packing, quality, records
+from chatsieve.llm import bpe, jaccard, lm, packing, quality, records
 from chatsieve.llm.common import crc_of_id
 
 
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc_of_id("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(documents(spark, sf_dir), end_id=0)
     rows = records.read_records(index).join(F.broadcast(records.file_starts(index)), "part")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_binary_records": op9_binary_records,
 }
 ORACLE_SQL: dict[str, str] = {}
