@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, jaccard, lm, packing, quality, records
+from chatsieve.llm import bpe, jaccard, lm, packing, pii, quality, records
 from chatsieve.llm.common import crc_of_id
 
 
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(documents(spark, sf_dir)).select("doc_id", "text")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_encode(documents(spark, sf_dir)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -54,6 +58,7 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
+    "op4_surrogates": op4_surrogates,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
