@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, jaccard, lm, packing, pii, quality, records
+from chatsieve.llm import bpe, fingerprints, jaccard, lm, packing, pii, quality, records
 from chatsieve.llm.common import crc_of_id
 
 
@@ -55,6 +55,12 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprint_pairs(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                       "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
@@ -63,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_binary_records": op9_binary_records,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
