@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, fingerprints, jaccard, lm, packing, pii, quality, records
+from chatsieve.llm import bpe, counts, fingerprints, jaccard, lm, neardup, packing, pii, quality, records
 from chatsieve.llm.common import crc_of_id
 
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = lm.score_texts(docs, *lm.trained(docs))
@@ -37,6 +41,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_quality(documents(spark, sf_dir), quality.learnable(labels))
@@ -62,10 +70,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op4_surrogates": op4_surrogates,
     "op5_bpe": op5_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_binary_records": op9_binary_records,
