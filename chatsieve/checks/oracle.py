@@ -565,12 +565,16 @@ def oracle_sql() -> dict[str, str]:
               ELSE {'last': a.last, 'm': x.m, 'cool': x.cool, 'out': list_append(a.out, {'message_id': x.m, 'allowed': FALSE})} END
             ).out, recursive := TRUE) FROM walk WHERE is_valid GROUP BY sender_id)""", "activity", extra={"walk": walk})
     out["account_stats"] = with_views("""SELECT account_name, count(*) AS messages_processed,
-        count(*) FILTER (event_type = 'purchase') AS alerts_sent, count(*) FILTER (event_type = 'error') AS errors,
+        count(*) FILTER (event_type = 'purchase') AS alerts_sent, count(*) FILTER (event_type = 'error' OR failed) AS errors,
+        count(*) FILTER (failed) AS send_errors, count(*) FILTER (message_id % 3 = 0) AS media_processed,
+        count(*) FILTER (message_id % 7 = 0) AS queue_processed, count(*) FILTER (event_type <> 'view') AS decisions_count,
+        strftime(max(ts) FILTER (event_type = 'purchase'), '%Y-%m-%d %H:%M:%S.%f') AS last_alert_time,
         count(*) FILTER (event_type = 'view') AS duplicates, count(*) FILTER (event_type = 'click') AS rate_limited,
         count(*) FILTER (event_type <> 'view' AND decision = 'accept') AS accepted,
         count(*) FILTER (event_type <> 'view' AND decision = 'review') AS reviewed,
         count(*) FILTER (event_type <> 'view' AND decision = 'ignore') AS ignored,
-        round(avg(confidence) FILTER (event_type <> 'view'), 2) AS avg_confidence FROM activity GROUP BY account_name""", "activity")
+        round(avg(confidence) FILTER (event_type <> 'view'), 2) AS avg_confidence FROM (SELECT *,
+        event_type NOT IN ('purchase', 'error', 'view', 'click') AND chat_id < 5 AS failed FROM activity) GROUP BY account_name""", "activity")
 
     # backlog
     ranked = "SELECT *, row_number() OVER (ORDER BY priority DESC, created_at DESC, id DESC) AS rn FROM backlog_v"
@@ -582,7 +586,7 @@ def oracle_sql() -> dict[str, str]:
     out["schedule_retries"] = with_views("""SELECT 'retry' AS kind, id, chat_id, message_id, retry_count + 1 AS attempt,
           CAST(least(pow(2, retry_count), 60) AS INT) AS delay_seconds, length(error_text) AS error_chars FROM failures_v
           WHERE retry_count < 5 QUALIFY row_number() OVER (PARTITION BY chat_id, message_id ORDER BY ts, id) = 1
-        UNION ALL SELECT 'dead', id, chat_id, message_id, retry_count, 0, least(length(error_text), 300) FROM failures_v
+        UNION ALL SELECT 'dead', id, chat_id, message_id, retry_count, 0, length(error_text) FROM failures_v
           WHERE retry_count >= 5""", "failures_v")
     out["dead_letter_view"] = with_views(f"""SELECT id, error_text, retry_count, 0 AS resolved, {stamp('created_at')} AS created_at,
         CAST(chat_id AS VARCHAR) AS chat_id, CAST(message_id AS VARCHAR) AS message_id, account_name FROM (
@@ -593,7 +597,7 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN retry_count <> 2 AND NOT resolved AND retry_count + 1 <= 5 THEN retry_count + 1 ELSE retry_count END
           FROM dead_letters_v""", "dead_letters_v")
     out["prune_dead_letters"] = with_views(f"""SELECT id, {stamp('created_at')} AS created_at FROM (SELECT * FROM dead_letters_v
-        WHERE NOT resolved AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY ORDER BY created_at DESC, id DESC LIMIT 5000)""",
+        WHERE NOT resolved AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY)""",
         "dead_letters_v")
     out["retain"] = with_views(f"""SELECT message_hash, {stamp('ts')} AS ts FROM activity
         WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY""", "activity")
@@ -603,15 +607,19 @@ def oracle_sql() -> dict[str, str]:
         return (f"SELECT message_hash, sender_id, {stamp('ts')} AS ts, username, first_name, {', '.join(columns)} "
                 f"FROM ({source}) {contacts}")
     newest = "ORDER BY ts DESC, message_hash DESC"
-    out["search_messages"] = with_views(listed(f"""SELECT * FROM activity WHERE contains(message_text, 'error') AND
+    out["search_messages"] = with_views(listed(f"""SELECT * FROM activity WHERE contains(lower(message_text), 'error') AND
         ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-28 12:00:00' {newest} LIMIT 50 OFFSET 25""", "message_text"),
         "activity", "contacts_v")
-    out["search_alerts"] = with_views(listed(f"""SELECT * FROM alerts_v WHERE contains(keyword, 'purch') AND
+    out["search_alerts"] = with_views(listed(f"""SELECT * FROM alerts_v WHERE contains(lower(keyword), 'purch') AND
         account_name = 'acct_2' AND decision = 'accept' AND confidence >= 0.3 {newest} LIMIT 40 OFFSET 10""", "keyword", "decision"),
         "alerts_v", "contacts_v")
     out["alerts_in_category"] = with_views("""SELECT message_hash, keyword FROM alerts_v WHERE
         (SELECT count(*) FROM kinds WHERE n % 2 = 0) = 0 OR keyword IN (SELECT event_type FROM kinds WHERE n % 2 = 0)""",
         "alerts_v", extra={"kinds": "SELECT event_type, count(*) AS n FROM events GROUP BY 1"})
+    out["search_category"] = with_views(listed(f"""SELECT * FROM alerts_v WHERE account_name = 'acct_3' AND sender_id = 8 AND confidence >= 0.1
+        AND ((SELECT count(*) FROM kinds WHERE n % 2 = 1) = 0 OR keyword IN (SELECT event_type FROM kinds WHERE n % 2 = 1))
+        {newest} LIMIT 30 OFFSET 5""", "keyword", "decision"),
+        "alerts_v", "contacts_v", extra={"kinds": "SELECT event_type, count(*) AS n FROM events GROUP BY 1"})
     out["hourly_stats"] = with_views(f"""SELECT {stamp("date_trunc('hour', ts)::TIMESTAMP")} AS hour, count(*) AS messages_count,
         count(keyword) AS alerts_count, count(*) FILTER (decision = 'accept') AS accepted_count,
         round(avg(CASE WHEN confidence > 0 THEN confidence END) + 1.3e-8, 6) AS avg_confidence FROM activity
@@ -640,8 +648,10 @@ def oracle_sql() -> dict[str, str]:
         (SELECT count(*) FROM alerts_v WHERE ts > {since}) AS alerts_last_hour,
         (SELECT count(*) FROM alerts_v WHERE decision = 'accept') AS decision_accept,
         (SELECT count(*) FROM alerts_v WHERE decision = 'review') AS decision_review,
-        (SELECT count(*) FROM alerts_v WHERE decision = 'ignore') AS decision_ignore,
-        (SELECT round({avg_conf}, 2) FROM alerts_v) AS avg_confidence""", "activity", "alerts_v")
+        (SELECT count(*) FROM alerts_v WHERE decision NOT IN ('accept', 'review')) AS decision_other,
+        (SELECT round({avg_conf}, 2) FROM alerts_v) AS avg_confidence,
+        (SELECT round(avg(reputation_score), 2) FROM reputation_v) AS avg_reputation,
+        (SELECT count(*) FROM blocked_senders_v) AS blocked_senders""", "activity", "alerts_v", "reputation_v", "blocked_senders_v")
     out["recent_alerts"] = with_views(listed(f"SELECT * FROM alerts_v {newest} LIMIT 10", "keyword"), "alerts_v", "contacts_v")
     out["recent_messages"] = with_views(listed(f"SELECT * FROM activity {newest} LIMIT 10", "message_text"),
                                         "activity", "contacts_v")
@@ -650,7 +660,7 @@ def oracle_sql() -> dict[str, str]:
     out["alert_export"] = with_views(f"""SELECT message_hash AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, sender_id,
         first_name AS sender_name, username, chat_id, account_name AS account, keyword, decision,
         round(confidence, 6) AS confidence, substr(alert_text, 1, 200) AS text, last_message_link AS message_link
-        FROM (SELECT * FROM alerts_v {newest} LIMIT 5000) {contacts}""", "alerts_v", "contacts_v")
+        FROM alerts_v {contacts}""", "alerts_v", "contacts_v")
 
     # monitoring
     out["latency_percentiles"] = with_views("""SELECT key, round(quantile_disc(value, 0.5), 3) AS p50,
@@ -674,9 +684,10 @@ def oracle_sql() -> dict[str, str]:
         w2 AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""", "samples_v")
     out["health_rollup"] = with_views(f"""SELECT {stamp('check_time')} AS check_time, up AS monitors_up, total AS monitors_total,
         CAST(healthy AS INT) AS healthy, CASE WHEN healthy THEN 0 ELSE rn - coalesce(max(CASE WHEN healthy THEN rn END)
-        OVER (ORDER BY rn), 0) END AS consecutive_unhealthy FROM (
+        OVER (ORDER BY rn), 0) END AS consecutive_unhealthy, CASE WHEN hour(check_time) > 5 THEN n END AS queue_size,
+        CAST(hour(check_time) <= 5 OR n < 14 AS INT) AS queue_ok FROM (
         SELECT *, db AND mc AND up >= greatest(1.0, total * 0.5) AS healthy, row_number() OVER (ORDER BY check_time) AS rn FROM (
-        SELECT check_time::TIMESTAMP AS check_time, coalesce(bool_or(ok) FILTER (component = 'purchase'), FALSE) AS db,
+        SELECT count(*) AS n, check_time::TIMESTAMP AS check_time, coalesce(bool_or(ok) FILTER (component = 'purchase'), FALSE) AS db,
         coalesce(bool_or(ok) FILTER (component = 'signup'), FALSE) AS mc,
         count(*) FILTER (ok AND component NOT IN ('purchase', 'signup')) AS up,
         count(*) FILTER (component NOT IN ('purchase', 'signup')) AS total FROM health_v GROUP BY check_time))""", "health_v")
@@ -685,7 +696,7 @@ def oracle_sql() -> dict[str, str]:
     out["lexicon_index"] = with_views("""SELECT category, sum(count(*)) OVER (PARTITION BY category) AS total, path, grp AS label,
         count(*) AS n, string_agg(term, '|' ORDER BY pos) AS items FROM lexicon_v GROUP BY category, path, grp""", "lexicon_v")
     out["lexicon_search"] = with_views("""SELECT path, term FROM lexicon_v WHERE contains(lower(term), 'red w')
-        ORDER BY ord, path, pos LIMIT 500""", "lexicon_v")
+        ORDER BY ord, path, pos""", "lexicon_v")
     out["export_lexicon"] = with_views("""SELECT category, grp, string_agg(term, '|' ORDER BY pos) AS items FROM lexicon_v
         GROUP BY category, grp""", "lexicon_v")
     return out

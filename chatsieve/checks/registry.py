@@ -424,9 +424,11 @@ def account_stats(spark, sf):
     kind = F.col("event_type")
     e = a.select(
         "account_name", F.when(kind == "purchase", "alert").when(kind == "error", "error").when(
-            kind == "view", "duplicate").when(kind == "click", "rate_limited").otherwise("ok").alias("outcome"),
-        F.when(kind != "view", F.col("decision")).alias("decision"), "confidence")
-    return senders.account_stats(e)
+            kind == "view", "duplicate").when(kind == "click", "rate_limited").when(
+            F.col("chat_id") < 5, "send_error").otherwise("ok").alias("outcome"),
+        F.when(kind != "view", F.col("decision")).alias("decision"), "confidence", "ts",
+        (F.col("message_id") % 3 == 0).alias("has_media"), (F.col("message_id") % 7 == 0).alias("queued"))
+    return senders.account_stats(e).withColumn("last_alert_time", stamp("last_alert_time"))
 
 
 # --- backlog ---------------------------------------------------------------------------
@@ -478,7 +480,7 @@ def requeue_dead_letters(spark, sf):
 
 @query
 def prune_dead_letters(spark, sf):
-    return backlog.prune_dead_letters(A.dead_letters_v(spark, sf), A.NOW, days=20, cap=5000).select(
+    return backlog.prune_dead_letters(A.dead_letters_v(spark, sf), A.NOW, days=20).select(
         "id", stamp("created_at").alias("created_at"))
 
 
@@ -495,14 +497,14 @@ def _listed(df: DataFrame, *columns: str) -> DataFrame:
 @query
 def search_messages(spark, sf):
     return _listed(search.search_messages(
-        A.messages_v(spark, sf), A.contacts_v(spark, sf), keyword="error", since="2024-01-05 00:00:00",
+        A.messages_v(spark, sf), A.contacts_v(spark, sf), keyword="eRRor", since="2024-01-05 00:00:00",
         until="2024-01-28 12:00:00", limit=50, offset=25), "message_text")
 
 
 @query
 def search_alerts(spark, sf):
     return _listed(search.search_alerts(
-        A.alerts_v(spark, sf), A.contacts_v(spark, sf), keyword="purch", account="acct_2", decision="accept",
+        A.alerts_v(spark, sf), A.contacts_v(spark, sf), keyword="PURch", account="acct_2", decision="accept",
         min_confidence=0.3, limit=40, offset=10), "keyword", "decision")
 
 
@@ -513,6 +515,15 @@ def alerts_in_category(spark, sf):
     return search.alerts_in_category(A.alerts_v(spark, sf), lex, "even").select("message_hash", "keyword")
 
 
+@query
+def search_category(spark, sf):
+    lex = A.events(spark, sf).groupBy(F.col("event_type").alias("term")).agg(
+        F.when(F.count(F.lit(1)) % 2 == 0, "even").otherwise("odd").alias("category"))
+    return _listed(search.search_category(
+        A.alerts_v(spark, sf), A.contacts_v(spark, sf), lex, "odd", limit=30, offset=5, account="acct_3", sender_id=8,
+        min_confidence=0.1), "keyword", "decision")
+
+
 @query
 def hourly_stats(spark, sf):
     h = search.hourly_stats(A.messages_v(spark, sf), A.results_v(spark, sf), "2024-01-10 00:00:00")
@@ -541,7 +552,9 @@ def dashboard_summary(spark, sf):
 
 @query
 def activity_stats(spark, sf):
-    return search.activity_stats(A.messages_v(spark, sf), A.alerts_v(spark, sf), "2024-01-30 12:00:00")
+    stats = _sender_stats(spark, sf).join(_reputation(spark, sf), "sender_id")
+    return search.activity_stats(A.messages_v(spark, sf), A.alerts_v(spark, sf), "2024-01-30 12:00:00", stats,
+                                 A.blocked_senders_v(spark, sf), decisions=("accept", "review"))
 
 
 @query
@@ -596,9 +609,11 @@ def sustained_growth(spark, sf):
 
 @query
 def health_rollup(spark, sf):
-    h = monitoring.health_rollup(A.health_v(spark, sf), database="purchase", client="signup")
+    status = A.health_v(spark, sf)
+    queue = status.groupBy("scope", "check_time").agg(F.count(F.lit(1)).alias("queue_size")).filter(F.hour("check_time") > 5)
+    h = monitoring.health_rollup(status, database="purchase", client="signup", queue=queue, queue_capacity=14)
     return h.select(stamp("check_time").alias("check_time"), "monitors_up", "monitors_total",
-                    flag("healthy").alias("healthy"), "consecutive_unhealthy")
+                    flag("healthy").alias("healthy"), "consecutive_unhealthy", "queue_size", flag("queue_ok").alias("queue_ok"))
 
 
 # --- lexicon maintenance -----------------------------------------------------------------------

@@ -125,11 +125,6 @@ class TriageConfig:
     weight_context: float = 0.10
     accept_threshold: float = 0.65
     review_threshold: float = 0.40
-    # Scan bounds. None scans whole texts; 1000 / 60 / 2000 give the bounded scan
-    # of a latency-limited live service.
-    match_start_limit: int | None = None
-    match_term_limit: int | None = None
-    signal_char_limit: int | None = None
 
     @property
     def emoji_class(self) -> str:

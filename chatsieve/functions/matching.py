@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from chatsieve.functions.patterns import alternation, any_of, nesting_levels
 from chatsieve.functions.text import let
 
-def _bounded(terms: list[str], max_len: int | None) -> list[str]:
-    return [t for t in dict.fromkeys(terms) if t and (max_len is None or len(t) <= max_len)]
+def _usable(terms: list[str]) -> list[str]:
+    return [t for t in dict.fromkeys(terms) if t]
 
 
 def occurs(text: Column, terms: list[str]) -> Column:
@@ -24,17 +24,12 @@ def occurs(text: Column, terms: list[str]) -> Column:
     return text.rlike(pattern)
 
 
-def first_term(
-    text: Column, terms: list[str], start_limit: int | None = None, term_limit: int | None = None
-) -> Column:
+def first_term(text: Column, terms: list[str]) -> Column:
     """Term with the leftmost start, the shortest one there; null when none occurs."""
-    pattern = any_of(_bounded(terms, term_limit))
+    pattern = any_of(_usable(terms))
     if pattern is None:
         return F.lit(None).cast("string")
-    found = F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
-    if start_limit is None:
-        return found
-    return F.when(start_of(text, found) < start_limit, found)
+    return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
 
 
 def start_of(text: Column, term: Column) -> Column:
@@ -46,26 +41,16 @@ def start_of(text: Column, term: Column) -> Column:
     return F.when(term.isNotNull(), F.instr(text, term) - 1)
 
 
-def count_all(
-    text: Column, terms: list[str], start_limit: int | None = None, term_limit: int | None = None
-) -> Column:
+def count_all(text: Column, terms: list[str]) -> Column:
     """Number of (term, start) occurrences, overlapping and nested ones included."""
     total = F.when(text.isNotNull(), F.lit(0))
-    for level in nesting_levels(_bounded(terms, term_limit)):
+    for level in nesting_levels(_usable(terms)):
         # A look-ahead consumes nothing, so every start is tried.
-        view = text
-        if start_limit is not None:
-            view = F.substring(text, 1, start_limit + max(map(len, level)))
-            starts = F.regexp_extract_all(view, F.lit(rf"(?s)(?=({alternation(level)}))?."), F.lit(1))
-            total = total + F.size(F.array_remove(F.slice(starts, 1, start_limit), ""))
-        else:
-            total = total + F.regexp_count(view, F.lit(f"(?={alternation(level)})"))
+        total = total + F.regexp_count(text, F.lit(f"(?={alternation(level)})"))
     return total
 
 
-def all_hits(
-    text: Column, terms: list[str], start_limit: int | None = None, term_limit: int | None = None
-) -> Column:
+def all_hits(text: Column, terms: list[str]) -> Column:
     """Array of (start, term) for every occurrence, overlapping and nested included.
 
     One pass per nesting level: each character yields the term starting there or an
@@ -73,14 +58,9 @@ def all_hits(
     """
     none = F.array().cast("array<struct<start:int,term:string>>")
     hits = F.when(text.isNotNull(), none)
-    for level in nesting_levels(_bounded(terms, term_limit)):
+    for level in nesting_levels(_usable(terms)):
         pattern = alternation(level)
-        view = text
-        if start_limit is not None:
-            view = F.substring(text, 1, start_limit + max(map(len, level)))
-        starts = F.regexp_extract_all(view, F.lit(rf"(?s)(?=({pattern}))?."), F.lit(1))
-        if start_limit is not None:
-            starts = F.slice(starts, 1, start_limit)
+        starts = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({pattern}))?."), F.lit(1))
         pairs = F.transform(starts, lambda t, i: F.struct(i.alias("start"), t.alias("term")))
         found = F.filter(pairs, lambda h: h["term"] != "")
         hits = F.concat(hits, F.when(text.rlike(pattern), found).otherwise(none))

@@ -44,10 +44,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def head_of(text: Column, limit: int | None) -> Column:
-    return text if limit is None else F.substring(text, 1, limit)
-
-
 def normalize(text: Column, profile: ScriptProfile) -> Column:
     out = F.lower(F.trim(collapse_ws(text)))
     if profile.fold_from:

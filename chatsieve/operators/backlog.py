@@ -36,7 +36,7 @@ def schedule_retries(failures: DataFrame, max_retries: int = 5) -> tuple[DataFra
     (chat, message) is scheduled, the first failure's, after min(2^n, 60) seconds.
     """
     dead = failures.filter(F.col("retry_count") >= max_retries).select(
-        "*", F.lit(False).alias("resolved")).withColumn("error_text", F.substring("error_text", 1, 300))
+        "*", F.lit(False).alias("resolved"))
     pending = failures.filter(F.col("retry_count") < max_retries)
     first = first_per_key(pending, ["chat_id", "message_id"], ["ts", "id"])
     delay = F.least(F.pow(F.lit(2.0), F.col("retry_count")), F.lit(60.0)).cast("int")
@@ -74,11 +74,11 @@ def requeue_dead_letters(
     return queue, after
 
 
-def prune_dead_letters(df: DataFrame, now: str, days: int = 7, cap: int = 5000) -> DataFrame:
-    """Drop resolved and old letters, then keep the newest `cap` ones."""
+def prune_dead_letters(df: DataFrame, now: str, days: int = 7, cap: int | None = None) -> DataFrame:
+    """Drop resolved and old letters; with `cap`, keep only so many of the newest."""
     cutoff = F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(days))
     live = df.filter(~F.col("resolved") & (F.col("created_at") >= cutoff))
-    return live.orderBy(F.desc("created_at"), F.desc("id")).limit(cap)
+    return live if cap is None else live.orderBy(F.desc("created_at"), F.desc("id")).limit(cap)
 
 
 def retain(df: DataFrame, now: str, days: int = 7, ts: str = "ts") -> DataFrame:

@@ -21,13 +21,14 @@ def lexicon_index(lexicon: DataFrame) -> DataFrame:
         F.sum("count").alias("total"), F.sort_array(F.collect_list(entry)).alias("lists")).orderBy("category")
 
 
-def lexicon_search(lexicon: DataFrame, query: str, limit: int = 500) -> DataFrame:
+def lexicon_search(lexicon: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """(path, term) of terms containing the query, case ignored, in document order."""
     needle = query.strip().lower()
     if not needle:
         return lexicon.limit(0).select("path", "term")
     hits = lexicon.filter(F.contains(F.lower("term"), F.lit(needle)))
-    return hits.orderBy("ord", "path", "pos").limit(limit).select("path", "term")
+    ordered = hits.orderBy("ord", "path", "pos")
+    return (ordered if limit is None else ordered.limit(limit)).select("path", "term")
 
 
 def _edited(state: Column, edit: Column) -> Column:

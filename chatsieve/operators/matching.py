@@ -27,26 +27,19 @@ def _literal_terms(terms: DataFrame, strategy: str) -> list[str] | None:
     return sorted(r["term"] for r in rows)
 
 
-def windows(text: Column, length: int, start_limit: int | None = None) -> Column:
+def windows(text: Column, length: int) -> Column:
     """All windows of `length` characters; the array index is the start."""
-    view = text if start_limit is None else F.substring(text, 1, start_limit + length - 1)
-    cut = F.regexp_extract_all(view, F.lit(rf"(?s)(?=(.{{{length}}}))?."), F.lit(1))
-    return cut if start_limit is None else F.slice(cut, 1, start_limit)
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))?."), F.lit(1))
 
 
-def _joined_hits(
-    msgs: DataFrame, terms: DataFrame, keys: list[str], text: str,
-    start_limit: int | None, term_limit: int | None,
-) -> DataFrame:
+def _joined_hits(msgs: DataFrame, terms: DataFrame, keys: list[str], text: str) -> DataFrame:
     usable = terms.select("term").filter(F.col("term") != "").distinct()
-    if term_limit is not None:
-        usable = usable.filter(F.length("term") <= term_limit)
     # One row per distinct term length: bounded by the longest term.
     lengths = sorted(r["n"] for r in collect_bounded(
         usable.select(F.length("term").alias("n")).distinct(), "term lengths"))
     if not lengths:
         return msgs.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"))
-    per_length = F.array(*[windows(F.col(text), n, start_limit) for n in lengths])
+    per_length = F.array(*[windows(F.col(text), n) for n in lengths])
     cut = (
         msgs.select(*keys, F.explode(per_length).alias("cut"))
         .select(*keys, F.posexplode("cut").alias("start", "term"))
@@ -57,28 +50,28 @@ def _joined_hits(
 
 def match_all(
     msgs: DataFrame, terms: DataFrame, keys: list[str], text: str = "norm_text",
-    start_limit: int | None = None, term_limit: int | None = None, strategy: str = "auto",
+    strategy: str = "auto",
 ) -> DataFrame:
     """(keys, term, start): every occurrence, overlapping and nested ones included."""
     literal = _literal_terms(terms, strategy)
     if literal is None:
-        return _joined_hits(msgs, terms, keys, text, start_limit, term_limit)
-    hits = M.all_hits(F.col(text), literal, start_limit, term_limit)
+        return _joined_hits(msgs, terms, keys, text)
+    hits = M.all_hits(F.col(text), literal)
     return msgs.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.term", "hit.start")
 
 
 def match_first(
     msgs: DataFrame, terms: DataFrame, keys: list[str], text: str = "norm_text",
-    start_limit: int | None = None, term_limit: int | None = None, strategy: str = "auto",
+    strategy: str = "auto",
 ) -> DataFrame:
     """(keys, term, start) of the leftmost occurrence, the shortest term at that place."""
     literal = _literal_terms(terms, strategy)
     if literal is None:
-        hits = _joined_hits(msgs, terms, keys, text, start_limit, term_limit)
+        hits = _joined_hits(msgs, terms, keys, text)
         best = hits.groupBy(*keys).agg(
             F.min(F.struct("start", F.length("term").alias("n"), "term")).alias("best"))
         return best.select(*keys, "best.term", "best.start")
-    found = msgs.withColumn("term", M.first_term(F.col(text), literal, start_limit, term_limit))
+    found = msgs.withColumn("term", M.first_term(F.col(text), literal))
     return found.filter(F.col("term").isNotNull()).select(
         *keys, "term", M.start_of(F.col(text), F.col("term")).alias("start"))
 
@@ -89,7 +82,7 @@ def match_contains(
     """(keys, term): the terms that occur anywhere in the text, once each."""
     literal = _literal_terms(terms, strategy)
     if literal is None:
-        return _joined_hits(msgs, terms, keys, text, None, None).select(*keys, "term").distinct()
+        return _joined_hits(msgs, terms, keys, text).select(*keys, "term").distinct()
     return msgs.select(*keys, F.explode(M.contained(F.col(text), literal)).alias("term"))
 
 

@@ -112,12 +112,15 @@ def sustained_growth(samples: DataFrame, n: int = 5, ratio: float = 1.5, slack:
 
 
 def health_rollup(
-    status: DataFrame, database: str = "database", client: str = "main_client", min_ratio: float = 0.5
+    status: DataFrame, database: str = "database", client: str = "main_client", min_ratio: float = 0.5,
+    queue: DataFrame | None = None, queue_capacity: int = 1000,
 ) -> DataFrame:
     """Per check time: component counts, healthy flag, consecutive unhealthy checks.
 
     `status` is (scope, check_time, component, ok). Healthy: the database is ok, the main
     client is up, and of the other components at least max(1, total * min_ratio) are up.
+    With `queue` (scope, check_time, queue_size), also that size and queue_ok: below the capacity; a check without a size is
+    ok. The queue doesn't decide whether a check is healthy.
     """
     part = F.col("component")
     other = ~part.isin(database, client)
@@ -128,6 +131,10 @@ def health_rollup(
         F.count_if(other).alias("monitors_total"))
     enough = F.col("monitors_up") >= F.greatest(F.lit(1.0), F.col("monitors_total") * min_ratio)
     checks = checks.withColumn("healthy", F.col("database_ok") & F.col("client_up") & enough)
+    if queue is not None:
+        sizes = queue.groupBy("scope", "check_time").agg(F.max("queue_size").alias("queue_size"))
+        checks = checks.join(sizes, ["scope", "check_time"], "left").withColumn(
+            "queue_ok", F.coalesce(F.col("queue_size") < queue_capacity, F.lit(True)))
     # One row per check from here on.
     w = Window.partitionBy("scope").orderBy("check_time")
     running = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -33,7 +33,7 @@ def negation_scope(
     df = df.withColumn("_said", F.when(M.occurs(F.col(text), some), F.col(text)))
     said = F.col("_said")
     df = df.withColumns({
-        "_resolution": M.first_term(said, lex.terms("resolution"), cfg.match_start_limit, cfg.match_term_limit),
+        "_resolution": M.first_term(said, lex.terms("resolution")),
         "_post": F.get(M.contained(said, lex.terms("post_negator")), F.lit(0)),
         "_excepted": F.coalesce(M.occurs(said, lex.terms("negation_exception")), F.lit(False)),
         "_pre_all": M.contained(said, lex.terms("pre_negator")),
@@ -134,10 +134,7 @@ def ad_score(
 def ad_block(df: DataFrame, lex: TriageLexicon, cfg: TriageConfig = DEFAULTS, text: str = "norm_text") -> DataFrame:
     """Add block_reason: advertisement, education_provider, advertisement_emoji or null."""
     def hit(kind: str) -> Column:
-        if cfg.match_start_limit is None and cfg.match_term_limit is None:
-            return M.occurs(F.col(text), lex.terms(kind))
-        return M.first_term(
-            F.col(text), lex.terms(kind), cfg.match_start_limit, cfg.match_term_limit).isNotNull()
+        return M.occurs(F.col(text), lex.terms(kind))
 
     return df.withColumn("block_reason", (
         F.when(hit("advertisement"), "advertisement")

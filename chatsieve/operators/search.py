@@ -29,17 +29,27 @@ def _time_range(df: DataFrame, since: str | None, until: str | None) -> DataFram
     return df
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _holds(column: str, part: str, case_sensitive: bool) -> Column:
+    """Does the text hold `part`? The letters A to Z match in either case unless told otherwise."""
+    if case_sensitive:
+        return F.contains(column, F.lit(part))
+    return F.contains(F.translate(column, _UPPER, _LOWER), F.translate(F.lit(part), _UPPER, _LOWER))
+
+
 def search_messages(
     messages: DataFrame, contacts: DataFrame, keyword: str | None = None, chat_id: int | None = None,
     sender_id: int | None = None, since: str | None = None, until: str | None = None,
-    limit: int = 50, offset: int = 0,
+    limit: int = 50, offset: int = 0, case_sensitive: bool = False,
 ) -> DataFrame:
     df = _time_range(messages, since, until)
-    if keyword:
-        df = df.filter(F.contains("message_text", F.lit(keyword)))
-    if chat_id:
+    if keyword:  # an empty keyword is in every text
+        df = df.filter(_holds("message_text", keyword, case_sensitive))
+    if chat_id is not None:
         df = df.filter(F.col("chat_id") == chat_id)
-    if sender_id:
+    if sender_id is not None:
         df = df.filter(F.col("sender_id") == sender_id)
     return with_profile(_page(df, limit, offset), contacts).orderBy(*_newest())
 
@@ -47,14 +57,14 @@ def search_messages(
 def filter_alerts(
     alerts: DataFrame, keyword: str | None = None, account: str | None = None, sender_id: int | None = None,
     since: str | None = None, until: str | None = None, decision: str | None = None,
-    min_confidence: float | None = None,
+    min_confidence: float | None = None, case_sensitive: bool = False,
 ) -> DataFrame:
     df = _time_range(alerts, since, until)
-    if keyword:
-        df = df.filter(F.contains("keyword", F.lit(keyword)))
+    if keyword:  # an empty keyword is in every text
+        df = df.filter(_holds("keyword", keyword, case_sensitive))
     if account:
         df = df.filter(F.col("account_name") == account)
-    if sender_id:
+    if sender_id is not None:
         df = df.filter(F.col("sender_id") == sender_id)
     if decision:
         df = df.filter(F.col("decision") == decision)
@@ -77,6 +87,13 @@ def alerts_in_category(alerts: DataFrame, lexicon: DataFrame, category: str | No
     return alerts.join(broadcast_if_small(terms), "keyword", "left_semi")
 
 
+def search_category(
+    alerts: DataFrame, contacts: DataFrame, lexicon: DataFrame, category: str | None, limit: int = 50, offset: int = 0, **filters
+) -> DataFrame:
+    """One page of the alerts of a lexicon category that pass the filters, newest first."""
+    return search_alerts(alerts_in_category(alerts, lexicon, category), contacts, limit, offset, **filters)
+
+
 def hourly_stats(messages: DataFrame, results: DataFrame, since: str) -> DataFrame:
     """Per hour: messages, those with a keyword, accepted ones, mean of positive confidences."""
     recent = messages.filter(F.col("ts") >= F.to_timestamp(F.lit(since))).select("message_hash", "ts")
@@ -127,17 +144,26 @@ def dashboard_summary(
     return m.crossJoin(a).crossJoin(s).crossJoin(b)
 
 
-def activity_stats(messages: DataFrame, alerts: DataFrame, now: str) -> DataFrame:
-    """One row: distinct senders and chats, last-hour volumes, alerts by decision, mean confidence."""
+def activity_stats(
+    messages: DataFrame, alerts: DataFrame, now: str, stats: DataFrame, blocked_senders: DataFrame,
+    decisions: tuple[str, ...] = ("accept", "review", "ignore"),
+) -> DataFrame:
+    """One row: distinct senders and chats, last-hour volumes, alerts by decision (those beside `decisions` together), mean
+    confidence, mean reputation of senders with messages (`stats`: total_messages, reputation_score), blocked senders."""
     hour_ago = F.to_timestamp(F.lit(now)) - F.expr("INTERVAL 1 HOUR")
     m = messages.agg(
         F.countDistinct("sender_id").alias("unique_senders"), F.countDistinct("chat_id").alias("unique_chats"),
         F.count_if(F.col("ts") > hour_ago).alias("messages_last_hour"))
     a = alerts.agg(
         F.count_if(F.col("ts") > hour_ago).alias("alerts_last_hour"),
-        *[F.count_if(F.col("decision") == d).alias(f"decision_{d}") for d in ("accept", "review", "ignore")],
+        *[F.count_if(F.col("decision") == d).alias(f"decision_{d}") for d in decisions],
+        F.count_if(~F.coalesce(F.col("decision"), F.lit("")).isin(*decisions)).alias("decision_other"),
         F.round(F.coalesce(F.avg(_positive("confidence")), F.lit(0.0)), 2).alias("avg_confidence"))
-    return m.crossJoin(a)
+    s = stats.filter(F.col("total_messages") > 0).agg(
+        F.round(F.coalesce(F.avg("reputation_score"), F.lit(0.0)), 2).alias("avg_reputation"))
+    b = blocked_senders.agg(F.count(F.lit(1)).alias("blocked_senders"))
+    # four one-row frames side by side
+    return m.crossJoin(a).crossJoin(s).crossJoin(b)
 
 
 def recent(df: DataFrame, contacts: DataFrame, n: int = 10) -> DataFrame:

@@ -92,14 +92,18 @@ def rate_limit(
 def account_stats(events: DataFrame) -> DataFrame:
     """Per account: volumes, outcomes, decisions and mean confidence.
 
-    `outcome` is one of ok, alert, error, duplicate, rate_limited; decision is null for
-    messages that were not analysed.
+    `outcome` is one of ok, alert, error, duplicate, rate_limited, send_error; decision is null for messages that were not
+    analysed. has_media and queued (came through the backlog) are flags, ts is the time. A failed sending is counted under
+    send_errors and as an error.
     """
     outcome, decision = F.col("outcome"), F.col("decision")
     return events.groupBy("account_name").agg(
         F.count(F.lit(1)).alias("messages_processed"),
         F.count_if(outcome == "alert").alias("alerts_sent"),
-        F.count_if(outcome == "error").alias("errors"),
+        F.count_if(outcome.isin("error", "send_error")).alias("errors"),
+        F.count_if(outcome == "send_error").alias("send_errors"),
+        F.count_if("has_media").alias("media_processed"), F.count_if("queued").alias("queue_processed"),
+        F.count("decision").alias("decisions_count"), F.max(F.when(outcome == "alert", F.col("ts"))).alias("last_alert_time"),
         F.count_if(outcome == "duplicate").alias("duplicates"),
         F.count_if(outcome == "rate_limited").alias("rate_limited"),
         F.count_if(decision == "accept").alias("accepted"),

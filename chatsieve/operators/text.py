@@ -31,18 +31,12 @@ def normalize_messages(df: DataFrame, profile: ScriptProfile = ARABIC, text: str
     return df.withColumn("norm_text", X.normalize(F.col(text), profile))
 
 
-def canonicalize_terms(
-    df: DataFrame, dialect: DataFrame | dict[str, str], text: str = "norm_text", char_limit: int | None = None
-) -> DataFrame:
-    """Replace dialect variants by their canonical form, in one pass over the text.
-
-    `char_limit` cuts the text first, as a latency-bound service does; by default the
-    whole text is processed.
-    """
+def canonicalize_terms(df: DataFrame, dialect: DataFrame | dict[str, str], text: str = "norm_text") -> DataFrame:
+    """Replace dialect variants by their canonical form, in one pass over the whole text."""
     if not isinstance(dialect, dict):
         rows = collect_bounded(dialect.select("variant", "canonical"), "dialect map")
         dialect = {r["variant"]: r["canonical"] for r in rows}
-    return df.withColumn(text, X.replace_terms(X.head_of(F.col(text), char_limit), dialect))
+    return df.withColumn(text, X.replace_terms(F.col(text), dialect))
 
 
 def text_signals(
@@ -50,14 +44,13 @@ def text_signals(
 ) -> DataFrame:
     """Add word, emoji-run and URL counts, phone/e-mail/repeat flags and the script share."""
     whole = F.col(text)
-    seen = X.head_of(whole, cfg.signal_char_limit)
     return df.withColumns({
         "word_count": X.word_count(whole),
-        "emoji_runs": X.emoji_runs(seen, cfg.emoji_class),
-        "url_count": X.url_count(seen),
-        "has_phone": X.has_phone(seen),
-        "has_email": X.has_email(seen),
-        "has_repeat": X.has_repeat(seen),
+        "emoji_runs": X.emoji_runs(whole, cfg.emoji_class),
+        "url_count": X.url_count(whole),
+        "has_phone": X.has_phone(whole),
+        "has_email": X.has_email(whole),
+        "has_repeat": X.has_repeat(whole),
         "block_ratio": X.share_of(whole, profile.block),
     })
 
@@ -81,7 +74,7 @@ def prefilter(
     cfg = TriageConfig(min_words=min_words, max_emojis=max_emojis, min_block_ratio=min_ratio)
     counted = df.withColumns({
         "_words": X.norm_word_count(F.col(text)),
-        "_emoji": X.emoji_runs(X.head_of(F.col(text), cfg.signal_char_limit), cfg.emoji_class),
+        "_emoji": X.emoji_runs(F.col(text), cfg.emoji_class),
         "_block": X.share_of(F.col(text), profile.block),
     })
     reason = prefilter_reason(F.col(text), F.col("_words"), F.col("_emoji"), F.col("_block"), cfg)

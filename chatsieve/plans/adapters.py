@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2024-01-31 00:00:00"
-_SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_if_small(df: DataFrame) -> DataFrame:
-    """Spread a small file over the cores: one row group is one task otherwise. Large inputs
-    have many splits of their own and are left alone, so no text is shuffled for them."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > _SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Spread a table of a single file over the cores, as one row group is one task otherwise. A table of many files has
+    splits of its own, so no text is shuffled for it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def _minutes_after_start(minutes: Column) -> Column:

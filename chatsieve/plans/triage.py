@@ -62,38 +62,34 @@ def _clean(df: DataFrame, cfg: TriageConfig, profile: ScriptProfile, lex: Triage
     cleaned = checked.withColumn("_norm", norm).drop("_raw", "_trimmed")
     if lex.dialect:
         cleaned = cleaned.withColumn(
-            "_norm", X.replace_terms(X.head_of(F.col("_norm"), cfg.signal_char_limit), lex.dialect))
+            "_norm", X.replace_terms(F.col("_norm"), lex.dialect))
     return cleaned
 
 
 def _cheap_gates(df: DataFrame, carried: list[str], cfg: TriageConfig, profile: ScriptProfile) -> DataFrame:
     norm = F.col("_norm")
-    seen = X.head_of(norm, cfg.signal_char_limit)
     df = df.withColumns({
         "_words": X.norm_word_count(norm),
-        "_emoji": X.emoji_runs(seen, cfg.emoji_class),
+        "_emoji": X.emoji_runs(norm, cfg.emoji_class),
         "_block_ratio": X.share_of(norm, profile.block),
     })
     pre = prefilter_reason(norm, F.col("_words"), F.col("_emoji"), F.col("_block_ratio"), cfg)
     early = F.coalesce("_invalid", pre) if cfg.prefilter_enabled else F.col("_invalid")
     df = df.withColumn("_early", early)
     df = df.withColumn("_t", F.when(F.col("_early").isNull(), norm))
-    t, seen = F.col("_t"), X.head_of(F.col("_t"), cfg.signal_char_limit)
+    t = F.col("_t")
     return df.withColumns({
         "_content": F.sha2("_t", 256),
         "_ratio": F.col("_block_ratio") if profile.letters == profile.block else X.share_of(t, profile.letters),
-        "_spam": spam_value(X.has_phone(seen), X.url_count(seen), F.col("_emoji"), X.has_repeat(seen)),
+        "_spam": spam_value(X.has_phone(t), X.url_count(t), F.col("_emoji"), X.has_repeat(t)),
     }).drop("_norm", "_invalid", "_emoji", "_block_ratio")
 
 
 def _matches(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageConfig) -> DataFrame:
-    bounds = (cfg.match_start_limit, cfg.match_term_limit)
     t = F.col("_t")
 
     def occurs(name: str, where: Column) -> Column:
-        if cfg.match_start_limit is None and cfg.match_term_limit is None:
-            return M.occurs(where, lex.terms(name))
-        return M.first_term(where, lex.terms(name), *bounds).isNotNull()
+        return M.occurs(where, lex.terms(name))
 
     gates = (
         F.when(F.col("_early").isNotNull(), None)
@@ -106,13 +102,13 @@ def _matches(df: DataFrame, carried: list[str], lex: TriageLexicon, cfg: TriageC
     df = df.withColumn("_gate", gates)
     df = df.withColumn("_t", F.when(F.col("_gate").isNull(), F.col("_t")))
     df = df.withColumns({
-        "_exact": M.first_term(t, lex.terms("request"), *bounds),
-        "_indirect": M.first_term(t, lex.terms("indirect"), *bounds),
-        "_urgency": M.first_term(t, lex.terms("urgency"), *bounds),
-        "_implicit": M.first_term(t, lex.terms("implicit"), *bounds),
-        "_boost": M.first_term(t, lex.terms("boost"), *bounds),
-        "_object": M.first_term(t, lex.terms("context"), *bounds),
-        "_n_context": M.count_all(t, lex.terms("context"), *bounds),
+        "_exact": M.first_term(t, lex.terms("request")),
+        "_indirect": M.first_term(t, lex.terms("indirect")),
+        "_urgency": M.first_term(t, lex.terms("urgency")),
+        "_implicit": M.first_term(t, lex.terms("implicit")),
+        "_boost": M.first_term(t, lex.terms("boost")),
+        "_object": M.first_term(t, lex.terms("context")),
+        "_n_context": M.count_all(t, lex.terms("context")),
         "_grammar": occurs("subject", t) | occurs("action", t),
     })
     if cfg.fuzzy_enabled:

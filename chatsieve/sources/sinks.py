@@ -38,9 +38,9 @@ def read_if_any(spark, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def alert_export_rows(alerts: DataFrame, contacts: DataFrame, limit: int = 5000) -> DataFrame:
-    """The 12 columns of the alert export, newest first, at most `limit` rows."""
-    newest = alerts.orderBy(F.desc("ts"), F.desc("message_hash")).limit(limit)
+def alert_export_rows(alerts: DataFrame, contacts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The 12 columns of the alert export, newest first; with `limit`, so many of the newest rows."""
+    newest = alerts if limit is None else alerts.orderBy(F.desc("ts"), F.desc("message_hash")).limit(limit)
     joined = newest.join(contacts, "sender_id", "left")
     name: Column = F.concat_ws(" ", F.nullif("first_name", F.lit("")), F.nullif("last_name", F.lit("")))
     return joined.select(
@@ -56,10 +56,10 @@ def alert_export_rows(alerts: DataFrame, contacts: DataFrame, limit: int = 5000)
     ).orderBy(F.desc("time"), F.desc("id"))
 
 
-def export_alerts_csv(alerts: DataFrame, contacts: DataFrame, path: str, limit: int = 5000) -> None:
+def export_alerts_csv(alerts: DataFrame, contacts: DataFrame, path: str, limit: int | None = None) -> None:
+    """CSV files with a header, in order from file to file; one file where a `limit` bounds the rows."""
     rows = alert_export_rows(alerts, contacts, limit)
-    # One file by design: the export is capped at `limit` rows.
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    (rows if limit is None else rows.coalesce(1)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def contact_links(df: DataFrame) -> DataFrame:
