@@ -408,16 +408,6 @@ def cooldown_gate(spark, sf):
     return gated.select("sender_id", "message_id", flag("allowed").alias("allowed"))
 
 
-@query
-def rate_limit(spark, sf):
-    a = A.activity(spark, sf).filter("is_valid").select(
-        F.col("message_id").alias("id"), "account_name", "ts",
-        F.concat(F.lit("target_"), (F.col("chat_id") % 4).cast("string")).alias("scope"))
-    # seconds shrink to a twentieth, so that the sparse test events collide
-    fast = a.withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / 300).cast("long")))
-    return senders.rate_limit(fast).select("scope", "account_name", "id", flag("admitted").alias("admitted"))
-
-
 @query
 def account_stats(spark, sf):
     a = A.activity(spark, sf)
@@ -619,9 +609,8 @@ def health_rollup(spark, sf):
 # --- lexicon maintenance -----------------------------------------------------------------------
 @query
 def lexicon_index(spark, sf):
-    i = lexicon_admin.lexicon_index(A.lexicon_v(spark, sf)).select("category", "total", F.explode("lists").alias("l"))
-    return i.select("category", "total", "l.path", "l.label", F.col("l.count").alias("n"),
-                    F.array_join("l.items", "|").alias("items"))
+    i = lexicon_admin.lexicon_index(A.lexicon_v(spark, sf))
+    return i.select("category", "total", "path", "label", F.col("count").alias("n"), F.array_join("items", "|").alias("items"))
 
 
 @query

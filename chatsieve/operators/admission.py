@@ -1,13 +1,12 @@
-"""Sequential admission of alerts: the small per-row steps that run inside tasks.
+"""Sequential admission of alerts: the small steps that run inside tasks over sorted rows.
 
-Rows arrive sorted; each generator keeps a constant amount of state and never holds a
-whole group.
+No step holds a whole group: a batch of rows is worked on as arrays, and what passes to the next batch is a few numbers per open group.
 """
 
 from __future__ import annotations
 
 import json
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,133 +20,137 @@ def cooldown_seconds(reputation: np.ndarray, base: float) -> np.ndarray:
     return np.maximum(COOLDOWN_FLOOR, base * (1.0 - rep / 200.0))
 
 
-class RateState:
-    """Sliding windows, token bucket and per-account windows of one scope."""
-
-    def __init__(self, per_min: int, per_hour: int, burst: int) -> None:
-        self.per_min, self.per_hour, self.burst = per_min, per_hour, burst
-        self.tokens, self.refilled_at = float(burst), None
-        self.minute, self.hour = deque(), deque()
-        self.accounts: dict[str, deque] = {}
-
-    @staticmethod
-    def _expire(window: deque, oldest: float) -> None:
-        while window and window[0] < oldest:
-            window.popleft()
-
-    def offer(self, now: float, account: str) -> tuple[bool, float, bool]:
-        """(admitted, no admission before, that time itself excluded)."""
-        if self.refilled_at is not None:
-            gained = (now - self.refilled_at) * (self.per_min / 60.0)
-            self.tokens = min(float(self.burst), self.tokens + gained)
-        self.refilled_at = now
-        self._expire(self.minute, now - 60)
-        self._expire(self.hour, now - 3600)
-        if len(self.minute) >= self.per_min:
-            return False, self.minute[0] + 60, True
-        if len(self.hour) >= self.per_hour:
-            return False, self.hour[0] + 3600, True
-        if self.tokens < 1.0:
-            return False, now, True
-        window = self.accounts.setdefault(account, deque())
-        self._expire(window, now - 60)
-        if len(window) >= max(1, self.per_min // len(self.accounts)):
-            return False, now, False
-        self.tokens -= 1
-        for w in (self.minute, self.hour, window):
-            w.append(now)
-        return True, now, False
-
-    def export(self) -> dict:
-        return {"tokens": self.tokens, "refilled_at": self.refilled_at, "minute": list(self.minute),
-                "hour": list(self.hour), "accounts": {k: list(v) for k, v in self.accounts.items()}}
-
-    def restore(self, saved: dict) -> RateState:
-        self.tokens, self.refilled_at = saved["tokens"], saved["refilled_at"]
-        self.minute, self.hour = deque(saved["minute"]), deque(saved["hour"])
-        self.accounts = {k: deque(v) for k, v in saved["accounts"].items()}
-        return self
-
-
-def rate_limited(scope: str, account: str, per_min: int, per_hour: int, burst: int):
-    """Task function over rows sorted by (scope, time): adds `admitted`."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
-        for pdf in batches:
-            scopes, accounts = pdf[scope].to_numpy(), pdf[account].to_numpy()
-            times = pdf["_at"].to_numpy()
-            admitted = np.zeros(len(pdf), dtype=bool)
-            i = 0
-            while i < len(pdf):
-                if scopes[i] != current:
-                    current, state = scopes[i], RateState(per_min, per_hour, burst)
-                ok, wait, exclusive = state.offer(times[i], accounts[i])
-                admitted[i] = ok
-                i += 1
-                if not ok and exclusive:
-                    # nothing in this scope passes up to then: jump over those rows
-                    end = i + int(np.argmax(scopes[i:] != current)) if (scopes[i:] != current).any() else len(pdf)
-                    i += int(np.searchsorted(times[i:end], wait, side="right"))
-            yield pdf.drop(columns="_at").assign(admitted=admitted)
-    return run
+def _group_bounds(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where a new group begins among sorted rows, the first row included, and the end."""
+    changed = np.zeros(len(pdf), dtype=bool)
+    for k in keys:
+        values = pdf[k].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.r_[0, np.flatnonzero(changed), len(pdf)] if len(pdf) else np.array([0])
 
 
 def cooled_down(keys: list[str], base: float):
-    """Task function over rows sorted by (keys, time): adds `allowed`."""
+    """Task function over rows sorted by (keys, time): adds `allowed`.
+
+    A row is allowed once its time less its own wait reaches the last allowed time, so the next allowed row is looked up, not walked to.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
+        current, last = None, -np.inf
         for pdf in batches:
-            groups = list(zip(*(pdf[k].to_numpy() for k in keys)))
-            times = pdf["_at"].to_numpy()
-            wait = cooldown_seconds(pdf["reputation"].to_numpy(dtype=float), base)
+            times = pdf["_at"].to_numpy(dtype=float)
+            ready = times - cooldown_seconds(pdf["reputation"].to_numpy(dtype=float), base)
             allowed = np.zeros(len(pdf), dtype=bool)
-            for i, group in enumerate(groups):
+            bounds = _group_bounds(pdf, keys)
+            for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+                group = tuple(pdf[k].iat[begin] for k in keys)
                 if group != current:
-                    current, last = group, None
-                if last is None or times[i] - last >= wait[i]:
+                    current, last = group, -np.inf
+                i = begin
+                while i < end:
+                    # the wait lies between the floor and the larger of floor and base: nothing passes before, everything after
+                    i += int(np.searchsorted(times[i:end], last + COOLDOWN_FLOOR, side="left"))
+                    stop = min(end, i + 1 + int(np.searchsorted(times[i:end], last + max(base, COOLDOWN_FLOOR), side="left")))
+                    passing = np.flatnonzero(ready[i:stop] >= last)
+                    if not len(passing):
+                        i = max(stop, i + 1)
+                        continue
+                    i += int(passing[0])
                     allowed[i], last = True, times[i]
+                    i += 1
             yield pdf.drop(columns="_at").assign(allowed=allowed)
     return run
 
 
-def walked_reputation(keys: list[str]):
-    """Task function over rows sorted by (keys, time) with the carried-in reputation."""
+def walked_reputation(keys: list[str], low: float = 0.0, high: float = 100.0):
+    """Task function over rows sorted by (keys, time) with the carried-in reputation: adds `reputation`.
+
+    A step is x -> min(hi, max(lo, x + b)). Steps compose to a step of that form, so running compositions come from doubling: after k
+    rounds each row holds the composition of the 2**k rows up to it, within its group.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, x = None, 50.0
+        current, value = None, None
         for pdf in batches:
-            groups = list(zip(*(pdf[k].to_numpy() for k in keys)))
-            begin, valid = pdf["carried"].to_numpy(), pdf["is_valid"].to_numpy()
-            out = np.empty(len(pdf))
-            for i, group in enumerate(groups):
-                if group != current:
-                    current, x = group, begin[i]
-                x = min(100.0, x + 2.0) if valid[i] else max(0.0, x - 1.0)
-                out[i] = x
+            n = len(pdf)
+            bounds = _group_bounds(pdf, keys)
+            start = np.repeat(bounds[:-1], np.diff(bounds))
+            x = pdf["carried"].to_numpy(dtype=float).copy()[start] if n else np.empty(0)
+            if n and current is not None and tuple(pdf[k].iat[0] for k in keys) == current:
+                x[:bounds[1]] = value
+            shift = np.where(pdf["is_valid"].to_numpy(dtype=bool), 2.0, -1.0)
+            lo, hi = np.full(n, low), np.full(n, high)
+            width, place = 1, np.arange(n)
+            longest = int(np.diff(bounds).max()) if n else 0
+            while width < longest:
+                mine = np.flatnonzero(place - width >= start)
+                before = mine - width
+                new_shift = shift[before] + shift[mine]
+                new_lo = np.clip(lo[before] + shift[mine], lo[mine], hi[mine])
+                new_hi = np.clip(hi[before] + shift[mine], lo[mine], hi[mine])
+                shift[mine], lo[mine], hi[mine] = new_shift, new_lo, new_hi
+                width *= 2
+            out = np.minimum(hi, np.maximum(lo, x + shift))
+            if n:
+                current, value = tuple(pdf[k].iat[n - 1] for k in keys), out[n - 1]
             yield pdf.drop(columns="carried").assign(reputation=out)
     return run
 
 
+class ScopeBudget:
+    """Who was admitted when in one scope, as sorted times; all limits are answered from these and one token level.
+
+    Admitted are fewer than per_min in 60 s and per_hour in 3600 s; there must be a whole token (burst at most, per_min / 60 more each
+    second); and an account may have its even share of the minute, at least one.
+    """
+
+    def __init__(self, per_min: int, per_hour: int, burst: int, saved: str | None = None):
+        self.per_min, self.per_hour, self.burst = per_min, per_hour, burst
+        told = json.loads(saved) if saved else {}
+        self.times: list[float] = told.get("times", [])
+        self.by_account: dict[str, list[float]] = told.get("by_account", {})
+        self.level, self.level_at = told.get("level", float(burst)), told.get("level_at")
+
+    def admits(self, now: float, account: str) -> bool:
+        """Whether an alert may go out now; if so, it is entered. An account counts as seen once it gets as far as its share."""
+        tokens = self.level if self.level_at is None else min(self.burst, self.level + (now - self.level_at) * self.per_min / 60.0)
+        n = len(self.times)
+        within = lambda times, seconds: len(times) - bisect_left(times, now - seconds)
+        if within(self.times, 60) >= self.per_min or within(self.times, 3600) >= self.per_hour or tokens < 1.0 - 1e-9:
+            return False
+        own = self.by_account.setdefault(account, [])
+        if within(own, 60) >= max(1, self.per_min // len(self.by_account)):
+            return False
+        self.level, self.level_at = tokens - 1.0, now
+        self.times.append(now)
+        own.append(now)
+        if n > 4 * self.per_hour:
+            del self.times[:bisect_left(self.times, now - 3600)]
+            self.by_account = {k: v[bisect_left(v, now - 60):] for k, v in self.by_account.items()}
+        return True
+
+    def saved(self) -> str:
+        return json.dumps({"times": self.times, "by_account": self.by_account, "level": self.level, "level_at": self.level_at})
+
+
 def gated(base: float, per_min: int, per_hour: int, burst: int):
     """Task function over valid messages sorted by (scope, time): cooldown and rate limit in
     one step, since a rate-limited alert starts no cooldown. Adds `admitted` and, for admitted
     rows, `rate_state`: what the next batch of the scope continues from."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, last = object(), None, {}
+        current, budget, last = None, None, {}
         for pdf in batches:
-            wait = cooldown_seconds(pdf["reputation"].to_numpy(dtype=float), base)
-            times, admitted, saved = pdf["_at"].to_numpy(), [], []
-            rows = zip(pdf["scope"], pdf["account_name"], pdf["sender_id"], pdf["_last_alert"], pdf["_rate_state"])
-            for i, (scope, account, sender, before, carried) in enumerate(rows):
-                if scope != current:
-                    current, state, last = scope, RateState(per_min, per_hour, burst), {}
-                    if carried:
-                        state.restore(json.loads(carried))
-                previous = last.get(sender, before)
-                cool = previous is None or np.isnan(previous) or times[i] - previous >= wait[i]
-                ok = bool(cool and state.offer(times[i], account)[0])
-                if ok:
-                    last[sender] = times[i]
-                admitted.append(ok)
-                saved.append(json.dumps(state.export()) if ok else None)
+            times = pdf["_at"].to_numpy(dtype=float)
+            ready = times - cooldown_seconds(pdf["reputation"].to_numpy(dtype=float), base)
+            admitted, saved = np.zeros(len(pdf), dtype=bool), np.full(len(pdf), None, dtype=object)
+            bounds = _group_bounds(pdf, ["scope"])
+            senders, accounts = pdf["sender_id"].to_numpy(), pdf["account_name"].to_numpy()
+            before = pdf["_last_alert"].to_numpy(dtype=float)
+            for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+                if budget is None or pdf["scope"].iat[begin] != current:
+                    current, last = pdf["scope"].iat[begin], {}
+                    budget = ScopeBudget(per_min, per_hour, burst, pdf["_rate_state"].iat[begin])
+                for i in range(begin, end):
+                    since = last.get(senders[i], before[i])
+                    if (np.isnan(since) or ready[i] >= since) and budget.admits(times[i], accounts[i]):
+                        last[senders[i]], admitted[i], saved[i] = times[i], True, budget.saved()
             yield pdf.drop(columns=["_at", "_last_alert", "_rate_state"]).assign(admitted=admitted, rate_state=saved)
     return run

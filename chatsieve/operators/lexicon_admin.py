@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.config import DEFAULT_TERM_WEIGHT
 from chatsieve.functions.text import let, strip_ws
 
 
 def lexicon_index(lexicon: DataFrame) -> DataFrame:
-    """Per category the number of terms and its lists, each with count and items."""
+    """One row per list: category, its number of terms, path, label, count and items of the list, in document order."""
     lists = lexicon.groupBy("category", "path").agg(
         F.min("ord").alias("ord"), F.count(F.lit(1)).alias("count"),
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda r: r["term"]).alias("items"))
     label = F.when(F.col("path") == F.col("category"), "(main list)").otherwise(
         F.substring("path", F.length("category") + 2, F.length("path")))
-    lists = lists.withColumn("label", label)
-    entry = F.struct("ord", "path", "label", "count", "items")
-    return lists.groupBy("category").agg(
-        F.sum("count").alias("total"), F.sort_array(F.collect_list(entry)).alias("lists")).orderBy("category")
+    totals = lexicon.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
+    return lists.join(totals, "category").withColumn("label", label).orderBy("ord", "path").select(
+        "category", "total", "path", "label", "count", "items")
 
 
 def lexicon_search(lexicon: DataFrame, query: str, limit: int | None = None) -> DataFrame:
@@ -83,32 +85,31 @@ def apply_lexicon_edits(lexicon: DataFrame, edits: DataFrame) -> tuple[DataFrame
     return fresh.select("path", "category", "grp", "term", "weight", "pos", "ord"), statuses
 
 
-def export_lexicon(lexicon: DataFrame, depth: int = 6) -> DataFrame:
-    """One row (doc): the lexicon as a JSON document, lists and members in their order.
+def export_lexicon(lexicon: DataFrame) -> DataFrame:
+    """One row (doc): the lexicon as a JSON document, lists and members in their order, at any depth.
 
-    Nested objects are put together from the deepest level up, one aggregation per level.
+    One aggregation makes the lists, one more brings them together, as the document is one row. A weight hint is written where a
+    list's weight isn't the default.
     """
-    nodes = lexicon.groupBy("path").agg(
+    lists = lexicon.groupBy("path").agg(
         F.min("ord").alias("ord"), F.max("weight").alias("weight"),
-        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda r: r["term"])).alias("json"))
-    nodes = nodes.select(F.split("path", r"\.").alias("parts"), "ord", "weight", "json")
-    weighed = F.element_at("parts", -1) == "terms"
-    for level in range(depth, 0, -1):
-        here = nodes.filter(F.size("parts") == level)
-        member = F.concat(F.to_json(F.array(F.element_at("parts", -1))), F.lit(":"), F.col("json"))
-        # to_json of a one-element array, without its brackets, is the quoted key
-        member = F.regexp_replace(member, r'^\[("(?:[^"\\]|\\.)*")\]:', "$1:")
-        hinted = F.when(weighed, F.concat(F.lit('"_weight_hint":'), F.col("weight").cast("string"), F.lit(","), member))
-        joined = here.select(
-            F.slice("parts", F.lit(1), F.size("parts") - 1).alias("up"), "ord",
-            F.coalesce(hinted, member).alias("member"))
-        objects = joined.groupBy("up").agg(
-            F.slice(F.min("ord"), 1, level - 1).alias("ord"),
-            F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "member"))),
-                     lambda r: r["member"]), ","), F.lit("}")).alias("json"))
-        nodes = nodes.filter(F.size("parts") < level).unionByName(
-            objects.select(F.col("up").alias("parts"), "ord", F.lit(None).cast("double").alias("weight"), "json"))
-    return nodes.select(F.col("json").alias("doc"))
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda r: r["term"]).alias("items"))
+    whole = lists.agg(F.sort_array(F.collect_list(F.struct("ord", "path", "weight", "items"))).alias("lists"))
+
+    @F.udf("string")
+    def document(rows) -> str:
+        root: dict = {}
+        for row in rows:
+            *above, name = row["path"].split(".")
+            node = root
+            for part in above:
+                node = node.setdefault(part, {})
+            if name == "terms" and row["weight"] is not None and row["weight"] != DEFAULT_TERM_WEIGHT:
+                node["_weight_hint"] = row["weight"]
+            node[name] = row["items"]
+        return json.dumps(root, ensure_ascii=False)
+
+    return whole.select(document("lists").alias("doc"))
 
 
 def replace_lexicon(docs: DataFrame, target: str, version: int) -> None:

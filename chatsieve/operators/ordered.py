@@ -114,11 +114,18 @@ def apply_step(x: Column, s: Column) -> Column:
     return F.least(s["hi"], F.greatest(s["lo"], s["a"] * x + s["b"]))
 
 
-def chunk_steps(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
-    """(keys, _chunk, step, n): each chunk's rows folded in order to one step."""
-    rows = df.select(*keys, "_chunk", F.struct(*order, value.alias("step")).alias("row"))
-    folded = rows.groupBy(*keys, "_chunk").agg(
-        F.sort_array(F.collect_list("row")).alias("rows"), F.count(F.lit(1)).alias("n"))
+def chunk_steps(df: DataFrame, keys: list[str], order: list[str], value: Column, run: int = 4096) -> DataFrame:
+    """(keys, _chunk, step, n): each chunk's rows folded in order to one step.
+
+    Runs of `run` rows are folded first, then the runs of a chunk, so no array holds a chunk's rows.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    rows = df.withColumn("_run", F.floor((nth - 1) / run)).select(*keys, "_chunk", "_run", F.struct(*order, value.alias("step")).alias("row"))
+    runs = rows.groupBy(*keys, "_chunk", "_run").agg(
+        F.sort_array(F.collect_list("row")).alias("rows"), F.count(F.lit(1)).alias("n")).select(
+        *keys, "_chunk", "_run", _fold(F.col("rows")).alias("step"), "n")
+    folded = runs.groupBy(*keys, "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct("_run", "step"))).alias("rows"), F.sum("n").alias("n"))
     return folded.select(*keys, "_chunk", _fold(F.col("rows")).alias("step"), "n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from chatsieve.operators import admission
 from chatsieve.operators import ordered as O
-from chatsieve.operators.admission import cooled_down, rate_limited, walked_reputation
+from chatsieve.operators.admission import cooled_down, walked_reputation
 
 START, TOP = 50.0, 100.0
 
@@ -75,20 +75,6 @@ def cooldown_gate(messages: DataFrame, order: list[str], base: float = 300.0) ->
     return ready.mapInPandas(cooled_down(keys, base), schema).drop("session")
 
 
-def rate_limit(
-    alerts: DataFrame, scope: str = "scope", account: str = "account_name", order: tuple[str, ...] = ("ts", "id"),
-    per_min: int = 12, per_hour: int = 120, burst: int = 5,
-) -> DataFrame:
-    """Add `admitted`: per scope fewer than per_min in 60 s and per_hour in 3600 s, a token
-    (burst-capped, refilled at per_min/60 per second), and the account's fair share of the
-    minute. The work scales over scopes; within one it is a pass in time order that keeps
-    only the windows and jumps over stretches in which nothing can be admitted."""
-    ready = alerts.withColumn("_at", F.unix_micros(order[0]) / 1e6)
-    ready = ready.repartition(scope).sortWithinPartitions(scope, *order)
-    schema = T.StructType([*alerts.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return ready.mapInPandas(rate_limited(scope, account, per_min, per_hour, burst), schema)
-
-
 def account_stats(events: DataFrame) -> DataFrame:
     """Per account: volumes, outcomes, decisions and mean confidence.
 

@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatsieve.config import DEFAULT_TERM_WEIGHT, LEXICON_CATEGORIES
 
-_MAX_DEPTH = 6
+WALKED = (T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("ord", T.ArrayType(T.IntegerType())),
+          T.StructField("hint", T.DoubleType()), T.StructField("node", T.StringType()))
+
 
+def _hint(node: dict) -> float | None:
+    value = node.get("_weight_hint")
+    try:
+        return None if isinstance(value, bool) else float(value)
+    except (TypeError, ValueError):
+        return None
 
-def _members(node: str) -> F.Column:
-    return F.posexplode(F.from_json(F.col(node), "map<string,string>"))
+
+def _walked(text: str | None) -> Iterator[tuple[list[str], list[int], float | None, str]]:
+    """(parts, ord, hint, node) of every member of a JSON document, however deep; its members that aren't known categories are left out."""
+    try:
+        root = json.loads(text or "")
+    except ValueError:
+        return
+    open_ = [([], [], root)] if isinstance(root, dict) else []
+    while open_:
+        parts, order, node = open_.pop()
+        for i, (key, child) in enumerate(node.items()):
+            if key.startswith("_") or child is None or (not parts and key not in LEXICON_CATEGORIES):
+                continue
+            path, at = [*parts, key], [*order, i]
+            yield path, at, _hint(node), child if isinstance(child, str) else json.dumps(child, ensure_ascii=False)
+            if isinstance(child, dict):
+                open_.append((path, at, child))
 
 
 def walk_documents(docs: DataFrame, doc: str = "doc", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every (path, node) of the JSON objects in column `doc`, metadata keys skipped.
+    """Every (path, node) of the JSON objects in column `doc`, metadata keys skipped; one pass over the documents.
 
     `ord` holds the position of each path part among its siblings, so that sorting by it
     gives document order. `hint` is the `_weight_hint` of the enclosing object.
     """
-    level = docs.select(
-        *keys, F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("ord"),
-        F.lit(None).cast("double").alias("hint"), F.col(doc).alias("node"))
-    found = None
-    for depth in range(_MAX_DEPTH):
-        children = (
-            level.filter(F.ltrim("node").startswith("{"))
-            .select(*keys, "parts", "ord", F.get_json_object("node", "$._weight_hint").alias("own_hint"),
-                    _members("node").alias("i", "key", "child"))
-            .filter(~F.col("key").startswith("_") & F.col("child").isNotNull())
-        )
-        if depth == 0:
-            children = children.filter(F.col("key").isin(*LEXICON_CATEGORIES))
-        level = children.select(
-            *keys, F.array_append("parts", F.col("key")).alias("parts"),
-            F.array_append("ord", F.col("i")).alias("ord"),
-            F.expr("try_cast(own_hint AS double)").alias("hint"), F.col("child").alias("node"))
-        found = level if found is None else found.unionByName(level)
-    return found
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.float64(), pa.string()]
+        for batch in batches:
+            rows = [(i, *row) for i, text in enumerate(batch.column(len(keys)).to_pylist()) for row in _walked(text)]
+            if rows:
+                at, *columns = zip(*rows, strict=True)
+                picked = [batch.column(k).take(pa.array(at)) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*picked, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))],
+                                                 names=[*keys, "parts", "ord", "hint", "node"])
+
+    chosen = docs.select(*keys, doc)
+    schema = T.StructType([*(chosen.schema[k] for k in keys), *WALKED])
+    return chosen.mapInArrow(walk, schema)
 
 
 def lexicon_from_documents(docs: DataFrame, doc: str = "doc", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -76,7 +98,7 @@ def dialect_from_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """(variant, canonical) pairs; a later region overrides an earlier one."""
     regions = walk_documents(docs, doc).filter(
         (F.col("parts")[0] == "dialect_mapping") & (F.size("parts") == 2) & F.ltrim("node").startswith("{"))
-    pairs = regions.select("ord", _members("node").alias("i", "variant", "canonical"))
+    pairs = regions.select("ord", F.posexplode(F.from_json("node", "map<string,string>")).alias("i", "variant", "canonical"))
     return pairs.groupBy("variant").agg(
         F.max_by("canonical", F.struct("ord", "i")).alias("canonical"))
 

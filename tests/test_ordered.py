@@ -1,11 +1,12 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from chatsieve.operators import monitoring, senders
 from chatsieve.operators import ordered as O
-from chatsieve.operators.admission import RateState
+from chatsieve.operators.admission import ScopeBudget
 
 
 def hot_rows(spark, n=600, seed=3):
@@ -41,19 +42,36 @@ def test_reputation_and_cooldown_with_a_hot_sender(spark):
     assert {r["id"]: r["allowed"] for r in gate.collect()} == allowed
 
 
-def test_rate_limit_equals_row_by_row_replay(spark):
+def test_scope_budget_equals_plain_counting():
     rng = random.Random(5)
-    t, rows = 0.0, []
-    for i in range(3000):
-        t += rng.choice([0, 0.5, 1, 2, 30])
-        rows.append((f"s{i % 2}", f"a{rng.randint(0, 3)}", t, i))
-    df = spark.createDataFrame(rows, "scope string, account_name string, at double, id long").select(
-        "scope", "account_name", "id", F.timestamp_seconds("at").alias("ts"))
-    states, want = {}, {}
-    for scope, account, at, i in rows:
-        want[i] = states.setdefault(scope, RateState(12, 120, 5)).offer(at, account)[0]
-    got = {r["id"]: r["admitted"] for r in senders.rate_limit(df).collect()}
-    assert got == want and 0 < sum(want.values()) < len(want)
+    now, budget, sent, seen, level, level_at = 0.0, ScopeBudget(12, 120, 5), [], [], 5.0, None
+    for i in range(4000):
+        now += rng.choice([0, 0.5, 1, 2, 30])
+        account = f"a{rng.randint(0, 3)}"
+        level, level_at = (level if level_at is None else min(5.0, level + (now - level_at) / 5)), now
+        want = sum(t >= now - 60 for t, _ in sent) < 12 and sum(t >= now - 3600 for t, _ in sent) < 120 and level >= 1.0 - 1e-9
+        if want:
+            seen = seen if account in seen else [*seen, account]
+            want = sum(t >= now - 60 and a == account for t, a in sent) < max(1, 12 // len(seen))
+        if i == 2000:
+            budget = ScopeBudget(12, 120, 5, budget.saved())
+        assert budget.admits(now, account) == want, i
+        if want:
+            level -= 1
+            sent.append((now, account))
+    assert 0 < len(sent) < 4000
+
+
+@pytest.mark.parametrize("run", [1, 7, 4096])
+def test_chunks_fold_in_runs(spark, run):
+    rows, df = hot_rows(spark, 300)
+    chunked = O.in_chunks(df, ["sender_id"], ["ts", "id"], 2)
+    value = O.step(1.0, F.when(F.col("is_valid"), 2.0).otherwise(-1.0), 0.0, 100.0)
+    steps = O.chunk_steps(chunked, ["sender_id"], ["ts", "id"], value, run)
+    whole = O.carried_values(steps, ["sender_id"], 50.0)
+    assert whole.count() == steps.count() and steps.agg(F.sum("n")).first()[0] == 300
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, O.carried_values(
+        O.chunk_steps(chunked, ["sender_id"], ["ts", "id"], value), ["sender_id"], 50.0).collect()))
 
 
 def test_look_back_windows_across_chunks(spark):
