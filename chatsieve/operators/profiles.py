@@ -9,11 +9,12 @@ from chatsieve.operators.bounds import broadcast_if_small
 from chatsieve.operators.dedup import last_per_key
 
 
-def drop_blocked(df: DataFrame, blocked_senders: DataFrame, blocked_chats: DataFrame) -> DataFrame:
-    """Rows of neither a blocked sender nor a blocked chat."""
-    senders = broadcast_if_small(blocked_senders.select("sender_id"))
-    chats = broadcast_if_small(blocked_chats.select("chat_id"))
-    return df.join(senders, "sender_id", "left_anti").join(chats, "chat_id", "left_anti")
+def drop_blocked(df: DataFrame, blocked_senders: DataFrame | None, blocked_chats: DataFrame | None) -> DataFrame:
+    """Rows of neither a blocked sender nor a blocked chat; a list that isn't given blocks nothing."""
+    for blocked, key in ((blocked_senders, "sender_id"), (blocked_chats, "chat_id")):
+        if blocked is not None:
+            df = df.join(broadcast_if_small(blocked.select(key)), key, "left_anti")
+    return df
 
 
 def apply_block_events(

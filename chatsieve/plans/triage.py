@@ -279,8 +279,9 @@ def _mark_duplicates(
     marked = mark_first(keyed, ["_group"], order)
     again = ~F.col("is_first")
     if known is not None:
-        seen = known.select(F.col("content_hash").alias("_content")).distinct().withColumn("_seen", F.lit(True))
-        marked = marked.join(seen, "_content", "left")
+        # on the group, which is never null: rows without a hash stay spread out
+        seen = known.select(F.col("content_hash").alias("_group")).distinct().withColumn("_seen", F.lit(True))
+        marked = marked.join(seen, "_group", "left")
         again = again | F.col("_seen").isNotNull()
     repeat = again & F.col("_passed")
     empty = {

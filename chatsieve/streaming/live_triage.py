@@ -1,12 +1,14 @@
 """Live triage: event stream to messages, results, alerts, sender state and profiles.
 
-Each micro-batch writes its rows under `<root>/<table>/batch=<n>`, replacing what a failed
-attempt of the same batch left there, and reads only earlier batches: a repeated batch gives
-the same tables. All state is in those tables; the stream itself keeps none.
+Each run (a micro-batch of the stream, or a retry) gets the next number of one common log, writes its rows under
+`<root>/<table>/batch=<number>`, replacing what a failed attempt left there, and is entered in the log once all is written.
+Runs read what entered runs have written; a run that has been entered is not done again. So a repeated micro-batch gives the
+same tables, and stream and retries see each other. All state is in those tables; runs follow each other, one writer at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -29,24 +31,29 @@ from chatsieve.sources.sinks import new_by_key, read_if_any
 
 _KEYS = ["message_hash", "chat_id", "message_id", "sender_id", "account_name"]
 _ORDER = ["ts", "message_hash"]
+_REJECTED = ["chat_id", "message_id", "sender_id", "account_name", "ts", "text", "rejected_reason"]
 
 
 @dataclass
 class LiveTriage:
+    """lexicon and blocklists may be functions: they are called at each run, so that a new lexicon version, or blocklists that
+    `apply_block_events` keeps up to date, take effect without a restart. history_days: redeliveries older than so many days
+    are not looked for; by default all are."""
+
     root: str
-    lexicon: TriageLexicon
+    lexicon: TriageLexicon | Callable[[], TriageLexicon]
     cfg: TriageConfig = field(default_factory=TriageConfig)
     profile: ScriptProfile = ARABIC
     admin_chat: int | None = None
     started_at: str | None = None
-    blocked_senders: DataFrame | None = None
-    blocked_chats: DataFrame | None = None
+    blocked_senders: DataFrame | Callable[[], DataFrame] | None = None
+    blocked_chats: DataFrame | Callable[[], DataFrame] | None = None
     scope: str = "all"
     cooldown: float = 300.0
     per_min: int = 12
     per_hour: int = 120
     burst: int = 5
-    history_days: int = 7
+    history_days: int | None = None
 
     # --- tables -----------------------------------------------------------
     def table(self, spark, name: str) -> DataFrame | None:
@@ -59,10 +66,26 @@ class LiveTriage:
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
+    def _next_run(self, spark, source: str, number: int) -> int | None:
+        """The number of a run; None if it has been entered already."""
+        log = self.table(spark, "runs")
+        if log is None:
+            return 0
+        done, last = log.agg(
+            F.count_if((F.col("source") == source) & (F.col("number") == number)), F.max("run")).first()
+        return None if done else last + 1
+
     # --- one micro-batch -----------------------------------------------------
-    def process(self, events: DataFrame, batch_id: int) -> None:
+    def process(self, events: DataFrame, number: int, source: str = "stream", resent: DataFrame | None = None) -> None:
+        """One run over `events`; `resent`: finished alerts that only have to be written."""
         spark = events.sparkSession
-        fresh = O.stable(self._fresh(events, batch_id))
+        batch_id = self._next_run(spark, source, number)
+        if batch_id is None:
+            return
+        admitted = self._admitted(events)
+        rejected = admitted.filter(F.col("rejected_reason").isNotNull())
+        self._write(rejected.select(*[c for c in rejected.columns if c in _REJECTED]), "rejected", batch_id)
+        fresh = O.stable(self._fresh(admitted.filter(F.col("rejected_reason").isNull()).drop("rejected_reason"), batch_id))
         results = O.stable(self._results(fresh, batch_id))
         state = self._before(spark, "senders", batch_id)
         state = None if state is None else O.stable(last_per_key(state, ["sender_id"], ["batch"]).drop("batch"))
@@ -71,22 +94,31 @@ class LiveTriage:
         walked = O.stable(running_reputation(rows, _ORDER, start))
         gate = O.stable(self._gate(walked, state, batch_id))
         alerts = self._alerts(gate, fresh, results)
-        self._write(fresh.select(*_KEYS, "ts", F.substring("text", 1, 500).alias("message_text")), "messages", batch_id)
+        if resent is not None:
+            alerts = alerts.unionByName(resent.select(*[c for c in resent.columns if c in alerts.columns]), allowMissingColumns=True)
+        self._write(fresh.select(*_KEYS, "ts", F.col("text").alias("message_text")), "messages", batch_id)
         self._write(results, "results", batch_id)
         self.flush_alerts(alerts, batch_id)
         self._write(self._senders(walked, gate, state), "senders", batch_id)
         self._write(self._profiles(fresh), "profiles", batch_id)
+        entry = spark.range(1).select(F.lit(source).alias("source"), F.lit(number).cast("long").alias("number"), F.lit(batch_id).alias("run"))
+        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+
+    def _admitted(self, events: DataFrame) -> DataFrame:
+        """Admitted events of senders and chats that aren't blocked, with `rejected_reason` where the text's length is out of bounds."""
+        given = [x() if callable(x) else x for x in (self.blocked_senders, self.blocked_chats)]
+        df = drop_blocked(admit_events(events, self.admin_chat, self.started_at), *given)
+        n = F.length("text")
+        return df.withColumn("rejected_reason", F.when(n == 0, None).when(n < self.cfg.min_len, "too_short").when(n > self.cfg.max_len, "too_long"))
 
     def _fresh(self, events: DataFrame, batch_id: int) -> DataFrame:
         spark = events.sparkSession
-        df = admit_events(events, self.admin_chat, self.started_at)
-        df = df.filter((F.col("text") == "") | F.length("text").between(self.cfg.min_len, self.cfg.max_len))
-        if self.blocked_senders is not None and self.blocked_chats is not None:
-            df = drop_blocked(df, self.blocked_senders, self.blocked_chats)
-        df = dedup_messages(df, ["ts", "message_id"])
+        df = dedup_messages(events, ["ts", "message_id"])
         known = self._before(spark, "messages", batch_id)
         if known is None:
             return df
+        if self.history_days is None:
+            return df.join(known.select("message_hash"), "message_hash", "left_anti")
         # Redeliveries older than the retention time are not looked for.
         span = df.agg(F.min("ts").alias("from_ts")).withColumn(
             "from_ts", F.col("from_ts") - F.make_dt_interval(F.lit(self.history_days)))
@@ -96,7 +128,8 @@ class LiveTriage:
     def _results(self, fresh: DataFrame, batch_id: int) -> DataFrame:
         earlier = self._before(fresh.sparkSession, "results", batch_id)
         known = None if earlier is None else earlier.select("content_hash").filter(F.col("content_hash").isNotNull())
-        return triage(fresh, self.lexicon, _KEYS, _ORDER, self.cfg, self.profile,
+        lexicon = self.lexicon() if callable(self.lexicon) else self.lexicon
+        return triage(fresh, lexicon, _KEYS, _ORDER, self.cfg, self.profile,
                       known_content=known, keep_content=True)
 
     def _gate(self, walked: DataFrame, state: DataFrame | None, batch_id: int) -> DataFrame:
@@ -173,13 +206,10 @@ class LiveTriage:
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
         return writer.start()
 
-    def reprocess(self, failures: DataFrame, batch_id: int) -> None:
-        """Retry failed work as a batch of its own. Rows of kind `alert_resend` carry a finished
-        alert and go straight to the alert table; all others are triaged again, which known
-        messages do not survive."""
+    def reprocess(self, failures: DataFrame, number: int) -> None:
+        """Retry failed work as a run of its own; `number` counts retries and has nothing to do with the stream's. Rows of kind
+        `alert_resend` carry a finished alert and go straight to the alert table, unless their message has one; all others are
+        triaged again, which known messages do not survive."""
         again = failures.filter(F.coalesce("kind", F.lit("")) != "alert_resend").select("event.*")
-        self.process(again, batch_id)
-        resend = failures.filter(F.col("kind") == "alert_resend").select("alert.*")
-        written = self.table(failures.sparkSession, "alerts")
-        fresh = O.stable(new_by_key(resend, written, "message_hash", _ORDER))
-        fresh.write.mode("append").parquet(f"{self.root}/alerts/batch={batch_id}")
+        resent = failures.filter(F.col("kind") == "alert_resend").select("alert.*") if "alert" in failures.columns else None
+        self.process(again, number, "retry", resent)

@@ -51,6 +51,32 @@ def test_one_batch_and_many_batches_agree(spark, tmp_path):
         assert {r["sender_id"]: r["last_message_id"] for r in live.current_profiles(spark).collect()} == {1: 4, 2: 3, 3: 5}
 
 
+def frame(spark, events):
+    from chatsieve.schemas import EVENT_SCHEMA
+    from chatsieve.sources.events import with_derived
+    rows = [{f.name: e.get(f.name) for f in EVENT_SCHEMA.fields} for e in events]
+    return with_derived(spark.createDataFrame(rows, EVENT_SCHEMA))
+
+
+def test_retries_and_stream_see_each_other(spark, tmp_path):
+    blocked = []
+    live = LiveTriage(str(tmp_path / "out"), lambda: LEXICON,
+                      blocked_senders=lambda: spark.createDataFrame([(s,) for s in blocked], "sender_id long"))
+    live.process(frame(spark, EVENTS[:1]), 0)
+    failed = spark.createDataFrame([(None, 1)], "kind string, n int").join(
+        frame(spark, EVENTS[4:5] + [event(9, 9, 500, "قصير"), event(10, 9, 501, "انا محتاج " + "بحث " * 300)]).select(F.struct("*").alias("event")))
+    live.reprocess(failed, 0)
+    live.process(frame(spark, EVENTS[4:5] + EVENTS[2:3]), 1)      # message 4 comes again after its retry
+    live.process(frame(spark, EVENTS[4:5] + EVENTS[2:3]), 1)      # a repeated micro-batch does nothing
+    blocked.append(3)
+    live.process(frame(spark, EVENTS[5:]), 2)
+    assert sorted((r.message_id, r.batch) for r in live.table(spark, "messages").collect()) == [(1, 0), (3, 2), (4, 1), (10, 1)]
+    assert [len(r.message_text) for r in live.table(spark, "messages").filter("message_id = 10").collect()] == [1209]
+    assert sorted(r.message_id for r in live.table(spark, "alerts").collect()).count(4) == 1
+    assert [(r.message_id, r.rejected_reason) for r in live.table(spark, "rejected").collect()] == [(9, "too_short")]
+    assert live.table(spark, "runs").count() == 4
+
+
 def test_live_stats(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(e) for e in EVENTS), encoding="utf-8")
