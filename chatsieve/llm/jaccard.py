@@ -16,6 +16,8 @@ from chatsieve.llm.graph import components
 from chatsieve.llm.lm import words_of
 
 SIGNATURE_BITS = 1024
+#: Blocks of up to so many rows are compared pair by pair.
+FEW = 8
 _KEPT_WORDS = 500_000
 _M1, _M2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,11 +48,27 @@ def shingle_set(text: str | None, n: int, words: dict) -> np.ndarray:
     return np.unique(_mixed(h).view(np.int64))
 
 
-def signature(keys: np.ndarray) -> np.ndarray:
-    """Bitmap of a set: the bit that each key's low bits name."""
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[keys & (SIGNATURE_BITS - 1)] = 1
-    return np.packbits(bits)
+def signature(keys: np.ndarray, size: int = SIGNATURE_BITS) -> bytes:
+    """Bitmap of a set: the bit that each key's low bits name. `size` is a power of two."""
+    bits = np.zeros(size, np.uint8)
+    bits[keys & (size - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def bitmap(keys: np.ndarray) -> bytes:
+    """A signature with at least one bit for each key."""
+    return signature(keys, max(SIGNATURE_BITS, 1 << (len(keys) - 1).bit_length()))
+
+
+def greatest_overlap(x: bytes, size_x: int, y: bytes, size_y: int) -> int:
+    """An upper bound of the overlap of two sets by their bitmaps: a bit that only one has stands for a key that only it has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):  # low bits name the place, so halves fold onto each other
+        if len(a) > len(b):
+            a = a[:len(a) // 2] | a[len(a) // 2:]
+        else:
+            b = b[:len(b) // 2] | b[len(b) // 2:]
+    return min(size_x - int(np.bitwise_count(a & ~b).sum()), size_y - int(np.bitwise_count(b & ~a).sum()))
 
 
 def needed(a, b, percent: int):
@@ -106,23 +124,24 @@ class SignatureTree:
 
 
 def _sets_of(n: int):
-    """(doc_id, node, n_shingles, signature) per row, and the keys that are frequent within their batch."""
+    """(doc_id, node, n_shingles, signature, bitmap) per row, and the keys that are frequent within their batch."""
+    names = ["doc_id", "node", "n_shingles", "signature", "bitmap", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             ids, rows, all_keys = batch.column(0), [], []
             for text in batch.column(1).to_pylist():
                 keys = shingle_set(text, n, words)
-                rows.append((node_of(keys), len(keys), signature(keys).tobytes() if len(keys) else None))
+                rows.append((node_of(keys), len(keys), signature(keys) if len(keys) else None, bitmap(keys) if len(keys) else None))
                 all_keys.append(keys)
             often, times = _frequent(all_keys)
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)),
-                 pa.nulls(len(rows), pa.int64())], names=["doc_id", "node", "n_shingles", "signature", "times"])
+                [ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)),
+                 pa.nulls(len(rows), pa.int64())], names=names)
             if len(often):
-                none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(often), none, pa.nulls(len(often), pa.binary()), pa.array(times)],
-                                                 names=["doc_id", "node", "n_shingles", "signature", "times"])
+                none, blank = pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())
+                yield pa.RecordBatch.from_arrays([none, pa.array(often), none, blank, blank, pa.array(times)], names=names)
 
     return run
 
@@ -219,19 +238,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sizes and bitmaps allow the similarity."""
-    facts = nodes.select("node", "n_shingles", "signature")
-    both = (pairs.join(facts.toDF("a", "size_a", "bits_a"), "a").join(facts.toDF("b", "size_b", "bits_b"), "b")
-            .where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent))
+    """Those of `pairs` (a, b) whose sizes, then bitmaps allow the similarity."""
+    size, bits = nodes.select("node", "n_shingles"), nodes.select("node", "bitmap")
+    fit = (pairs.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+           .where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent))
+    both = fit.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").select("a", "b", "bits_a", "size_a", "bits_b", "size_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))
-            x, y = (_words64(get(c)) for c in ("bits_a", "bits_b"))
-            size_a, size_b = (get(c).to_numpy() for c in ("size_a", "size_b"))
-            lost = np.maximum(np.bitwise_count(x & ~y).sum(1, dtype=np.int64) - size_a, np.bitwise_count(y & ~x).sum(1, dtype=np.int64) - size_b)
-            keep = pa.array(-lost >= needed(size_a, size_b, percent))
-            yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], names=["a", "b"])
+            cols = [c.to_pylist() for c in batch.columns[2:]]
+            keep = pa.array([greatest_overlap(x, m, y, n) >= needed(m, n, percent) for x, m, y, n in zip(*cols, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -247,18 +264,27 @@ def _tree_pairs(percent: int):
         node, size, own = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
         bits = _words64(rows.column("signature").combine_chunks())
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        counts = np.diff(cuts)
         found: dict[tuple[int, int], None] = {}
-        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            if end - begin < 2:
-                continue
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            found.update(dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)))
+
+        # blocks of a few rows have no use for a tree: all their pairs at once, by the same bounds
+        leaves = SignatureTree([(size, size, bits, size - np.bitwise_count(bits).sum(1, dtype=np.int64), own)], 1)
+        few = np.repeat(counts <= FEW, counts)
+        for k in range(1, FEW):
+            i = np.flatnonzero(few[:-k] & (block[:-k] == block[k:]))
+            keep(*leaves._possible(0, i, i + k, percent))
+        for begin, end in zip(cuts[:-1][counts > FEW], cuts[1:][counts > FEW], strict=True):
             some = begin + np.argsort(size[begin:end], kind="stable")
             numbers = np.unique(own[some], return_inverse=True)[1]
-            for i, j in zip(*SignatureTree.of(size[some], bits[some], numbers).pairs(percent), strict=True):
-                a, b = int(node[some[i]]), int(node[some[j]])
-                found[min(a, b), max(a, b)] = None
+            i, j = SignatureTree.of(size[some], bits[some], numbers).pairs(percent)
+            keep(some[i], some[j])
             if len(found) > 200_000:
                 yield _pair_batch(found)
-                found = {}
+                found.clear()
         if found:
             yield _pair_batch(found)
 
@@ -304,13 +330,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     component, else null. Repeated rows: one row each. Empty table: no rows. Other columns of `docs` don't matter.
     """
     plain = texts(docs, id_col, text_col)
-    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, signature binary, times long"))
-    sets = all_rows.where("times is null").drop("times")
+    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, signature binary, bitmap binary, times long"))
+    sets = all_rows.where("times is null").select("doc_id", "node", "n_shingles")
     often = (all_rows.where("times is not null").groupBy("node").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "node").limit(frequent_keys).toPandas())
     order = _Order(often["node"].to_numpy(np.int64), often["times"].to_numpy(np.int64))
-    nodes = staged(sets.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    nodes = staged(all_rows.where("times is null and node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bitmap"))))
 
     prefixes = staged(plain.select("text").mapInArrow(_prefixes(n, percent, order), "shingle long, node long"))
     shared = (prefixes.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
@@ -330,7 +356,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
             .join(nodes.select("node", "n_shingles", "signature"), "node").select("block", "node", "n_shingles", "signature", "component"))
     pairs = (rows.repartition("block").sortWithinPartitions("block").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
              .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _verified(staged(pairs), plain, nodes, n, percent)
+    more = _verified(staged(_plausible(pairs, nodes, percent)), plain, nodes, n, percent)
     grouped = staged(components(links.unionByName(more)))
 
     named = grouped.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
