@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "triage_messages", "triage_totals", "match_all", "match_all_joined", "match_first", "fuzzy_match", "text_signals",
     "dedup_content", "top_senders", "hourly_stats", "dashboard_summary", "reputation", "zscore_anomalies",
-    "latency_percentiles", "search_alerts",
+    "latency_percentiles", "search_alerts", "export_lexicon",
 )
 
 

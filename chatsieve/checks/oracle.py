@@ -474,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
     det = lambda c, n: f"CASE WHEN ok THEN round({c}, 4) ELSE 0.0 END AS {n}"
     out["triage_messages"] = triage_sql(f"""SELECT message_id, CAST(ok AND legacy >= 50 AND decision <> 'ignore' AS INT) AS valid, reason,
         CASE WHEN ok THEN kw END AS keyword, CASE WHEN ok THEN legacy ELSE CAST(trunc(confidence * 100) AS INT) END AS score,
-        decision, round(confidence + 1.3e-8, 6) AS confidence,
+        decision, round(confidence, 9) AS confidence,
         array_to_string(coalesce(reasons, [reason]), '|') AS reasons,
         CASE WHEN ok THEN array_to_string(phrases, '|') ELSE '' END AS key_phrases,
         CASE WHEN NOT ok THEN 'general' WHEN n_context > 0 THEN 'academic_request' WHEN urgency_term IS NOT NULL
@@ -622,7 +622,7 @@ def oracle_sql() -> dict[str, str]:
         "alerts_v", "contacts_v", extra={"kinds": "SELECT event_type, count(*) AS n FROM events GROUP BY 1"})
     out["hourly_stats"] = with_views(f"""SELECT {stamp("date_trunc('hour', ts)::TIMESTAMP")} AS hour, count(*) AS messages_count,
         count(keyword) AS alerts_count, count(*) FILTER (decision = 'accept') AS accepted_count,
-        round(avg(CASE WHEN confidence > 0 THEN confidence END) + 1.3e-8, 6) AS avg_confidence FROM activity
+        round(avg(CASE WHEN confidence > 0 THEN confidence END), 9) AS avg_confidence FROM activity
         WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1""", "activity")
     out["top_keywords"] = with_views("""SELECT keyword, count(*) AS n FROM alerts_v GROUP BY keyword
         ORDER BY n DESC, keyword LIMIT 3""", "alerts_v")
@@ -667,14 +667,14 @@ def oracle_sql() -> dict[str, str]:
         round(quantile_disc(value, 0.95), 3) AS p95, round(quantile_disc(value, 0.99), 3) AS p99,
         round(avg(value), 3) AS mean, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key
         ORDER BY ts DESC, id DESC) AS rn FROM samples_v) WHERE rn <= 2000 GROUP BY key""", "samples_v")
-    out["zscore_anomalies"] = with_views("""SELECT key, id, round(CASE WHEN n >= 30 THEN m ELSE value END + 1.3e-8, 6) AS mean,
-        round(sd + 1.3e-8, 6) AS std, round(z + 1.3e-8, 6) AS z_score, n AS sample_size, CAST(abs(z) >= 3.5 AS INT) AS is_anomaly FROM (
+    out["zscore_anomalies"] = with_views("""SELECT key, id, round(CASE WHEN n >= 30 THEN m ELSE value END, 7) AS mean,
+        round(sd, 6) AS std, round(z, 6) AS z_score, n AS sample_size, CAST(abs(z) >= 3.5 AS INT) AS is_anomaly FROM (
         SELECT *, CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0.0 END AS z FROM (
         SELECT *, CASE WHEN n >= 30 THEN coalesce(sd0, 0.0) ELSE 0.0 END AS sd FROM (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS m,
         stddev_pop(value) OVER w AS sd0 FROM samples_v
         WINDOW w AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING))))""", "samples_v")
     out["rolling_mean"] = with_views("""SELECT key, id, round(avg(value) OVER (PARTITION BY key ORDER BY ts, id
-        ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1.3e-8, 6) AS rolling_mean FROM samples_v""", "samples_v")
+        ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS rolling_mean FROM samples_v""", "samples_v")
     out["sustained_growth"] = with_views("""SELECT key, id, baseline, peak, CAST(up AS INT) AS elevated,
         CAST(count(*) OVER w3 = 3 AND bool_and(up) OVER w3 AND bool_and(held) OVER w2 AS INT) AS growing FROM (
         SELECT *, value > baseline * 1.2::DOUBLE AS up, coalesce(value >= prev * 0.5::DOUBLE, FALSE) AS held FROM (

@@ -53,9 +53,9 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-def off_tie(c: str) -> Column:
-    """Rounded a little off the grid: means of two-digit values often end in an exact 5."""
-    return F.round(F.col(c) + 1.3e-8, 6)
+def r9(c: Column | str) -> Column:
+    """For means of two-digit values: at six places they often end in an exact 5, at nine they don't."""
+    return F.round(c, 9)
 
 
 def terms_frame(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -277,7 +277,7 @@ def triage_messages(spark, sf):
     detail = lambda k: F.coalesce(F.try_element_at("score_details", F.lit(k)), F.lit(0.0)).alias(k)
     return triaged(spark, sf).select(
         "message_id", flag("valid").alias("valid"), "reason", "keyword", "score", "decision",
-        off_tie("confidence").alias("confidence"), F.array_join("reasons", "|").alias("reasons"),
+        r9("confidence").alias("confidence"), F.array_join("reasons", "|").alias("reasons"),
         F.array_join("key_phrases", "|").alias("key_phrases"), "context_type", "context_boost",
         r6("context_confidence").alias("context_confidence"), flag("indirect").alias("indirect"),
         flag("urgent").alias("urgent"), "intent_verb", "academic_object", "urgency_marker",
@@ -518,7 +518,7 @@ def search_category(spark, sf):
 def hourly_stats(spark, sf):
     h = search.hourly_stats(A.messages_v(spark, sf), A.results_v(spark, sf), "2024-01-10 00:00:00")
     return h.select(stamp("hour").alias("hour"), "messages_count", "alerts_count", "accepted_count",
-                    off_tie("avg_confidence").alias("avg_confidence"))
+                    r9("avg_confidence").alias("avg_confidence"))
 
 
 @query
@@ -581,14 +581,14 @@ def latency_percentiles(spark, sf):
 @query
 def zscore_anomalies(spark, sf):
     z = monitoring.zscore_anomalies(A.samples_v(spark, sf), digits=None)
-    return z.select("key", "id", *[off_tie(c).alias(c) for c in ("mean", "std", "z_score")], "sample_size",
+    return z.select("key", "id", F.round("mean", 7).alias("mean"), *[r6(c).alias(c) for c in ("std", "z_score")], "sample_size",
                     flag("is_anomaly").alias("is_anomaly"))
 
 
 @query
 def rolling_mean(spark, sf):
     return monitoring.rolling_mean(A.samples_v(spark, sf)).select(
-        "key", "id", off_tie("rolling_mean").alias("rolling_mean"))
+        "key", "id", r9("rolling_mean").alias("rolling_mean"))
 
 
 @query

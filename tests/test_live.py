@@ -83,4 +83,7 @@ def test_live_stats(spark, tmp_path):
     rows = read_events_stream(spark, str(tmp_path / "in")).withColumns({"decision": F.lit("accept"), "confidence": F.lit(0.5)})
     seen = []
     start_live_stats(rows, lambda df, _: seen.extend(df.collect()), str(tmp_path / "c"), True).awaitTermination(60)
-    assert sum(r["messages"] for r in seen) == 6
+    last = {(r["account_name"], r["window"]["start"].timestamp()): r for r in seen}
+    hour = 1_700_000_000 // 3600 * 3600
+    assert {k: (r["messages"], r["alerts"], r["accepted"], r["reviewed"], r["ignored"], r["avg_confidence"]) for k, r in last.items()} == {
+        ("acct_0", hour): (1, 1, 1, 0, 0, 0.5), ("acct_1", hour): (5, 5, 5, 0, 0, 0.5)}
