@@ -387,6 +387,11 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT p_partkey, 'request_phrases.general', 'request_phrases', 'general', p_brand, 0.7, 0 FROM part
         UNION ALL SELECT p_partkey, 'request_phrases.general', 'request_phrases', 'general', p_name, 0.7, 1 FROM part
         UNION ALL SELECT p_partkey, 'ad_blockers', 'ad_blockers', '', p_type, 0.7, 0 FROM part)"""
+    out["log_entries"] = r"""SELECT 'f' || (user_id % 40) AS file, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS entry,
+        strftime(ts::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS time,
+        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level, event_type AS source,
+        props || CASE WHEN event_id % 5 = 0 THEN chr(10) || '  at step ' || event_id || chr(10) || ' | end' ELSE '' END AS message
+        FROM events"""
     out["validate_messages"] = with_views(f"""SELECT message_id, CASE WHEN length(text) > 5000 THEN 'too_long'
         WHEN length(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g')) NOT BETWEEN 10 AND 5000 THEN 'invalid_input' END
         AS invalid_reason FROM msg_text""", "msg_text")
@@ -667,7 +672,7 @@ def oracle_sql() -> dict[str, str]:
         round(quantile_disc(value, 0.95), 3) AS p95, round(quantile_disc(value, 0.99), 3) AS p99,
         round(avg(value), 3) AS mean, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key
         ORDER BY ts DESC, id DESC) AS rn FROM samples_v) WHERE rn <= 2000 GROUP BY key""", "samples_v")
-    out["zscore_anomalies"] = with_views("""SELECT key, id, round(CASE WHEN n >= 30 THEN m ELSE value END, 7) AS mean,
+    out["zscore_anomalies"] = with_views("""SELECT key, id, round(CASE WHEN n >= 30 THEN m * n ELSE value END, 4) AS prior_sum,
         round(sd, 6) AS std, round(z, 6) AS z_score, n AS sample_size, CAST(abs(z) >= 3.5 AS INT) AS is_anomaly FROM (
         SELECT *, CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0.0 END AS z FROM (
         SELECT *, CASE WHEN n >= 30 THEN coalesce(sd0, 0.0) ELSE 0.0 END AS sd FROM (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS m,

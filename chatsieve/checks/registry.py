@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatsieve.config import LATIN, TriageConfig
-from chatsieve.functions import text as X
 from chatsieve.operators import backlog, dedup, feedback, lexicon_admin, matching, monitoring, profiles
 from chatsieve.operators import scoring, search, senders
 from chatsieve.operators import templates as tpl
@@ -23,6 +22,7 @@ from chatsieve.plans.lexicon import TriageLexicon, compile_json
 from chatsieve.plans.triage import triage, triage_report
 from chatsieve.sources import events as ev
 from chatsieve.sources import lexicon as lexsrc
+from chatsieve.sources import logs
 from chatsieve.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,19 @@ def read_lexicon(spark, sf):
     return lex.select("p_partkey", "path", "category", "grp", "term", r6("weight").alias("weight"), "pos")
 
 
+@query
+def log_entries(spark, sf):
+    # one log file per 40 users; some entries run over three lines, and each file begins in the middle of one
+    e = A.events(spark, sf)
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARNING").otherwise("INFO")
+    more = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n  at step "), F.col("event_id").cast("string"), F.lit("\n | end"))).otherwise("")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), level, F.lit(" | "), "event_type", F.lit(" | "), "props", more)
+    file = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
+    files = e.groupBy(file.alias("file")).agg(F.concat(F.lit("left over\n"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"]), "\n")).alias("body"))
+    return logs.entries_from_texts(files).select("file", "entry", "time", "level", "source", "message")
+
+
 @query
 def validate_messages(spark, sf):
     return txt.validate_messages(A.msg_text(spark, sf)).select("message_id", "invalid_reason")
@@ -581,7 +594,8 @@ def latency_percentiles(spark, sf):
 @query
 def zscore_anomalies(spark, sf):
     z = monitoring.zscore_anomalies(A.samples_v(spark, sf), digits=None)
-    return z.select("key", "id", F.round("mean", 7).alias("mean"), *[r6(c).alias(c) for c in ("std", "z_score")], "sample_size",
+    return z.select("key", "id", F.round(F.col("mean") * F.when(F.col("sample_size") >= 30, F.col("sample_size")).otherwise(1), 4).alias("prior_sum"),
+                    *[r6(c).alias(c) for c in ("std", "z_score")], "sample_size",
                     flag("is_anomaly").alias("is_anomaly"))
 
 

@@ -2,7 +2,6 @@ from pathlib import Path
 
 import pytest
 
-from chatsieve.config import TriageConfig
 from chatsieve.plans.lexicon import compile_json, compile_lexicon
 from chatsieve.plans.triage import triage, triage_report
 from chatsieve.sources.lexicon import dialect_from_documents, lexicon_from_documents
