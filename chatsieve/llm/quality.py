@@ -21,6 +21,8 @@ for _k, _letters in enumerate(_KINDS):
 _CLASS[:32][_CLASS[:32] == len(_KINDS)] = 10
 _N = len(_KINDS) + 1
 N_FEATURES = _N * _N + 8
+#: Bytes of text whose classes are looked at together; bounds memory.
+BYTES_AT_ONCE = 500_000
 
 
 def features(texts_: Sequence[str | None]) -> np.ndarray:
@@ -32,29 +34,37 @@ def features(texts_: Sequence[str | None]) -> np.ndarray:
     """
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts_]
     out = np.zeros((len(raw), N_FEATURES))
-    for first in range(0, len(raw), 2000):  # bounds the memory of the gathers below
-        _fill(raw[first:first + 2000], out[first:first + 2000])
+    begin = size = 0
+    for i, text in enumerate(raw):
+        size += len(text)
+        if size >= BYTES_AT_ONCE or i + 1 == len(raw):
+            out[begin:i + 1, :_N * _N] = _pair_shares(raw[begin:i + 1])
+            begin, size = i + 1, 0
+        out[i, _N * _N:] = _word_numbers(text)
     return out
 
 
-def _fill(raw: list[bytes], out: np.ndarray) -> None:
+def _pair_shares(raw: list[bytes]) -> np.ndarray:
+    """Square roots of the shares of neighbouring byte classes, a row per text. Long stretches are counted piece by piece."""
     sizes = np.array([len(x) + 1 for x in raw])
-    kinds = _CLASS[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
-    row = np.repeat(np.arange(len(raw)), sizes)
-    pair = kinds[:-1] * _N + kinds[1:]
-    inside = row[:-1] == row[1:]
-    counts = np.bincount(row[:-1][inside] * (_N * _N) + pair[inside], minlength=len(raw) * _N * _N).reshape(len(raw), -1)
-    out[:, :_N * _N] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
-    for i, text in enumerate(raw):
-        words, lines = text.split(), text.split(b"\n")
-        n = len(words)
-        same = list(map(operator.eq, words, words[1:]))
-        twice, thrice = sum(same) / max(1, n - 1), sum(map(operator.and_, same, same[1:])) / max(1, n - 2)
-        out[i, -8:] = (
-            twice, np.sqrt(twice), np.sqrt(thrice),
-            sum(map(operator.eq, lines, lines[1:])) / max(1, len(lines) - 1),
-            np.log1p(len(set(words))) / np.log1p(n) if n else 1.0,
-            np.log1p(sum(map(len, words)) / max(1, n)), np.log1p(n) / 10, not n)
+    data, ends = b" ".join(raw) + b" ", np.cumsum(sizes)
+    counts = np.zeros(len(raw) * _N * _N, np.int64)
+    for first in range(0, len(data) - 1, BYTES_AT_ONCE):
+        kinds = _CLASS[np.frombuffer(data, np.uint8)[first:first + BYTES_AT_ONCE + 1]]
+        row = np.searchsorted(ends, np.arange(first, first + len(kinds)), side="right")
+        inside = row[:-1] == row[1:]
+        counts += np.bincount((row[:-1] * (_N * _N) + kinds[:-1] * _N + kinds[1:])[inside], minlength=len(counts))
+    counts = counts.reshape(len(raw), -1)
+    return np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+
+
+def _word_numbers(text: bytes) -> tuple:
+    words, lines = text.split(), text.split(b"\n")
+    n = len(words)
+    same = list(map(operator.eq, words, words[1:]))
+    twice, thrice = sum(same) / max(1, n - 1), sum(map(operator.and_, same, same[1:])) / max(1, n - 2)
+    return (twice, np.sqrt(twice), np.sqrt(thrice), sum(map(operator.eq, lines, lines[1:])) / max(1, len(lines) - 1),
+            np.log1p(len(set(words))) / np.log1p(n) if n else 1.0, np.log1p(sum(map(len, words)) / max(1, n)), np.log1p(n) / 10, not n)
 
 
 @dataclass(frozen=True)
