@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chatsieve.llm.bytelevel import TextEncoder, default_file
-from chatsieve.llm.common import texts
+from chatsieve.llm.common import small_batches, texts
 
 
 def byte_letters() -> dict[int, str]:
@@ -188,7 +188,7 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str | None = None, id_col: str =
         if ("text", path) not in _MADE:
             _MADE["text", path] = TextEncoder(BacktrackingEncoder(path))
         encoder = _MADE["text", path]
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             lists = list(encoder(batch.column(1).to_pylist()))
             bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in lists]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(lists), np.int32)))

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chatsieve.llm.common import texts
+from chatsieve.llm.common import small_batches, texts
 
 SPACE = "▁"
 #: What an unknown letter scores below the lowest piece, as tokenizers of this kind have it.
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, id_col: str = "
         if path not in _MADE:
             _MADE[path] = UnigramCounter(pieces_of(path))
         counter = _MADE[path]
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             n = pa.array(map(counter.count, batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["doc_id", "n_tokens"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatsieve.llm.bytelevel import default_file, library_encoder, little_endian
-from chatsieve.llm.common import staged, texts
+from chatsieve.llm.common import small_batches, staged, texts
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, place long"
 #: Sequences made of what partitions leave over are numbered from here.
@@ -81,7 +81,7 @@ def pack_sequences(docs: DataFrame, tokenizer_file: str | None = None, end_id: i
                 at += n
             return at
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatsieve.llm.bytelevel import default_file, library_encoder, little_endian
-from chatsieve.llm.common import shared_folder, staged, texts
+from chatsieve.llm.common import shared_folder, small_batches, staged, texts
 
 INDEX = "file string, part long, position long, record_bytes long, doc_id long, start_in_file long, n_tokens long"
 _HEAD = struct.Struct("<QI")
@@ -84,7 +84,7 @@ def write_records(docs: DataFrame, folder: str | None = None, tokenizer_file: st
         part, out, at, total = task.partitionId(), None, 0, 0
         name = f"part-{part:06d}-{task.taskAttemptId()}.records"
         try:
-            for batch in batches:
+            for batch in small_batches(batches, 1):
                 rows = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                     if out is None:
