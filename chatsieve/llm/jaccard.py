@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.common import staged, texts
+from chatsieve.llm.common import small_batches, staged, texts
 from chatsieve.llm.graph import components
 from chatsieve.llm.lm import words_of
 
 SIGNATURE_BITS = 1024
+#: Buckets of the frequency sketch, and parts in which it is summed.
+BUCKETS, PARTS = 1 << 20, 64
 #: Blocks of up to so many rows are compared pair by pair.
 FEW = 8
 _KEPT_WORDS = 500_000
@@ -124,67 +126,74 @@ class SignatureTree:
 
 
 def _sets_of(n: int):
-    """(doc_id, node, n_shingles, signature, bitmap) per row, and the keys that are frequent within their batch."""
-    names = ["doc_id", "node", "n_shingles", "signature", "bitmap", "times"]
+    """(doc_id, node, n_shingles, signature, bitmap) per row; at the end of a task its counts of keys by bucket, a part per row."""
+    names = ["doc_id", "node", "n_shingles", "signature", "bitmap", "part"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            ids, rows, all_keys = batch.column(0), [], []
+        words, seen = _Words(), np.zeros(BUCKETS, np.int64)
+        for batch in small_batches(batches, 1):
+            rows, all_keys = [], [np.empty(0, np.int64)]
             for text in batch.column(1).to_pylist():
                 keys = shingle_set(text, n, words)
-                rows.append((node_of(keys), len(keys), signature(keys) if len(keys) else None, bitmap(keys) if len(keys) else None))
+                rows.append((node_of(keys), len(keys), signature(keys) if len(keys) else None, bitmap(keys) if len(keys) else None, None))
                 all_keys.append(keys)
-            often, times = _frequent(all_keys)
-            yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)),
-                 pa.nulls(len(rows), pa.int64())], names=names)
-            if len(often):
-                none, blank = pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())
-                yield pa.RecordBatch.from_arrays([none, pa.array(often), none, blank, blank, pa.array(times)], names=names)
+            seen += np.bincount(bucket_of(np.concatenate(all_keys)), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))],
+                                             names=names)
+        parts = np.minimum(seen, 65_535).astype("<u2").reshape(PARTS, -1)
+        none = pa.nulls(PARTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary()),
+                                          pa.array(range(PARTS), pa.int32())], names=names)
 
     return run
 
 
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 40) & (BUCKETS - 1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, counts) of all tasks, added up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+                                         names=["part", "counts"])
+
+
+def frequency_sketch(all_rows: DataFrame) -> np.ndarray:
+    """How many keys of all documents fall in each of `BUCKETS` buckets: a table of fixed size, summed by parts on the executors."""
+    parts = (all_rows.where("part is not null").select("part", F.col("bitmap").alias("counts")).repartition("part")
+             .mapInArrow(_summed, "part int, counts binary").toPandas().sort_values("part"))
+    return np.frombuffer(b"".join(parts["counts"]), np.int64) if len(parts) else np.zeros(BUCKETS, np.int64)
+
+
 def node_of(keys: np.ndarray) -> int | None:
     """One number for each distinct set (64 bits; two sets share one with a chance of 2**-64); none for the empty set."""
     return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None
 
 
-def _frequent(all_keys: Sequence[np.ndarray], share: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in at least `share` of the batch's sets (4 at least). A key in that share of all sets is in that share of some batch's."""
-    keys, times = np.unique(np.concatenate(all_keys), return_counts=True) if all_keys else (np.empty(0, np.int64), np.empty(0, np.int64))
-    some = times >= max(4, share * len(all_keys))
-    return keys[some], times[some].astype(np.int64)
-
-
 class _Order:
-    """Rare keys first: keys that aren't known as frequent by their value, then the frequent ones from least to most frequent."""
+    """Keys of sparse buckets first, then by value. Keys that many documents hold fill their buckets, so they come last."""
 
-    def __init__(self, frequent: np.ndarray, times: np.ndarray):
-        by_key = np.argsort(frequent)
-        self.keys, self.rank = frequent[by_key], np.empty(len(frequent), np.int64)
-        self.rank[np.lexsort((frequent, times))] = np.arange(len(frequent))
-        self.rank = self.rank[by_key]
+    def __init__(self, sketch: np.ndarray):
+        self.sketch = np.minimum(sketch, (1 << 30) - 1)
 
     def prefix(self, keys: np.ndarray, percent: int) -> np.ndarray:
-        """The first keys in this order, as many that a set as similar as asked must share one of them."""
-        count = len(keys) - -(-percent * len(keys) // 100) + 1 if len(keys) else 0
-        if not len(self.keys):
-            return keys[:count]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        rare = keys[~known]
-        if len(rare) >= count:
-            return rare[:count]
-        often = keys[known][np.argsort(self.rank[at[known]], kind="stable")]
-        return np.concatenate((rare, often[:count - len(rare)]))
+        """The first keys in this order, as many that a set as similar as asked must share one of them. keys: ascending."""
+        if not len(keys):
+            return keys
+        count = len(keys) - -(-percent * len(keys) // 100) + 1
+        return keys[np.argsort(self.sketch[bucket_of(keys)], kind="stable")[:count]]
 
 
 def _prefixes(n: int, percent: int, order: _Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             seen, heads, nodes = set(), [], []
             for text in batch.column(0).to_pylist():
                 keys = shingle_set(text, n, words)
@@ -216,7 +225,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             wanted = (at < 0) | ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
             made = {}
@@ -311,14 +320,14 @@ def _pair_batch(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_keys: int = 100_000, block_rows: int = 512,
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_rows: int = 512,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included).
 
     Documents link when their sets of word n-grams have a Jaccard similarity of `percent` / 100 or more; compared in whole numbers, exactly.
 
-    1. Equal sets become one node. Keys that are frequent in some batch are ranked last in the order of keys (at most `frequent_keys` of
-       them; the order decides cost alone, never the result).
+    1. Equal sets become one node. All keys are counted in a sketch of fixed size; keys of full buckets, as those that many documents
+       hold, are ranked last (the order decides cost alone, never the result).
     2. Similar sets share a key among the first of each in that order; these keys make blocks. Which keys are shared is a minimum and a
        maximum per key, so a key in all documents is no load on one task.
     3. Each node is compared with the first node of each of its blocks. Most near copies are linked by now.
@@ -330,12 +339,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     component, else null. Repeated rows: one row each. Empty table: no rows. Other columns of `docs` don't matter.
     """
     plain = texts(docs, id_col, text_col)
-    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, signature binary, bitmap binary, times long"))
-    sets = all_rows.where("times is null").select("doc_id", "node", "n_shingles")
-    often = (all_rows.where("times is not null").groupBy("node").agg(F.sum("times").alias("times"))
-             .orderBy(F.desc("times"), "node").limit(frequent_keys).toPandas())
-    order = _Order(often["node"].to_numpy(np.int64), often["times"].to_numpy(np.int64))
-    nodes = staged(all_rows.where("times is null and node is not null").groupBy("node").agg(
+    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, signature binary, bitmap binary, part int"))
+    sets = all_rows.where("part is null").select("doc_id", "node", "n_shingles")
+    order = _Order(frequency_sketch(all_rows))
+    nodes = staged(all_rows.where("part is null and node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bitmap"))))
 
     prefixes = staged(plain.select("text").mapInArrow(_prefixes(n, percent, order), "shingle long, node long"))
