@@ -32,7 +32,16 @@ PHONE = r"(?<![\w+.-])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)|\d{3})[\x20.-]\d{3}[\x
 ADDRESS = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[\x20-]?\d){12,18}(?!\w)"
-FOUND = "|".join((EMAIL, ASSIGNED, ACCESS_KEY, PHONE, ADDRESS, SOCIAL, CARD, rf"(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})"))
+FOUND = "|".join((EMAIL, ASSIGNED, ACCESS_KEY, f"(?=[0-9+(])(?:{PHONE}|{ADDRESS}|{SOCIAL}|{CARD})",
+                  rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_NAME})(?!\p{{L}})"))
+_NAMED = r"(?=\p{Lu})(?<!\p{L})(?:" + "|".join(x for words in (*TITLES.values(), *GIVEN.values()) for x in words) + ")"
+
+
+def _has_entity(text: Column) -> Column:
+    """Whether FOUND occurs. Plain tests that each kind of entity needs come first, as most texts fail all of them."""
+    likely = (text.contains("@") | text.contains("AKIA") | text.rlike(r"[0-9][0-9\x20().-]{5}")
+              | text.rlike(r"""[=:]\s{0,3}["']?[A-Za-z0-9+/_.-]{8}""") | text.rlike(_NAMED))
+    return likely & text.rlike(FOUND)
 
 
 def _in(text: Column, pattern: str) -> Column:
@@ -173,7 +182,7 @@ def replace_entities(docs: DataFrame, key: str = "chatsieve", text_col: str = "t
     text, found = F.col(f"`{text_col}`"), F.lit(FOUND)
     mine, table = fresh(docs, "text_hash"), fresh(docs, "replacements")
     hashed = F.sha2(text.cast("binary"), 256)
-    having = text.rlike(FOUND)
+    having = _has_entity(text)
     mentions = staged(docs.where(having).select(hashed.alias("hash"), F.explode(F.array_distinct(F.regexp_extract_all(text, found, F.lit(0)))).alias("mention"))
                       .distinct())
     pieces = (mentions.withColumn("pieces", _pieces(F.col("mention"))).where("pieces is not null")
