@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 _WHITE = frozenset("\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0            "
                    "    　")
-#: Distinct pieces that a worker keeps, and characters of text taken at once. They bound memory and change no result.
-KEPT_PIECES, CHARS_AT_ONCE = 700_000, 2_000_000
+#: Stands for a piece before which a cut isn't safe: its text has to be encoded whole.
+_WHOLE = 0
+#: Distinct pieces that a worker keeps, characters of text taken at once, and of new pieces. They bound memory and change no result.
+KEPT_PIECES, CHARS_AT_ONCE, NEW_CHARS = 1_000_000, 2_000_000, 200_000
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -34,7 +36,7 @@ class TextEncoder:
     def __init__(self, encode: Callable[[str], Iterable[int]], encode_many: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.encode = encode
         self.encode_many = encode_many or (lambda pieces: [little_endian(encode(x)) for x in pieces])
-        self.known: dict[str, bytes | None] = {}  # of " " + piece; None: the text has to be encoded whole
+        self.known: dict[str, bytes | int] = {}  # of " " + piece
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         begin = size = 0
@@ -46,28 +48,24 @@ class TextEncoder:
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         cut = [text.split(" ") for text in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(new) + len(self.known) > KEPT_PIECES:
-            self.known.clear()
-            new = set().union(*cut)
+        held = [list(map(self.known.get, parts)) for parts in cut]
+        new = {p for parts, values in zip(cut, held, strict=True) if None in values for p, v in zip(parts, values, strict=True) if v is None}
+        if len(new) + len(self.known) > KEPT_PIECES:  # pieces of these texts stay, as they come most often
+            self.known = {p: v for parts, values in zip(cut, held, strict=True) for p, v in zip(parts, values, strict=True) if v is not None}
         plain = []
         for piece in new:
             if not piece or piece[0] in _WHITE:
-                self.known[piece] = None
+                self.known[piece] = _WHOLE
             elif piece[-1] in _WHITE:
                 self.known[piece] = little_endian(self.encode(" " + piece))
             else:
                 plain.append(piece)
         self.known.update(zip(plain, self.encode_many([" " + x for x in plain]), strict=True))
-        known = self.known.__getitem__
-        for text, parts in zip(texts, cut, strict=True):
-            first = parts[0]
-            try:
-                rest = b"".join(map(known, parts[1:]))
-            except TypeError:  # a None among them
-                yield little_endian(self.encode(text))
-                continue
-            yield little_endian(self.encode(first)) + rest if first else rest
+        for text, parts, values in zip(texts, cut, held, strict=True):
+            if None in values:
+                values = [self.known[p] if v is None else v for p, v in zip(parts, values, strict=True)]
+            values[0] = little_endian(self.encode(parts[0])) if parts[0] else b""
+            yield b"".join(values) if _WHOLE not in values else little_endian(self.encode(text))
 
 
 def _joined(encode: Callable[[str], list[int]], special: list[str]) -> Callable[[list[str]], Iterator[bytes]]:
@@ -81,12 +79,24 @@ def _joined(encode: Callable[[str], list[int]], special: list[str]) -> Callable[
         odd = [i for i, x in enumerate(pieces) if "\t" in x or any(s in x for s in special)]
         alone = {i: little_endian(encode(pieces[i])) for i in odd}
         even = [x for i, x in enumerate(pieces) if i not in alone] if alone else pieces
-        cuts = iter(_split(encode("\t".join(even)), mark[0]) if even else ())
+        cuts = (ids for some in _portions(even) for ids in _split(encode("\t".join(some)), mark[0]))
         yield from (alone[i] if i in alone else next(cuts) for i in range(len(pieces)))
 
     return many
 
 
+def _portions(pieces: list[str]) -> Iterator[list[str]]:
+    some, size = [], 0
+    for piece in pieces:
+        some.append(piece)
+        size += len(piece)
+        if size > NEW_CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _split(ids: list[int], mark: int) -> Iterator[bytes]:
     packed, begin = little_endian(ids), 0
     for end in [i for i, x in enumerate(ids) if x == mark] + [len(ids)]:
