@@ -94,9 +94,11 @@ def likeness(a: Column, b: Column, anchors: int = ANCHORS, slack: int = 8) -> Co
         _let(F.struct(entries(fa).alias("x"), entries(fb).alias("y")), rate))
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 512, cells: int = 1024) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 512, cells: int = 1024, derive=lambda df: df) -> DataFrame:
     """`rows` (doc_id, ...) with next_<c> for each c of `columns`: its value in the next row in descending doc_id order; after the last, the first.
 
+    derive: makes columns that `rows` doesn't have yet; it is applied where they are needed, so not to rows that a join leaves out.
+
     Ids are cut into at most `cells` ranges of equal width, ranges with too many rows into narrower ones; each range is a window of its own,
     whose last row takes its successor from the first row of the next range. So no task holds more than some ranges, and what all ranges
     give together is one row each. Null ids come last; rows with one id in the order of `columns`.
@@ -110,15 +112,16 @@ def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 512, cells
                                                           F.ceil(F.count("*") / most).alias("_parts")))
     part = F.least(F.col("_parts") - 1, F.floor((F.col("doc_id").cast("double") - F.col("_from")) * F.col("_parts") / (F.col("_to") - F.col("_from") + 1)))
     # at most `cells` ranges and two more
-    placed = (rows.withColumn("_cell", cell).join(F.broadcast(ranges), "_cell")
+    placed = (derive(rows).withColumn("_cell", cell).join(F.broadcast(ranges), "_cell")
               .withColumn("_range", F.col("_cell") * (1 << 24) + F.coalesce(part, F.lit(0))).drop("_cell", "_from", "_to", "_parts"))
     by_id = [F.desc_nulls_last("doc_id"), *columns]
     inside = Window.partitionBy("_range").orderBy(*by_id)
-    heads = staged(placed.groupBy("_range").agg(F.max("doc_id").alias("_head")))
+    heads = staged(placed.select("_range", "doc_id").groupBy("_range").agg(F.max("doc_id").alias("_head")))
     around = Window.orderBy(F.desc("_range"))
     after = (heads.withColumn("_then", F.lead("_range").over(around))
              .select(F.coalesce("_then", F.lit(heads.agg(F.max("_range")).first()[0])).alias("_then"), F.col("_range").alias("_before")))
-    first = (rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_head"))).groupBy("_range").agg(F.min(F.struct(*columns)).alias("_first")))
+    at_heads = staged(rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_head"))))  # one row per range, unless ids repeat
+    first = derive(at_heads).groupBy("_range").agg(F.min(F.struct(*columns)).alias("_first"))
     tails = after.join(first, F.col("_then") == F.col("_range")).select(F.col("_before").alias("_range"), "_first")
     led = placed.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns} | {"_more": F.lead(F.lit(1)).over(inside)})
     return led.join(tails, "_range", "left").withColumns(
@@ -131,8 +134,8 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null text: the empty text. Null and repeated ids: see `with_next`; each row has a result. One row alone is its own next. Empty table: no rows.
     """
-    rows = texts(docs, id_col, text_col).withColumn("fingerprint", fingerprint(F.col("text")))
-    both = with_next(rows, ["text", "fingerprint"])
+    both = with_next(texts(docs, id_col, text_col), ["text", "fingerprint"],
+                     derive=lambda rows: rows.withColumn("fingerprint", fingerprint(F.col("text"))))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
