@@ -51,6 +51,24 @@ def test_scores_sum_to_one_over_all_words(spark):
     assert math.isclose(first.sum() / p_end + p_end, 1.0, rel_tol=1e-6)
 
 
+def test_rare_words_are_told_apart_by_the_two_words_before(spark):
+    """Words past `vocabulary`, as target and as context: which one comes is known from the word before, or from the one before that."""
+    rows = []
+    for i in range(1200):
+        k = i % 40
+        rows.append(f"left{k} right{k}" if i % 2 else f"far{k} mid tail{k}")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    counts = lm.corpus_counts(df, head_bound=100_000)
+    model = lm.train_log_bilinear(df, counts, vocabulary=8, batch_size=64)
+    probe = ["left3 right3", "left3 right5", "far4 mid tail4", "far4 mid tail6"]
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), counts, model).collect()}
+    assert abs(got[0].base_score - got[1].base_score) < 1e-9 and abs(got[2].base_score - got[3].base_score) < 1e-9
+    assert got[0].score > got[1].score + 0.5 and got[2].score > got[3].score + 0.05
+    n = len(model.words.total)
+    chances = 10 ** model.log10(np.full(n, 3), np.full(n, 9), np.arange(n))
+    assert math.isclose(chances.sum(), 1.0, rel_tol=1e-4)
+
+
 def test_lm_of_odd_rows(spark):
     rows = lm.score_texts(odd(spark), *lm.trained(odd(spark), vocabulary=16)).collect()
     assert len(rows) == len(ODD) and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
