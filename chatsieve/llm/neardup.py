@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +46,21 @@ def _keys(seed: int, bits: int):
 
 
 def _neighbours(threshold: float, window: int):
-    """Sorted rows (node, vector, dim): links within `window` places, without those that two other links imply to be in one component."""
+    """Sorted rows (node, vector, dim): links within `window` places, without those that two other links imply to be in one component.
+
+    The first and the last `window` rows of a partition are given out too, with the number of the border that they lie at.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_x, kept_n = None, np.empty(0, np.int64)
+        head_x, head_n, part = [], [], TaskContext.get().partitionId()
         for batch in batches:
             nodes, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             cuts = np.flatnonzero(np.r_[True, dims[1:] != dims[:-1], True])
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 for i in range(begin, end, _BLOCK):
                     x, n = unit_rows(batch.column(1).slice(i, min(_BLOCK, end - i))), nodes[i:min(i + _BLOCK, end)]
+                    if len(head_n) < window and (not head_x or len(head_x[0]) == x.shape[1]):
+                        head_x, head_n = [*head_x, *x][:window], [*head_n, *n][:window]
                     if kept_x is not None and kept_x.shape[1] == x.shape[1]:
                         x, n = np.concatenate((kept_x, x)), np.concatenate((kept_n, n))
                     old = len(n) - min(_BLOCK, end - i)
@@ -63,12 +72,51 @@ def _neighbours(threshold: float, window: int):
                     a, b = np.nonzero(before & ~implied)
                     new = a >= old
                     if new.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(n[a[new]]), pa.array(n[b[new]])], names=["a", "b"])
+                        yield _found(n[a[new]], n[b[new]])
                     kept_x, kept_n = x[-window:], n[-window:]
+        if kept_x is not None:
+            yield _found(np.array(head_n), np.arange(len(head_n)) + window, part - 1, head_x)
+            yield _found(kept_n, np.arange(len(kept_n)) + window - len(kept_n), part, kept_x)
+
+    return run
+
+
+_FOUND = "a long, b long, border long, vector array<double>"
+
+
+def _found(a: np.ndarray, b: np.ndarray, border: int | None = None, vectors=None) -> pa.RecordBatch:
+    """Links, or rows at a border: node, place (the border is between `window` - 1 and `window`), border, unit vector."""
+    return pa.RecordBatch.from_arrays([
+        pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([border] * len(a), pa.int64()),
+        pa.array([None] * len(a) if vectors is None else [x.tolist() for x in vectors], pa.list_(pa.float64()))], names=["a", "b", "border", "vector"])
+
+
+def _across(threshold: float, window: int):
+    """Rows at the borders: links within `window` places between both sides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["border"]):
+            sizes = rows.column("vector").combine_chunks().value_lengths().to_numpy()
+            if len(np.unique(sizes)) > 1:
+                continue
+            x, node, place = unit_rows(rows.column("vector").combine_chunks()), rows.column("a").to_numpy(), rows.column("b").to_numpy()
+            left, right = place < window, place >= window
+            i, j = np.nonzero((x[right] @ x[left].T >= threshold) & (place[right][:, None] - place[left] <= window))
+            yield pa.RecordBatch.from_arrays([pa.array(node[right][i]), pa.array(node[left][j])], names=["a", "b"])
 
     return run
 
 
+def chance_of_pass(rows: int, threshold: float, window: int) -> float:
+    """Chance that one pass brings a pair at the threshold within `window` places: it must agree on the leading sides that leave about `window` rows."""
+    return (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(1, rows) / window))
+
+
+def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
+    """Passes after which a pair at the threshold has been compared with chance `recall`; about 12 at least."""
+    chance = chance_of_pass(rows, threshold, window)
+    return 12 if chance >= 1 else max(12, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of rows with equal keys, of batches that are sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -115,13 +163,16 @@ def _block_counts(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = 12, window: int = 48, bits: int = 60, seed: int = 11,
-                           chunk_rows: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 48, bits: int = 60, seed: int = 11,
+                           chunk_rows: int = 128, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors become one node with a number of copies. Each pass sorts the nodes by the concatenated sides of random planes, range-
-    partitioned, and compares each with the `window` nodes before it in its partition; verified links of all passes are united to
-    components. Pairs in different components that no pass brought together stay unfound; all pairs within a component are then counted:
+    partitioned, and compares each with the `window` nodes before it, also across the border of a partition (of at least `window` nodes);
+    verified links of all passes are united to components. passes: by default as many as the number of nodes asks for `recall` of the pairs
+    at the threshold (closer ones are found more often); that reckoning takes the planes to cut the nodes evenly, so a quarter as many
+    passes follow, again and again, until the components that they still unite tell that no more than 1 - recall are missing. What is
+    missing stays unfound. All pairs within a component are then counted:
     a component is cut into chunks, and a pair of chunks counts whole if the angles of its vectors to their means prove all pairs linked
     (or none), by matrix products else. So n_links is exact within components, and no pair is written out.
 
@@ -135,13 +186,35 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
     ids = rows.select("vec_id", "node")
     nodes = staged(rows.where("node is not null").groupBy("node").agg(
         F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
-    links = None
-    for k in range(passes):
+
+    def found(k: int) -> DataFrame:
         keyed = nodes.select("node", "vector").mapInArrow(_keys(seed + k, bits), "node long, vector array<double>, dim int, key long")
         ordered = keyed.repartitionByRange("dim", "key", "node").sortWithinPartitions("dim", "key", "node").select("node", "vector", "dim")
-        found = staged(ordered.mapInArrow(_neighbours(threshold, window), "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-    grouped = staged(components(links))
+        rows = staged(ordered.mapInArrow(_neighbours(threshold, window), _FOUND))
+        borders = rows.where("border is not null").repartition("border").sortWithinPartitions("border", "b")
+        return rows.where("border is null").select("a", "b").unionByName(borders.mapInArrow(_across(threshold, window), "a long, b long"))
+
+    count = nodes.count()
+    done = passes if passes is not None else passes_for(count, threshold, window, recall)
+    grouped = staged(components(reduce(DataFrame.unionByName, map(found, range(done)))))
+    more, chance = max(1, done // 4), chance_of_pass(count, threshold, window)
+    while passes is None and chance < 1:
+        of = lambda end: grouped.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        late = reduce(DataFrame.unionByName, map(found, range(done, done + more)))
+        late = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+            F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        late = staged(late.where("a <> b").distinct())
+        done += more
+        united = staged(components(late))
+        new = united.where("node <> component").count()
+        if new:
+            roots = grouped.select("node", F.col("component").alias("root")).unionByName(
+                united.select("node", F.col("node").alias("root")).join(grouped.select("node"), "node", "left_anti"))
+            grouped = staged(roots.join(united.withColumnRenamed("node", "root"), "root", "left").select(
+                "node", F.coalesce("component", "root").alias("component")))
+        left = (1 - chance) ** more
+        if new * left / (1 - left) <= (1 - recall) * grouped.where("node <> component").count():
+            break
 
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
     chunks = F.ceil(F.col("size") / F.greatest(F.lit(float(chunk_rows)), F.sqrt("size"))).cast("int")

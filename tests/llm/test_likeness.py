@@ -154,3 +154,38 @@ def test_edited_digest(spark, tmp_path):
     spark.createDataFrame([(1, "abcdef"), (2, "uvwxyzé")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.edited_sha256 for r in op10_fingerprints(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256("abcduv".encode()).hexdigest(), 2: hashlib.sha256("uvwxyab".encode()).hexdigest()}
+
+
+def planted_pairs(rows, pairs, cosine, dim=64):
+    """Random vectors, of which the last `pairs` are each at that cosine to one of the first."""
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((rows, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = draw.standard_normal((pairs, dim))
+    y -= (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[rows - pairs:] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    return x
+
+
+def test_passes_grow_with_the_table():
+    assert neardup.passes_for(40, 0.9, 48, 0.99) == 12
+    few, many = (neardup.passes_for(n, 0.9, 48, 0.99) for n in (10**5, 10**6))
+    assert 12 < few < many
+    for n, k in ((10**5, few), (10**6, many)):
+        assert (1 - neardup.chance_of_pass(n, 0.9, 48)) ** k <= 0.01
+
+
+def test_planted_pairs_are_found_at_the_stated_recall(spark):
+    rows, pairs = 20_000, 1000
+    x = planted_pairs(rows, pairs, 0.901)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in neardup.near_duplicate_vectors(df, window=8).collect()}
+    assert sum(got[i] == got[rows - pairs + i] for i in range(pairs)) >= 0.985 * pairs
+
+
+def test_neighbours_meet_across_borders():
+    import pyarrow as pa
+    x = planted_pairs(8, 4, 0.95)
+    rows = [neardup._found(np.arange(4), np.arange(4), 0, x[:4]), neardup._found(np.arange(4, 8), np.arange(4, 8), 0, x[4:])]
+    got = list(neardup._across(0.9, 4)(iter(rows)))
+    assert sorted(zip(*pa.Table.from_batches(got).to_pydict().values(), strict=True)) == [(4, 0), (5, 1), (6, 2), (7, 3)]
