@@ -104,9 +104,10 @@ def log_entries(spark, sf):
     more = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n  at step "), F.col("event_id").cast("string"), F.lit("\n | end"))).otherwise("")
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" | "), level, F.lit(" | "), "event_type", F.lit(" | "), "props", more)
     file = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
-    files = e.groupBy(file.alias("file")).agg(F.concat(F.lit("left over\n"), F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"]), "\n")).alias("body"))
-    return logs.entries_from_texts(files).select("file", "entry", "time", "level", "source", "message")
+    lines = e.select(file.alias("file"), "event_id", F.posexplode(F.split(line, "\n")).alias("pos", "line"))
+    left = lines.select("file").distinct().select("file", F.lit(-2**63).alias("event_id"), F.lit(0).alias("pos"), F.lit("left over").alias("line"))
+    entries = logs.entries_from_lines(lines.unionByName(left), ["event_id", "pos"])
+    return entries.select("file", "entry", "time", "level", "source", "message")
 
 
 @query

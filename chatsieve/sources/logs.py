@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatsieve.config import LOG_LEVELS
+from chatsieve.operators.ordered import in_chunks
 
 _LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s*\|\s*([A-Z]+)\s*\|\s*([^|]*?)\s*\|\s?(.*)$"
 
@@ -18,16 +19,37 @@ def entries_from_texts(files: DataFrame, file: str = "file", body: str = "body")
     """
     lines = files.select(F.col(file).alias("file"), F.posexplode(
         F.split(F.regexp_replace(body, r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    level = F.regexp_extract("line", _LINE, 2)
-    lines = lines.withColumn("starts", level.isin(*LOG_LEVELS))
     per_file = Window.partitionBy("file").orderBy("line_no")
-    lines = lines.withColumn("entry", F.sum(F.col("starts").cast("int")).over(per_file)).filter("entry > 0")
+    lines = _with_starts(lines).withColumn("entry", F.sum(F.col("starts").cast("int")).over(per_file))
+    return _entries(lines, ["line_no"])
+
+
+def entries_from_lines(lines: DataFrame, order: list[str], file: str = "file", line: str = "line") -> DataFrame:
+    """As `entries_from_texts`, from one row per line, in the order of the columns `order`.
+
+    A file may have any size: entry starts are counted within chunks, then over the chunks of a file, so no file meets in one row or task.
+    """
+    rows = in_chunks(_with_starts(lines.select(F.col(file).alias("file"), *order, F.col(line).alias("line"))), ["file"], order)
+    counts = rows.groupBy("file", "_chunk").agg(F.sum(F.col("starts").cast("int")).alias("n"))
+    so_far = Window.partitionBy("file").orderBy("_chunk")
+    before = counts.select("file", "_chunk", (F.sum("n").over(so_far) - F.col("n")).alias("before"))
+    within = Window.partitionBy("file", "_chunk").orderBy(*order)
+    numbered = rows.withColumn("entry", F.sum(F.col("starts").cast("int")).over(within)).join(before, ["file", "_chunk"])
+    return _entries(numbered.withColumn("entry", F.col("entry") + F.col("before")), order)
+
+
+def _with_starts(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("starts", F.coalesce(F.regexp_extract("line", _LINE, 2).isin(*LOG_LEVELS), F.lit(False)))
+
+
+def _entries(lines: DataFrame, order: list[str]) -> DataFrame:
+    lines = lines.filter("entry > 0")
     text = F.when(F.col("starts"), F.regexp_extract("line", _LINE, 4)).otherwise(F.col("line"))
     head = lambda i: F.max(F.when(F.col("starts"), F.trim(F.regexp_extract("line", _LINE, i))))
     return lines.groupBy("file", "entry").agg(
         head(1).alias("time"), head(2).alias("level"), head(3).alias("source"),
         F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))), lambda r: r["text"]), "\n",
+            F.sort_array(F.collect_list(F.struct(*order, text.alias("text")))), lambda r: r["text"]), "\n",
         ).alias("message"))
 
 

@@ -19,6 +19,15 @@ def test_log_entries(spark):
                     ("INFO", "main:1", "start")]
 
 
+def test_log_entries_from_lines_without_a_file_in_one_row(spark):
+    draw = [f"2024-01-01 10:00:{i % 60:02} | INFO | m:{i} | start {i}" if i % 3 else f"  more {i} | x" for i in range(400)]
+    bodies = spark.createDataFrame([(f, "\n".join(["left", *draw[k:]])) for f, k in (("a", 0), ("b", 50))], "file string, body string")
+    lines = [(f, n, x) for f, k in (("a", 0), ("b", 50)) for n, x in enumerate(["left", *draw[k:]])]
+    rows = spark.createDataFrame(lines, "file string, line_no int, line string").repartition(4)
+    got = logs.entries_from_lines(rows, ["line_no"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs.entries_from_texts(bodies).collect()))
+
+
 def test_insert_or_ignore(spark, tmp_path):
     target = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "message_hash string, ts int")
