@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, counts, fingerprints, jaccard, lm, neardup, packing, pii, quality, records
+from chatsieve.llm import bpe, counts, fingerprints, jaccard, lm, neardup, packing, pii, quality, records, substrings
 from chatsieve.llm.common import crc_of_id
 
 
@@ -69,6 +69,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "near_edited", "near_next")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), k=20).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_binary_records": op9_binary_records,
     "op10_fingerprints": op10_fingerprints,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
