@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsieve.llm import bpe, counts, fingerprints, jaccard, lm, neardup, packing, pii, quality, records, substrings
-from chatsieve.llm.common import crc_of_id
+from chatsieve.llm import bpe, counts, fingerprints, jaccard, lm, merkle, neardup, packing, pii, quality, records, repair, substrings
+from chatsieve.llm.common import crc_of_id, staged
+from chatsieve.llm.oracle import ORACLE_SQL  # noqa: F401 (part of what is registered)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,24 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), k=20).drop("spans")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(crc_of_id("doc_id") % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.manifest(documents(spark, sf_dir), claims={"text": tampered}).withColumn("folded_root", merkle.folded(F.col("proof"), F.col("claimed")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def repaired_conversations(given: DataFrame, chunk_rows: int = 1024) -> DataFrame:
+    rows = repair.damaged(given)
+    audits = staged(repair.diagnosed(rows, given, chunk_rows))
+    digests = repair.repaired_digests(rows, audits).withColumnRenamed("conv_id", "_conv")
+    return audits.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dup": op1_embedding_near_dup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -85,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_records": op9_binary_records,
     "op10_fingerprints": op10_fingerprints,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {}
