@@ -15,21 +15,13 @@ from chatsieve.llm.common import small_batches, staged, texts
 
 #: Bits of a filter, a fixed size: 16 MB. Filters only spare work; a full one costs time, not rows.
 FILTER_BITS, PARTS = 1 << 27, 256
-_KEPT_WORDS = 500_000
-_NO_ID = -1 << 63
+_NO_ID, _PLACES = -1 << 63, 1 << 24
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE, _BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-class _WordKeys(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,14 +50,24 @@ def words_of(text: str) -> list[bytes]:
 
 
 def anchors_of(keys: np.ndarray, k: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of k words its anchor: the least key of its runs of `inner` words (the first of equal ones); and that run's place.
+    """The anchors of a text's windows of k words: keys, and the place of each window's anchor among them.
 
-    Equal windows have equal anchors, and windows that start next to each other mostly share one.
+    A window's anchor is the least of its runs of `inner` words by the first 40 bits of their keys, the first of equal ones. Equal windows have
+    equal anchors; windows next to each other mostly share one.
     """
-    runs = gram_keys(keys, inner)
-    windows = np.lib.stride_tricks.sliding_window_view(runs, k - inner + 1)
-    at = windows.argmin(1) + np.arange(len(windows))
-    return runs[at], at
+    runs, wide = gram_keys(keys, inner), k - inner + 1
+    count = len(runs) - wide + 1
+    low = []
+    for begin in range(0, count, _PLACES - wide):  # places take the other 24 bits
+        part = runs[begin:min(begin + _PLACES - wide, count) + wide - 1]
+        least, size = (part & ~np.uint64(_PLACES - 1)) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * size <= wide:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        windows = len(part) - wide + 1
+        low.append((np.minimum(least[:windows], least[wide - size:][:windows]) & np.uint64(_PLACES - 1)).astype(np.int64) + begin)
+    at = np.concatenate(low)
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    return runs[at[new]], np.cumsum(new) - 1
 
 
 def digest_of(words: list[bytes]) -> tuple[str, int]:
@@ -177,7 +179,6 @@ def _paths(edges: DataFrame) -> DataFrame:
 
 def _cut(k: int, inner: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordKeys()
         for batch in small_batches(batches, 1):
             ties, sizes, shas, anchors = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -188,8 +189,7 @@ def _cut(k: int, inner: int):
                 shas.append(sha)
                 found = np.empty(0, np.int64)
                 if len(words) >= k:
-                    values, at = anchors_of(known.of(words), k, inner)
-                    found = values[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])].view(np.int64)
+                    found = anchors_of(word_keys(words), k, inner)[0].view(np.int64)
                 anchors.append(found)
             ends = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(anchors) if anchors else np.empty(0, np.int64)))
@@ -204,7 +204,6 @@ def _edges(k: int, inner: int, original: Filter, anchors: Filter | None, heads:
     names = ["edge", "check", "doc_id", "tie", "at", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordKeys()
         for batch in small_batches(batches, 1, 1_000_000):
             found: list[list[np.ndarray]] = []
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
@@ -213,14 +212,20 @@ def _edges(k: int, inner: int, original: Filter, anchors: Filter | None, heads:
                 tie = digest_of(words)[1]
                 if len(words) < k or not original.holds(_row_keys(ids[row:row + 1], np.array([tie])))[0]:
                     continue
-                keys = known.of(words)
-                edges = gram_keys(keys, k)
-                at = np.flatnonzero(heads.holds(edges) if anchors is None else anchors.holds(anchors_of(keys, k, inner)[0]))
+                keys = word_keys(words)
+                if anchors is not None:
+                    values, of = anchors_of(keys, k, inner)
+                    at = np.flatnonzero(anchors.holds(values)[of])
+                    edges = gram_keys(keys, k)[at] if len(at) else keys[:0]
+                else:
+                    edges = gram_keys(keys, k)
+                    at = np.flatnonzero(heads.holds(edges))
+                    edges = edges[at]
                 if not len(at):
                     continue
                 checks = (gram_keys(keys, k, _BASE_2)[at] >> np.uint64(32)).astype(np.uint32)
                 beside = np.concatenate(([0], (keys >> np.uint64(32) | np.uint64(1)).astype(np.uint32), [0])).astype(np.uint32)
-                found.append([edges[at].view(np.int64), checks.view(np.int32), np.full(len(at), row), np.full(len(at), tie), at,
+                found.append([edges.view(np.int64), checks.view(np.int32), np.full(len(at), row), np.full(len(at), tie), at,
                               beside[at].view(np.int32), beside[at + k + 1].view(np.int32)])
             if found:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
