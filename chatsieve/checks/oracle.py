@@ -77,6 +77,11 @@ VIEWS: dict[str, str] = {
         lower(p_type) AS category, 'brand' || regexp_extract(p_brand, '[0-9]+') AS grp,
         p_name || ' ' || p_partkey AS term, p_partkey AS pos,
         CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS ord FROM part""",
+    "edits_v": """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'missing.list' ELSE lower(p_type) || '.brand' || regexp_extract(p_brand, '[0-9]+') END AS path,
+        CASE WHEN p_partkey % 7 < 3 THEN 'add' WHEN p_partkey % 7 < 5 THEN 'rename' ELSE 'delete' END AS action,
+        CASE p_partkey % 7 WHEN 3 THEN p_name || ' ' || p_partkey WHEN 5 THEN p_name || ' ' || p_partkey WHEN 4 THEN 'new ' || p_name WHEN 6 THEN 'absent' END AS old,
+        CASE p_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN p_name || ' ' || p_partkey WHEN 2 THEN ' new ' || p_name
+          WHEN 3 THEN 'renamed ' || p_partkey WHEN 4 THEN p_name || ' ' || p_partkey END AS new, p_partkey AS seq FROM part""",
     "raw_events": """SELECT *, CASE WHEN message_id % 3 > 0 THEN text END AS body_text FROM msg_chat""",
     "reputation_v": """SELECT sender_id, list_reduce(
         list_prepend(CAST(50 AS DOUBLE), list(CASE WHEN is_valid THEN 2.0 ELSE -1.0 END::DOUBLE ORDER BY ts, message_id)),
@@ -103,6 +108,19 @@ _DEPENDS = {
 }
 
 
+_STATUS = """CASE WHEN e[1][1] <> 'delete' AND e[1][3] = '' THEN 'empty' WHEN s[1] IS NULL THEN 'bad_path'
+    WHEN e[1][1] = 'add' AND list_contains(s[1], e[1][3]) THEN 'already_exists' WHEN e[1][1] <> 'add' AND NOT list_contains(s[1], e[1][2]) THEN 'not_found'
+    WHEN e[1][1] = 'rename' AND e[1][3] <> e[1][2] AND list_contains(s[1], e[1][3]) THEN 'already_exists' ELSE 'ok' END"""
+# Each list and its edits, folded one after another: v = [terms, statuses].
+EDITED = f"""SELECT path, list_reduce(coalesce(edits, []::VARCHAR[][][]), lambda s, e: [
+      CASE WHEN {_STATUS} <> 'ok' THEN s[1] WHEN e[1][1] = 'add' THEN list_append(s[1], e[1][3])
+        ELSE s[1][:list_position(s[1], e[1][2]) - 1] || CASE WHEN e[1][1] = 'rename' THEN [e[1][3]] ELSE []::VARCHAR[] END
+          || s[1][list_position(s[1], e[1][2]) + 1:] END,
+      list_append(s[2], e[1][4] || ' ' || {_STATUS})], [items, []::VARCHAR[]]) AS v
+    FROM (SELECT path, list(term ORDER BY pos) AS items FROM lexicon_v GROUP BY path) FULL JOIN
+      (SELECT path, list([[action, coalesce(old, ''), trim(coalesce(new, '')), seq::VARCHAR]] ORDER BY seq) AS edits FROM edits_v GROUP BY path) USING (path)"""
+
+
 def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
     needed: list[str] = []
 
@@ -260,15 +278,15 @@ def weight_sql(term: str, table: dict[str, float]) -> str:
     return f"(CASE {term} {whens} ELSE 0.7 END)::DOUBLE"
 
 
-def triage_ctes() -> dict[str, str]:
+def triage_ctes(longest: int = 5000) -> dict[str, str]:
     """The whole cascade, one step per table, every score computed for every message."""
     lex = latin_lexicon()
     keys = sorted(lex.dialect, key=len, reverse=True)
     # A dialect key may span two words; such keys are tried first, as bounded token runs.
     ctes = {
         "base": f"SELECT *, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS trimmed FROM msg_text",
-        "valid0": """SELECT *, CASE WHEN length(text) > 5000 THEN 'too_long'
-            WHEN length(trimmed) < 10 OR length(trimmed) > 5000 THEN 'invalid_input' END AS invalid FROM base""",
+        "valid0": f"""SELECT *, CASE WHEN length(text) > {longest} THEN 'too_long'
+            WHEN length(trimmed) < 10 OR length(trimmed) > {longest} THEN 'invalid_input' END AS invalid FROM base""",
         "plain": f"SELECT *, lower(trim(regexp_replace(trimmed, '[{WS}]+', ' ', 'g'))) AS n0 FROM valid0 WHERE invalid IS NULL",
         "tok": f"SELECT *, regexp_extract_all(n0, '[^{TERM_BOUNDARY}]+|[{TERM_BOUNDARY}]') AS tk FROM plain",
         # 'th the' -> one step that swallows three tokens; the others replace one token
@@ -363,8 +381,8 @@ def triage_ctes() -> dict[str, str]:
     return ctes
 
 
-def triage_sql(select: str) -> str:
-    return with_views(select, "msg_text", extra=triage_ctes())
+def triage_sql(select: str, longest: int = 5000) -> str:
+    return with_views(select, "msg_text", extra=triage_ctes(longest))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -497,6 +515,9 @@ def oracle_sql() -> dict[str, str]:
         {det('legacy / 100.0::DOUBLE', 'legacy_score')}, {det('wt', 'weighted_score')}, {det('wi', 'intent_weight')},
         {det('wo', 'academic_weight')}, {det('CASE WHEN grammar THEN 1.0 ELSE 0.0 END::DOUBLE', 'grammar_score')},
         {det('dist', 'distance_score')}, {det('lm', 'length_modifier')} FROM final""")
+    out["triage_long_texts"] = triage_sql("""SELECT message_id, CAST(ok AND legacy >= 50 AND decision <> 'ignore' AS INT) AS valid, reason, decision,
+        round(confidence, 9) AS confidence, CASE WHEN ok THEN kw END AS keyword, CASE WHEN ok THEN object END AS academic_object,
+        CASE WHEN ok THEN cboost ELSE 0 END AS context_boost FROM final""", 1_000_000_000)
     out["triage_decisions_by_language"] = triage_sql(
         "SELECT lang, decision, count(*) AS messages, round(avg(confidence), 6) AS avg_confidence FROM final GROUP BY 1, 2")
     prefiltered = ("(reason IN ('empty_or_too_short', 'low_arabic_ratio') OR starts_with(reason, 'too_few_words_') "
@@ -702,6 +723,14 @@ def oracle_sql() -> dict[str, str]:
         count(*) AS n, string_agg(term, '|' ORDER BY pos) AS items FROM lexicon_v GROUP BY category, path, grp""", "lexicon_v")
     out["lexicon_search"] = with_views("""SELECT path, term FROM lexicon_v WHERE contains(lower(term), 'red w')
         ORDER BY ord, path, pos""", "lexicon_v")
-    out["export_lexicon"] = with_views("""SELECT category, grp, string_agg(term, '|' ORDER BY pos) AS items FROM lexicon_v
-        GROUP BY category, grp""", "lexicon_v")
+    out["apply_lexicon_edits"] = with_views("""SELECT path, unnest(range(len(v[1]))) AS pos, unnest(v[1]) AS term FROM edited WHERE v[1] IS NOT NULL""",
+                                            "lexicon_v", "edits_v", extra={"edited": EDITED})
+    out["lexicon_edit_statuses"] = with_views("""SELECT path, split_part(x, ' ', 1)::BIGINT AS seq, split_part(x, ' ', 2) AS status
+        FROM (SELECT path, unnest(v[2]) AS x FROM edited)""", "lexicon_v", "edits_v", extra={"edited": EDITED})
+    out["export_lexicon"] = with_views("""SELECT category, line_no, CASE WHEN term IS NULL THEN ']}}'
+          WHEN line_no = 0 THEN '{"' || category || '": {"' || grp || '": ["' || term || '"'
+          WHEN grp = last THEN ', "' || term || '"' ELSE '], "' || grp || '": ["' || term || '"' END AS line
+        FROM (SELECT *, row_number() OVER w - 1 AS line_no, lag(grp) OVER w AS last
+          FROM (SELECT category, grp, ord, pos, term FROM lexicon_v UNION ALL SELECT DISTINCT category, NULL, NULL, NULL, NULL FROM lexicon_v)
+          WINDOW w AS (PARTITION BY category ORDER BY ord NULLS LAST, pos))""", "lexicon_v")
     return out

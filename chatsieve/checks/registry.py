@@ -301,6 +301,13 @@ def triage_messages(spark, sf):
                               "grammar_score", "distance_score", "length_modifier")])
 
 
+@query
+def triage_long_texts(spark, sf):
+    """The triage without a bound on a message's length."""
+    return triaged(spark, sf, TriageConfig(max_len=1_000_000_000)).select(
+        "message_id", flag("valid").alias("valid"), "reason", "decision", r9("confidence").alias("confidence"), "keyword", "academic_object", "context_boost")
+
+
 @query
 def triage_decisions_by_language(spark, sf):
     return triaged(spark, sf).groupBy("lang", "decision").agg(
@@ -646,7 +653,5 @@ def lexicon_edit_statuses(spark, sf):
 
 @query
 def export_lexicon(spark, sf):
-    doc = lexicon_admin.export_lexicon(A.lexicon_v(spark, sf))
-    cats = doc.select(F.explode(F.from_json("doc", "map<string,map<string,array<string>>>")).alias("category", "m"))
-    lists = cats.select("category", F.explode("m").alias("grp", "items"))
+    return lexicon_admin.export_lexicon(A.lexicon_v(spark, sf))
     return lists.select("category", "grp", F.array_join("items", "|").alias("items"))

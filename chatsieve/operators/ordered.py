@@ -81,6 +81,16 @@ def with_preceding(df: DataFrame, keys: list[str], order: list[str], depth: int)
     return df.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, chunks: int | None = None) -> DataFrame:
+    """Add `name`: the row's number within its key by `order`, from 0. A large key is numbered chunk by chunk."""
+    rows = in_chunks(df, keys, order, chunks)
+    sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("_n")
+    nth = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    joined = rows.withColumn("_nth", nth).join(sizes.select(*keys, "_chunk", before.alias("_before")), [*keys, "_chunk"])
+    return joined.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_nth", "_before", "_chunk")
+
+
 # --- folds of clamped affine steps -----------------------------------------
 # A step x -> min(hi, max(lo, a*x + b)) with a > 0 composes with another one to a step of
 # the same form, so each chunk folds to one step and the chunks fold in order.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ def write_new_by_key(df: DataFrame, target: str, key: str, order: list[str]) ->
 
 def read_if_any(spark, path: str) -> DataFrame | None:
     """The parquet table at `path`, or None while nothing has been written there."""
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(location) or not files.globStatus(jvm.org.apache.hadoop.fs.Path(path, "[^_.]*")):
-        return None
-    return spark.read.parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def alert_export_rows(alerts: DataFrame, contacts: DataFrame, limit: int | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatsieve.operators import lexicon_admin as L
 from chatsieve.sources import logs, sinks
@@ -37,9 +39,16 @@ def test_insert_or_ignore(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", 1), ("b", 3), ("c", 4)]
 
 
+def exported(lexicon):
+    out, lines = {}, L.export_lexicon(lexicon).orderBy("category", "line_no").collect()
+    for category in {r.category for r in lines}:
+        out |= json.loads("\n".join(r.line for r in lines if r.category == category))
+    return out
+
+
 def test_export_gives_the_document_back(spark):
     docs = spark.createDataFrame([(json.dumps(DOC),)], "doc string")
-    assert json.loads(L.export_lexicon(lexicon_from_documents(docs)).first()["doc"]) == DOC
+    assert exported(lexicon_from_documents(docs)) == DOC
 
 
 def test_edits(spark):
@@ -55,6 +64,65 @@ def test_edits(spark):
     assert [r["term"] for r in fresh.filter("path = 'ad_blockers'").orderBy("pos").collect()] == ["xy", 'q"z']
 
 
+def test_export_of_a_large_category_and_odd_names(spark, tmp_path):
+    doc = {"request": {"a": {"b": [f"t{i}" for i in range(300)], "terms": ['q"\\', "é 日本", ""]}, "z": {"c": {"d": ["x"]}}, "y y": ["\n"]}, "ad_blockers": ["1"]}
+    lexicon = lexicon_from_documents(spark.createDataFrame([(json.dumps(doc),)], "doc string")).repartition(7)
+    assert exported(lexicon) == doc
+    # lists whose order is mixed up still make one object each
+    mixed = lexicon.withColumn("ord", F.when(F.col("path") == "request.a.terms", F.array(F.lit(9))).otherwise(F.col("ord")))
+    assert exported(mixed) == doc
+    L.write_lexicon(lexicon, str(tmp_path / "out"))
+    text = "\n".join(f.read_text(encoding="utf-8").rstrip("\n") for f in sorted((tmp_path / "out" / "category=request").glob("part-*")))
+    assert json.loads(text) == {"request": doc["request"]}
+    assert L.export_lexicon(lexicon.limit(0)).count() == 0
+
+
+def folded(items, edits):
+    """Edits (action, old, new) over a list one after another."""
+    statuses = []
+    for action, old, new in edits:
+        value = (new or "").strip()
+        if action != "delete" and not value:
+            status = "empty"
+        elif items is None:
+            status = "bad_path"
+        elif action == "add":
+            status = "already_exists" if value in items else "ok"
+            items = items if value in items else [*items, value]
+        elif old not in items:
+            status = "not_found"
+        elif action == "rename" and value != old and value in items:
+            status = "already_exists"
+        else:
+            at, status = items.index(old), "ok"
+            items = [*items[:at], *([value] if action == "rename" else []), *items[at + 1:]]
+        statuses.append(status)
+    return items, statuses
+
+
+def test_edits_as_one_after_another(spark):
+    draw = random.Random(5)
+    paths = {f"request.l{i}": [draw.choice("abcdefgh") for _ in range(draw.randint(1, 9))] for i in range(12)}
+    asked = [(draw.choice([*paths, "nowhere"]), draw.choice(["add", "rename", "delete", "delete"]), draw.choice([*"abcdefgh", None]), draw.choice([*"abcdefgh", " c ", "", None]), s)
+             for s in range(600)]
+    asked = [(p, a, None if a == "add" else o, None if a == "delete" else n, s) for p, a, o, n, s in asked]
+    asked += [("request.l3", "add" if s % 2 else "delete", None if s % 2 else "k", "k" if s % 2 else None, 1000 + s) for s in range(300)]
+    rows = [(p, "request", p[8:], t, 0.7, i, [0, k]) for k, (p, items) in enumerate(paths.items()) for i, t in enumerate(items)]
+    lexicon = spark.createDataFrame(rows, "path string, category string, grp string, term string, weight double, pos int, ord array<int>").repartition(3)
+    fresh, statuses = L.apply_lexicon_edits(lexicon, spark.createDataFrame(asked, "path string, action string, old string, new string, seq long").repartition(3))
+    want, said = {}, {}
+    for p in [*paths, "nowhere"]:
+        mine = [e for e in asked if e[0] == p]
+        want[p], found = folded(paths.get(p), [e[1:4] for e in mine])
+        said |= {e[4]: x for e, x in zip(mine, found, strict=True)}
+    assert {r.seq: r.status for r in statuses.collect()} == said
+    got = {p: [] for p in paths}
+    for r in fresh.orderBy("path", "pos").collect():
+        assert r.pos == len(got[r.path])
+        got[r.path].append(r.term)
+    assert got == {p: want[p] for p in paths}
+
+
 def test_replace_needs_an_object(spark, tmp_path):
     L.replace_lexicon(spark.createDataFrame([(json.dumps(DOC),)], "doc string"), str(tmp_path), 1)
     with pytest.raises(ValueError):
