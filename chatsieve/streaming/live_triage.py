@@ -1,16 +1,19 @@
 """Live triage: event stream to messages, results, alerts, sender state and profiles.
 
-Each run (a micro-batch of the stream, or a retry) gets the next number of one common log, writes its rows under
-`<root>/<table>/batch=<number>`, replacing what a failed attempt left there, and is entered in the log once all is written.
-Runs read what entered runs have written; a run that has been entered is not done again. So a repeated micro-batch gives the
-same tables, and stream and retries see each other. All state is in those tables; runs follow each other, one writer at a time.
+Each run (a micro-batch of the stream, or a retry) gets the next number of one common count. It writes its messages, results, alerts and
+rejected events under `<root>/<table>/batch=<number>/day=<day>`, replacing what a failed attempt left there, and merges senders, profiles and
+rate state into tables that hold the current row of each key (`sources.state`). The run is entered in `progress` once all is written. Runs read
+what entered runs have written; a run that has been entered is not done again. So a repeated micro-batch gives the same tables, and stream and
+retries see each other. All state is in those tables; runs follow each other, one writer at a time.
+
+What a run reads: the state of its own senders; the hashes of earlier messages and contents, of the last `history_days` alone where
+that is set; and earlier alerts only where alerts are sent again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,17 +31,26 @@ from chatsieve.plans.lexicon import TriageLexicon
 from chatsieve.plans.triage import triage
 from chatsieve.sources.events import admit_events
 from chatsieve.sources.sinks import new_by_key, read_if_any
+from chatsieve.sources.state import CurrentState
 
 _KEYS = ["message_hash", "chat_id", "message_id", "sender_id", "account_name"]
 _ORDER = ["ts", "message_hash"]
+#: No run has this number yet.
+_ALL = 1 << 62
 _REJECTED = ["chat_id", "message_id", "sender_id", "account_name", "ts", "text", "rejected_reason"]
 
 
+def _one_row(spark, values: dict) -> DataFrame:
+    kinds = {"source": "string", "newest": "double"}
+    return spark.range(1).select(*[F.lit(v).cast(kinds.get(c, "long")).alias(c) for c, v in values.items()]).coalesce(1)
+
+
 @dataclass
 class LiveTriage:
     """lexicon and blocklists may be functions: they are called at each run, so that a new lexicon version, or blocklists that
-    `apply_block_events` keeps up to date, take effect without a restart. history_days: redeliveries older than so many days
-    are not looked for; by default all are."""
+    `apply_block_events` keeps up to date, take effect without a restart. history_days: redeliveries and repeated contents older than so
+    many days before a run's first event are not looked for, nor read; by default all are. allowed_lateness: events that lie more seconds
+    before the newest one of earlier runs are rejected as late; by default none is."""
 
     root: str
     lexicon: TriageLexicon | Callable[[], TriageLexicon]
@@ -54,79 +66,108 @@ class LiveTriage:
     per_hour: int = 120
     burst: int = 5
     history_days: int | None = None
+    allowed_lateness: float | None = None
+    buckets: int = 256
 
     # --- tables -----------------------------------------------------------
     def table(self, spark, name: str) -> DataFrame | None:
         return read_if_any(spark, f"{self.root}/{name}")
 
-    def _before(self, spark, name: str, batch_id: int) -> DataFrame | None:
+    @property
+    def senders(self) -> CurrentState:
+        return CurrentState(f"{self.root}/senders", "sender_id", self.buckets)
+
+    @property
+    def profiles(self) -> CurrentState:
+        return CurrentState(f"{self.root}/profiles", "sender_id", self.buckets)
+
+    @property
+    def rates(self) -> CurrentState:
+        return CurrentState(f"{self.root}/rates", "scope", 1)
+
+    @property
+    def progress(self) -> CurrentState:
+        return CurrentState(f"{self.root}/progress", "source", 1)
+
+    def _since(self, events: DataFrame) -> tuple | None:
+        """The day and the time from which on earlier rows count for a run over `events`; None: all count."""
+        if self.history_days is None:
+            return None
+        first = F.min("ts")
+        day, at = events.agg(F.date_sub(F.to_date(first), self.history_days), F.unix_micros(first) - self.history_days * 86_400_000_000).first()
+        return None if at is None else (day, at)
+
+    def _before(self, spark, name: str, batch_id: int, since: tuple | None = None) -> DataFrame | None:
+        """What earlier runs wrote; with `since`, from then on. Older days are left out when files are listed."""
         found = self.table(spark, name)
-        return None if found is None else found.filter(F.col("batch") < batch_id)
+        if found is None:
+            return None
+        found = found.filter(F.col("batch") < batch_id)
+        return found if since is None else found.filter((F.col("day") >= F.lit(since[0])) & (F.unix_micros("ts") >= since[1]))
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+        dated = df.withColumn("day", F.to_date("ts"))
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{name}/batch={batch_id}")
 
-    def _next_run(self, spark, source: str, number: int) -> int | None:
-        """The number of a run; None if it has been entered already."""
-        log = self.table(spark, "runs")
+    def _begin(self, spark, source: str, number: int) -> tuple[int | None, float | None]:
+        """The number of a run, None if it has been entered already; and the time of the newest event of earlier runs."""
+        log = self.progress.read(spark, _ALL)
         if log is None:
-            return 0
-        done, last = log.agg(
-            F.count_if((F.col("source") == source) & (F.col("number") == number)), F.max("run")).first()
-        return None if done else last + 1
+            return 0, None
+        done, last, newest = log.agg(F.count_if((F.col("source") == source) & (F.col("number") >= number)), F.max("last_run"), F.max("newest")).first()
+        return None if done else last + 1, newest
 
     # --- one micro-batch -----------------------------------------------------
     def process(self, events: DataFrame, number: int, source: str = "stream", resent: DataFrame | None = None) -> None:
-        """One run over `events`; `resent`: finished alerts that only have to be written."""
+        """One run over `events`; `resent`: finished alerts that only have to be written. Numbers rise within a source."""
         spark = events.sparkSession
-        batch_id = self._next_run(spark, source, number)
+        batch_id, newest = self._begin(spark, source, number)
         if batch_id is None:
             return
-        admitted = self._admitted(events)
+        admitted = O.stable(self._admitted(events, newest if source == "stream" else None))
         rejected = admitted.filter(F.col("rejected_reason").isNotNull())
         self._write(rejected.select(*[c for c in rejected.columns if c in _REJECTED]), "rejected", batch_id)
-        fresh = O.stable(self._fresh(admitted.filter(F.col("rejected_reason").isNull()).drop("rejected_reason"), batch_id))
-        results = O.stable(self._results(fresh, batch_id))
-        state = self._before(spark, "senders", batch_id)
-        state = None if state is None else O.stable(last_per_key(state, ["sender_id"], ["batch"]).drop("batch"))
+        taken = admitted.filter(F.col("rejected_reason").isNull()).drop("rejected_reason")
+        since = self._since(taken)
+        fresh = O.stable(self._fresh(taken, batch_id, since))
+        results = O.stable(self._results(fresh, batch_id, since))
+        state = self.senders.read(spark, batch_id, fresh)
         rows = results.select(*_KEYS, "ts", F.col("valid").alias("is_valid"))
         start = None if state is None else state.select("sender_id", F.col("reputation_score").alias("start"))
         walked = O.stable(running_reputation(rows, _ORDER, start))
         gate = O.stable(self._gate(walked, state, batch_id))
         alerts = self._alerts(gate, fresh, results)
-        if resent is not None:
-            alerts = alerts.unionByName(resent.select(*[c for c in resent.columns if c in alerts.columns]), allowMissingColumns=True)
         self._write(fresh.select(*_KEYS, "ts", F.col("text").alias("message_text")), "messages", batch_id)
         self._write(results, "results", batch_id)
-        self.flush_alerts(alerts, batch_id)
-        self._write(self._senders(walked, gate, state), "senders", batch_id)
-        self._write(self._profiles(fresh), "profiles", batch_id)
-        entry = spark.range(1).select(F.lit(source).alias("source"), F.lit(number).cast("long").alias("number"), F.lit(batch_id).alias("run"))
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
-
-    def _admitted(self, events: DataFrame) -> DataFrame:
-        """Admitted events of senders and chats that aren't blocked, with `rejected_reason` where the text's length is out of bounds."""
+        self.flush_alerts(alerts, batch_id, resent)
+        self.senders.merge(O.stable(self._sender_rows(walked, gate, state)), batch_id)
+        self.profiles.merge(O.stable(self._profile_rows(fresh, batch_id)), batch_id)
+        self.rates.merge(O.stable(self._rate_rows(gate)), batch_id)
+        counts = admitted.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("rejected_reason") == "late").alias("late"),
+                              F.count("rejected_reason").alias("rejected"), F.max(F.unix_micros("ts") / 1e6).alias("newest")).first()
+        entry = {"source": source, "number": number, "run": batch_id, "events": counts["events"], "rejected": counts["rejected"], "late": counts["late"],
+                 "messages": fresh.count(), "alerts": gate.filter("admitted").count()}
+        _one_row(spark, entry).write.mode("overwrite").parquet(f"{self.root}/runs/batch={batch_id}")
+        seen = [x for x in (newest, counts["newest"]) if x is not None]
+        self.progress.merge(_one_row(spark, {"source": source, "number": number, "last_run": batch_id, "newest": max(seen) if seen else None}), batch_id)
+
+    def _admitted(self, events: DataFrame, newest: float | None) -> DataFrame:
+        """Admitted events of senders and chats that aren't blocked, with `rejected_reason` where the text's length is out of bounds or the event late."""
         given = [x() if callable(x) else x for x in (self.blocked_senders, self.blocked_chats)]
         df = drop_blocked(admit_events(events, self.admin_chat, self.started_at), *given)
         n = F.length("text")
-        return df.withColumn("rejected_reason", F.when(n == 0, None).when(n < self.cfg.min_len, "too_short").when(n > self.cfg.max_len, "too_long"))
+        reason = F.when(n == 0, None).when(n < self.cfg.min_len, "too_short").when(n > self.cfg.max_len, "too_long")
+        if self.allowed_lateness is not None and newest is not None:
+            reason = F.when(F.unix_micros("ts") / 1e6 < newest - self.allowed_lateness, "late").otherwise(reason)
+        return df.withColumn("rejected_reason", reason)
 
-    def _fresh(self, events: DataFrame, batch_id: int) -> DataFrame:
-        spark = events.sparkSession
+    def _fresh(self, events: DataFrame, batch_id: int, since: tuple | None) -> DataFrame:
         df = dedup_messages(events, ["ts", "message_id"])
-        known = self._before(spark, "messages", batch_id)
-        if known is None:
-            return df
-        if self.history_days is None:
-            return df.join(known.select("message_hash"), "message_hash", "left_anti")
-        # Redeliveries older than the retention time are not looked for.
-        span = df.agg(F.min("ts").alias("from_ts")).withColumn(
-            "from_ts", F.col("from_ts") - F.make_dt_interval(F.lit(self.history_days)))
-        recent = known.join(F.broadcast(span), known["ts"] >= span["from_ts"]).select("message_hash")
-        return df.join(recent, "message_hash", "left_anti")
-
-    def _results(self, fresh: DataFrame, batch_id: int) -> DataFrame:
-        earlier = self._before(fresh.sparkSession, "results", batch_id)
+        known = self._before(events.sparkSession, "messages", batch_id, since)
+        return df if known is None else df.join(known.select("message_hash"), "message_hash", "left_anti")
+
+    def _results(self, fresh: DataFrame, batch_id: int, since: tuple | None) -> DataFrame:
+        earlier = self._before(fresh.sparkSession, "results", batch_id, since)
         known = None if earlier is None else earlier.select("content_hash").filter(F.col("content_hash").isNotNull())
         lexicon = self.lexicon() if callable(self.lexicon) else self.lexicon
         return triage(fresh, lexicon, _KEYS, _ORDER, self.cfg, self.profile,
@@ -141,12 +182,11 @@ class LiveTriage:
         else:
             last = state.select("sender_id", (F.unix_micros("last_alert_time") / 1e6).alias("_last_alert"))
             valid = valid.join(last, "sender_id", "left")
-        sent = self._before(spark, "alerts", batch_id)
-        if sent is None:
+        rates = self.rates.read(spark, batch_id)
+        if rates is None:
             valid = valid.withColumn("_rate_state", F.lit(None).cast("string"))
         else:
-            carried = sent.groupBy("scope").agg(F.max_by("rate_state", F.struct("ts", "message_hash")).alias("_rate_state"))
-            valid = valid.join(broadcast_if_small(carried), "scope", "left")
+            valid = valid.join(broadcast_if_small(rates.select("scope", F.col("rate_state").alias("_rate_state"))), "scope", "left")
         kept = [f for f in valid.schema.fields if f.name not in ("_at", "_last_alert", "_rate_state")]
         schema = T.StructType([*kept, T.StructField("admitted", T.BooleanType()), T.StructField("rate_state", T.StringType())])
         ready = valid.select(*[f.name for f in kept], "_at", "_last_alert", "_rate_state")
@@ -163,12 +203,20 @@ class LiveTriage:
             "confidence", "reasons", "intent_verb", "academic_object", "negation_detected", "advert_score",
             "group_link", "message_link", "profile_link", "display_name", "score_bar")
 
-    def flush_alerts(self, alerts: DataFrame, batch_id: int) -> None:
-        """Write the alerts whose message has none yet."""
-        existing = self._before(alerts.sparkSession, "alerts", batch_id)
-        self._write(new_by_key(alerts, existing, "message_hash", _ORDER), "alerts", batch_id)
+    def flush_alerts(self, alerts: DataFrame, batch_id: int, resent: DataFrame | None = None) -> None:
+        """Write this run's alerts; and of those sent again the ones whose message has none yet. New messages have none by themselves."""
+        if resent is not None:
+            again = resent.select(*[c for c in resent.columns if c in alerts.columns])
+            earlier = self._before(alerts.sparkSession, "alerts", batch_id)
+            again = new_by_key(again, earlier, "message_hash", _ORDER).join(alerts.select("message_hash"), "message_hash", "left_anti")
+            alerts = alerts.unionByName(again, allowMissingColumns=True)
+        self._write(alerts, "alerts", batch_id)
+
+    def _rate_rows(self, gate: DataFrame) -> DataFrame:
+        last = gate.filter("admitted").groupBy("scope").agg(F.max_by("rate_state", F.struct(*_ORDER)).alias("rate_state"))
+        return last.select("scope", "rate_state")
 
-    def _senders(self, walked: DataFrame, gate: DataFrame, state: DataFrame | None) -> DataFrame:
+    def _sender_rows(self, walked: DataFrame, gate: DataFrame, state: DataFrame | None) -> DataFrame:
         seen = walked.groupBy("sender_id").agg(
             F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("good"), F.count_if(~F.col("is_valid")).alias("bad"),
             F.min("ts").alias("first_ts"), F.max_by("reputation", F.struct(*_ORDER)).alias("reputation_score"))
@@ -187,17 +235,22 @@ class LiveTriage:
             plus("alerts_sent", "sent"), "reputation_score", F.greatest("last_alert_time", "sent_ts").alias("last_alert_time"),
             F.least("first_seen", "first_ts").alias("first_seen"))
 
-    def _profiles(self, fresh: DataFrame) -> DataFrame:
+    def _profile_rows(self, fresh: DataFrame, batch_id: int) -> DataFrame:
         group, message = chat_links(F.col("chat_id"), F.col("message_id"), F.col("chat_username"))
         seen = fresh.select(
             "sender_id", F.col("sender_access_hash").alias("access_hash"), F.col("sender_username").alias("username"),
             F.col("sender_first_name").alias("first_name"), F.col("sender_last_name").alias("last_name"),
             F.col("chat_id").alias("last_chat_id"), F.col("message_id").alias("last_message_id"),
             message.alias("last_message_link"), group.alias("last_group_link"), "ts")
+        known = self.profiles.read(fresh.sparkSession, batch_id, fresh)
+        seen = seen if known is None else seen.unionByName(known.join(fresh.select("sender_id").distinct(), "sender_id", "left_semi"))
         return last_per_key(seen, ["sender_id"], ["ts", "last_message_id"])
 
-    def current_profiles(self, spark) -> DataFrame:
-        return last_per_key(self.table(spark, "profiles"), ["sender_id"], ["ts", "last_message_id"])
+    def current_profiles(self, spark) -> DataFrame | None:
+        return self.profiles.read(spark, _ALL)
+
+    def current_senders(self, spark) -> DataFrame | None:
+        return self.senders.read(spark, _ALL)
 
     # --- entry points -----------------------------------------------------------
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -207,7 +260,7 @@ class LiveTriage:
         return writer.start()
 
     def reprocess(self, failures: DataFrame, number: int) -> None:
-        """Retry failed work as a run of its own; `number` counts retries and has nothing to do with the stream's. Rows of kind
+        """Retry failed work as a run of its own; `number` counts retries, upwards, and has nothing to do with the stream's. Rows of kind
         `alert_resend` carry a finished alert and go straight to the alert table, unless their message has one; all others are
         triaged again, which known messages do not survive."""
         again = failures.filter(F.coalesce("kind", F.lit("")) != "alert_resend").select("event.*")

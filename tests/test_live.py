@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chatsieve.plans.lexicon import compile_json
 from chatsieve.sources.events import read_events_stream
+from chatsieve.sources.state import CurrentState
 from chatsieve.streaming.live_stats import start_live_stats
 from chatsieve.streaming.live_triage import LiveTriage
 
@@ -44,9 +45,7 @@ def test_one_batch_and_many_batches_agree(spark, tmp_path):
         reasons = {r["message_id"]: r["reason"] for r in live.table(spark, "results").collect()}
         assert reasons == {1: "keyword_found", 2: "keyword_found", 3: "no_keyword", 4: "keyword_found", 5: "duplicate"}
         assert sorted(r["message_id"] for r in live.table(spark, "alerts").collect()) == [1, 4]
-        last = live.table(spark, "senders").groupBy("sender_id").agg(F.max_by(F.struct("*"), "batch").alias("s"))
-        state = {r["sender_id"]: (r["s"]["total_messages"], r["s"]["alerts_sent"], r["s"]["reputation_score"])
-                 for r in last.collect()}
+        state = {r["sender_id"]: (r["total_messages"], r["alerts_sent"], r["reputation_score"]) for r in live.current_senders(spark).collect()}
         assert state == {1: (3, 2, 56.0), 2: (1, 0, 49.0), 3: (1, 0, 49.0)}
         assert {r["sender_id"]: r["last_message_id"] for r in live.current_profiles(spark).collect()} == {1: 4, 2: 3, 3: 5}
 
@@ -77,6 +76,52 @@ def test_retries_and_stream_see_each_other(spark, tmp_path):
     assert live.table(spark, "runs").count() == 4
 
 
+def test_late_events_are_rejected_and_counted(spark, tmp_path):
+    live = LiveTriage(str(tmp_path / "out"), LEXICON, allowed_lateness=100.0)
+    live.process(frame(spark, EVENTS[4:5]), 0)
+    live.process(frame(spark, EVENTS[1:3] + [event(20, 7, 301, "انا محتاج بحث ضروري جدا")]), 1)
+    live.reprocess(frame(spark, EVENTS[1:2]).select(F.lit(None).cast("string").alias("kind"), F.struct("*").alias("event")), 0)
+    assert sorted((r.message_id, r.batch) for r in live.table(spark, "messages").collect()) == [(2, 2), (4, 0), (20, 1)]
+    assert sorted((r.message_id, r.rejected_reason) for r in live.table(spark, "rejected").collect()) == [(2, "late"), (3, "late")]
+    assert sorted((r.run, r.source, r.events, r.late, r.messages) for r in live.table(spark, "runs").collect()) == [
+        (0, "stream", 1, 0, 1), (1, "stream", 3, 2, 1), (2, "retry", 1, 0, 1)]
+
+
+def test_old_days_are_not_read(spark, tmp_path, capsys):
+    live = LiveTriage(str(tmp_path / "out"), LEXICON, history_days=2)
+    day = 86_400
+    live.process(frame(spark, EVENTS[:1]), 0)
+    live.process(frame(spark, [event(1, 1, 0, EVENTS[0]["text"]), event(7, 1, day, "انا محتاج شرح ضروري اليوم")]), 1)
+    live.process(frame(spark, [event(8, 1, 5 * day, EVENTS[0]["text"])]), 2)     # the content is forgotten by now
+    assert sorted((r.message_id, r.batch) for r in live.table(spark, "messages").collect()) == [(1, 0), (7, 1), (8, 2)]
+    assert {r.message_id: r.reason for r in live.table(spark, "results").collect()}[8] == "keyword_found"
+    # the read of a run lists only the days that count
+    found = live._before(spark, "messages", 9, live._since(frame(spark, [event(8, 1, 5 * day, "x")])))
+    assert {r.message_id for r in found.collect()} == {8}
+    found.explain("formatted")
+    assert "day" in next(line for line in capsys.readouterr().out.splitlines() if "PartitionFilters" in line)
+
+
+def test_state_keeps_the_last_row_and_survives_a_failed_run(spark, tmp_path):
+    state = CurrentState(str(tmp_path / "s"), "k", 4)
+    rows = lambda *r: spark.createDataFrame(r, "k long, v string")
+    read = lambda run, *keys: {r.k: r.v for r in state.read(spark, run, *keys).collect()}
+    assert state.read(spark, 9) is None
+    state.merge(rows(*[(k, f"a{k}") for k in range(30)]), 0)
+    state.merge(rows((3, "b"), (99, "b"), (None, "b")), 1)
+    state.merge(rows((3, "broken")), 2)          # this run fails later on, and is done once more
+    assert read(2)[3] == "b"
+    state.merge(rows((3, "c"), (4, "c")), 2)
+    want = {k: f"a{k}" for k in range(30)} | {3: "c", 4: "c", 99: "b", None: "b"}
+    assert read(3) == want
+    part = read(3, rows((3, "")))
+    assert part[3] == "c" and part.items() <= want.items() and len(part) < len(want)
+    for run in range(3, 9):
+        state.merge(rows((run, f"r{run}")), run)
+    assert read(9) == want | {run: f"r{run}" for run in range(3, 9)}
+    assert len(list((tmp_path / "s").glob("bucket=*/slot=*"))) <= 8
+
+
 def test_live_stats(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(e) for e in EVENTS), encoding="utf-8")
