@@ -475,6 +475,11 @@ def oracle_sql() -> dict[str, str]:
         """SELECT message_id, term, round(sim, 6) AS similarity, round(weight * 0.85::DOUBLE, 6) AS weight, 0 AS start FROM fz""",
         "msg_norm", extra={"open": f"SELECT * FROM msg_norm WHERE NOT {any_contains('norm', lex.terms('request'))}",
                            **fuzzy_sql(lex, "open")})
+    out["fuzzy_match_joined"] = out["fuzzy_match"]
+    out["match_table_terms"] = with_views(r"""SELECT message_id, term, count(*) AS times, min(p) AS first_start FROM (
+          SELECT message_id, n, unnest(range(length(norm) - n + 1)) AS p, norm FROM msg_norm, (SELECT DISTINCT length(term) AS n FROM terms) WHERE length(norm) >= n)
+        JOIN terms ON term = substring(norm, p + 1, n) GROUP BY message_id, term""", "msg_norm", extra={"terms": r"""
+          SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS term FROM benchmark) WHERE length(term) >= 6"""})
     out["expand_templates"] = """WITH slots AS (SELECT DISTINCT
           ['need', 'person', 'action', 'expert', 'availability'][p_partkey % 5 + 1] AS tag, p_name AS term FROM part),
         n AS (SELECT term FROM slots WHERE tag = 'need'), p AS (SELECT term FROM slots WHERE tag = 'person'),

@@ -213,17 +213,35 @@ def match_contains(spark, sf):
     return matching.match_contains(norm_messages(spark, sf), terms, ["message_id"])
 
 
-@query
-def fuzzy_match(spark, sf):
+def _fuzzy(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
     lex = latin_lexicon()
     intent = spark.range(0, 1, 1, 1).select(F.posexplode(F.array(*map(F.lit, lex.terms("intent")))).alias(
         "ord", "term"))
     weights = F.create_map(*[F.lit(x) for kv in lex.intent_weights.items() for x in kv])
     intent = intent.withColumn("weight", F.element_at(weights, F.col("term")))
-    m = matching.fuzzy_match(norm_messages(spark, sf), intent, terms_frame(spark, lex.terms("request")), ["message_id"])
+    m = matching.fuzzy_match(norm_messages(spark, sf), intent, terms_frame(spark, lex.terms("request")), ["message_id"], strategy=strategy)
     return m.select("message_id", "term", r6("similarity").alias("similarity"), r6("weight").alias("weight"), "start")
 
 
+@query
+def fuzzy_match(spark, sf):
+    return _fuzzy(spark, sf, "auto")
+
+
+@query
+def fuzzy_match_joined(spark, sf):
+    return _fuzzy(spark, sf, "join")
+
+
+@query
+def match_table_terms(spark, sf):
+    """Terms of a table: the longer words of `benchmark`, wherever they occur in the messages."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    terms = A.table(spark, sf, "benchmark").select(words.alias("term")).filter(F.length("term") >= 6).distinct()
+    hits = matching.match_all(norm_messages(spark, sf), terms, ["message_id"], strategy="join")
+    return hits.groupBy("message_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("start").alias("first_start"))
+
+
 @query
 def expand_templates(spark, sf):
     p = A.table(spark, sf, "part")

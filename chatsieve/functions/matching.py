@@ -83,6 +83,22 @@ def contained(text: Column, terms: list[str]) -> Column:
     return F.when(text.isNotNull(), F.transform(ranked, lambda r: r["term"]))
 
 
+def fuzzy_bounds(length: Column, cutoff: float) -> tuple[Column, Column]:
+    """For a term's length: the edits that a window of the cutoff's similarity may need, and the longest such window."""
+    slack = 1.0 - cutoff / 100.0
+    longest = F.floor(length / (1.0 - slack) + 1e-9).cast("int") if slack < 1 else length
+    return F.floor(slack * longest + 1e-9).cast("int"), longest
+
+
+def word_windows(words: Column, n: int) -> Column:
+    """The distinct windows of n words."""
+    if n == 1:
+        return F.array_distinct(words)
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    cut = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
+    return F.when(F.size(words) >= n, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
 def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
     """Best (similarity, rank, term) among terms of a similarity of at least `cutoff`.
 
@@ -97,7 +113,7 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
         # longest window that can still reach the cutoff, and the edits it may need
         longest = int(len(term) / (1.0 - slack) + 1e-9) if slack < 1 else len(term)
         edits = int(slack * longest + 1e-9)
-        if not term or edits == 0 or len(term.split(" ")) == 0:
+        if not term:
             continue
         step = max(1, len(term) // (edits + 1))
         cuts = [term[i * step:(i + 1) * step] for i in range(edits)] + [term[edits * step:]]
@@ -111,14 +127,6 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
                      F.array(*map(F.lit, cuts)).alias("pieces"))
             for o, t, m, k, cuts in entries if m == n])
 
-    def windows(words: Column, n: int) -> Column:
-        """The distinct windows of n words, cut once for all terms of n words."""
-        if n == 1:
-            return F.array_distinct(words)
-        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-        cut = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
-        return F.when(F.size(words) >= n, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
-
     def similarity(cuts: Column, c: Column) -> Column:
         term, edits = c["term"], c["edits"]
         close = F.filter(cuts, lambda w: F.abs(F.length(w) - F.length(term)) <= edits)
@@ -131,7 +139,7 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
 
     def scored(words: Column, n: int) -> Column:
         near = F.filter(candidates(n), lambda c: F.exists(c["pieces"], lambda p: F.contains(text, p)))
-        return let(windows(words, n), lambda cuts: F.transform(near, lambda c: F.struct(
+        return let(word_windows(words, n), lambda cuts: F.transform(near, lambda c: F.struct(
             similarity(cuts, c).alias("similarity"), c["rank"].alias("rank"), c["term"].alias("term"))))
 
     def best(words: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Two plans give the same rows. A lexicon within the driver bound becomes one regular
 expression per nesting level and is matched where the text is, without any shuffle.
-A larger one is joined: each text is cut into its windows of every term length that
-occurs, and the windows meet the terms in an equi-join.
+A larger one is joined: the windows of a text first meet the distinct beginnings of the
+terms, a much smaller table, and what is left of them meets the terms in an equi-join.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from chatsieve.operators.bounds import DRIVER_ROWS, broadcast_if_small, collect_
 
 # Characters of literal terms that one pattern may hold before the join takes over.
 PATTERN_CHARS = 200_000
+# Characters of a term that its windows are looked up by first.
+HEAD_CHARS = 4
 
 
 def _literal_terms(terms: DataFrame, strategy: str) -> list[str] | None:
@@ -28,24 +30,34 @@ def _literal_terms(terms: DataFrame, strategy: str) -> list[str] | None:
 
 
 def windows(text: Column, length: int) -> Column:
-    """All windows of `length` characters; the array index is the start."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{length}}}))?."), F.lit(1))
+    """At each start the next `length` characters, fewer towards the end; the array index is the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{length}}}))?."), F.lit(1))
 
 
 def _joined_hits(msgs: DataFrame, terms: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row per start, not one per start and term length; the beginnings of terms leave few of them."""
     usable = terms.select("term").filter(F.col("term") != "").distinct()
     # One row per distinct term length: bounded by the longest term.
     lengths = sorted(r["n"] for r in collect_bounded(
         usable.select(F.length("term").alias("n")).distinct(), "term lengths"))
     if not lengths:
         return msgs.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"))
-    per_length = F.array(*[windows(F.col(text), n) for n in lengths])
-    cut = (
-        msgs.select(*keys, F.explode(per_length).alias("cut"))
-        .select(*keys, F.posexplode("cut").alias("start", "term"))
-        .filter(F.col("term") != "")
-    )
-    return cut.join(broadcast_if_small(usable), "term").select(*keys, "term", "start")
+    small = broadcast_if_small(usable)
+    found = []
+    for some in ([n for n in lengths if n < HEAD_CHARS], [n for n in lengths if n >= HEAD_CHARS]):
+        if not some:
+            continue
+        starts = msgs.select(*keys, F.posexplode(windows(F.col(text), some[-1])).alias("start", "_cut"))
+        if some[0] < HEAD_CHARS:
+            sized = starts.withColumn("_n", F.explode(F.array(*map(F.lit, some))))
+        else:
+            heads = usable.filter(F.length("term") >= HEAD_CHARS).groupBy(F.substring("term", 1, HEAD_CHARS).alias("_head")).agg(
+                F.collect_set(F.length("term")).alias("_sizes"))
+            sized = (starts.withColumn("_head", F.substring("_cut", 1, HEAD_CHARS)).join(broadcast_if_small(heads), "_head")
+                     .withColumn("_n", F.explode("_sizes")))
+        cut = sized.filter(F.length("_cut") >= F.col("_n")).withColumn("term", F.substring(F.col("_cut"), F.lit(1), F.col("_n")))
+        found.append(cut.select(*keys, "term", "start").join(small, "term").select(*keys, "term", "start"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def match_all(
@@ -88,18 +100,24 @@ def match_contains(
 
 def fuzzy_match(
     msgs: DataFrame, intent_terms: DataFrame, request_terms: DataFrame, keys: list[str],
-    text: str = "norm_text", cutoff: float = 85.0, discount: float = 0.85,
+    text: str = "norm_text", cutoff: float = 85.0, discount: float = 0.85, strategy: str = "auto",
 ) -> DataFrame:
     """Near matches of intent terms in messages without any exact request term.
 
     `intent_terms` has (term, weight, ord). Gives (keys, term, similarity, weight, start);
-    the weight is discounted and the start is 0.
+    the weight is discounted and the start is 0. Terms of any number: past the driver bound they are joined.
     """
+    exact = _literal_terms(request_terms, strategy)
+    if exact is None:
+        hit = _joined_hits(msgs, request_terms, keys, text).select(*keys).distinct()
+        unmatched = msgs.select(*keys, text).join(hit, keys, "left_anti").filter(F.col(text).isNotNull())
+    else:
+        unmatched = msgs.select(*keys, text).filter(~M.occurs(F.col(text), exact))
+    if _literal_terms(intent_terms, strategy) is None:
+        return _joined_fuzzy(unmatched, intent_terms, keys, text, cutoff, discount)
     rows = sorted(collect_bounded(intent_terms.select("term", "weight", "ord"), "intent terms"),
                   key=lambda r: r["ord"])
     weights = {r["term"]: r["weight"] for r in rows}
-    exact = [r["term"] for r in collect_bounded(request_terms.select("term"), "request terms")]
-    unmatched = msgs.select(*keys, text).filter(~M.occurs(F.col(text), exact))
     # Exploding the at most one find, rather than filtering on it, computes it only once.
     found = F.filter(F.array(M.fuzzy_term(F.col(text), list(weights), cutoff)), lambda b: b.isNotNull())
     return unmatched.select(*keys, F.explode(found).alias("best")).select(
@@ -107,6 +125,47 @@ def fuzzy_match(
         (lookup(F.col("best.term"), weights, 0.7) * discount).alias("weight"), F.lit(0).alias("start"))
 
 
+def _joined_fuzzy(unmatched: DataFrame, terms: DataFrame, keys: list[str], text: str, cutoff: float, discount: float) -> DataFrame:
+    """The same by joins. A term within k edits of a window of words holds one of any k + 1 pieces of it unchanged, so windows meet terms
+    by pieces. Each distinct window is compared once, however many messages hold it."""
+    edits, longest = M.fuzzy_bounds(F.length("term"), cutoff)
+    first = terms.filter(F.col("term") != "").groupBy("term").agg(
+        F.min("ord").alias("ord"), F.max_by("weight", "ord").alias("weight")).select(
+        "term", "ord", "weight", F.size(F.split("term", " ")).alias("words"), edits.alias("edits"), longest.alias("longest"))
+    step = F.greatest(F.lit(1), F.floor(F.length("term") / (F.col("edits") + 1)).cast("int"))
+    last = F.col("i") == F.col("edits")
+    pieces = first.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn(
+        "piece", F.substring(F.col("term"), F.col("i") * step + 1, F.when(last, F.length("term")).otherwise(step))).filter(F.col("piece") != "")
+    # Both are bounded by the longest term.
+    words = sorted(r["words"] for r in collect_bounded(first.select("words").distinct(), "word counts of terms"))
+    sizes = sorted(r["n"] for r in collect_bounded(pieces.select(F.length("piece").alias("n")).distinct(), "piece lengths"))
+    if not words:
+        return unmatched.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("weight"), F.lit(0).alias("start"))
+    cut = unmatched.withColumn("_words", F.split(text, " "))
+
+    def cut_in(n: int) -> Column:
+        return F.transform(M.word_windows(F.col("_words"), n), lambda w: F.struct(F.lit(n).alias("words"), w.alias("window")))
+
+    def parts_of(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.length("window") - (n - 1)), lambda i: F.substring(F.col("window"), i, F.lit(n)))
+        return F.when(F.length("window") >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    each = F.explode(F.flatten(F.array(*map(cut_in, words)))).alias("w")
+    held = cut.select(*keys, each).select(*keys, "w.words", "w.window")
+    distinct = held.select("words", "window").distinct()
+    parts = F.array_distinct(F.flatten(F.array(*map(parts_of, sizes))))
+    near = distinct.withColumn("piece", F.explode(parts)).join(pieces.select("words", "piece", "term", "edits").distinct(), ["words", "piece"]).filter(
+        F.abs(F.length("window") - F.length("term")) <= F.col("edits")).select("words", "window", "term", "edits").distinct()
+    distance = F.nullif(F.call_function("levenshtein", F.col("window"), F.col("term"), F.col("edits")), F.lit(-1))
+    scored = near.withColumn("similarity", F.lit(100.0) * (1 - distance / F.greatest(F.length("window"), F.length("term")))).filter(
+        F.col("similarity") >= cutoff)
+    ranked = scored.join(first.select("term", "ord", "weight"), "term")
+    row = F.struct((-F.col("similarity")).alias("s"), "ord", "term", "weight", "similarity")
+    best = ranked.groupBy("words", "window").agg(F.min(row).alias("best"))
+    return held.join(best, ["words", "window"]).groupBy(*keys).agg(F.min("best").alias("best")).select(
+        *keys, "best.term", "best.similarity", (F.coalesce("best.weight", F.lit(0.7)) * discount).alias("weight"), F.lit(0).alias("start"))
+
+
 def lookup(key: Column, table: dict[str, float], default: float) -> Column:
     if not table:
         return F.when(key.isNotNull(), F.lit(default))

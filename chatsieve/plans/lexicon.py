@@ -6,14 +6,15 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
-from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.config import DEFAULT_TERM_WEIGHT, LEXICON_CATEGORIES, TEMPLATE_PATTERNS
 from chatsieve.operators.bounds import collect_bounded
+from chatsieve.operators.templates import expand_templates
+from chatsieve.sources.lexicon import dialect_from_documents, lexicon_from_documents, numbers_from_documents
 
 # List paths (`*` is one path part) of each match set.
 MATCH_SETS: dict[str, tuple[str, ...]] = {
@@ -51,21 +52,6 @@ MATCH_SETS: dict[str, tuple[str, ...]] = {
 }
 
 
-def in_set(path: Column, name: str) -> Column:
-    """Does a lexicon path belong to the match set?"""
-    def one(pattern: str) -> Column:
-        if "*" not in pattern:
-            return path == pattern
-        return path.rlike("^" + pattern.replace(".", r"\.").replace("*", r"[^.]+") + "$")
-    return reduce(lambda a, b: a | b, map(one, MATCH_SETS[name]))
-
-
-def terms_of(lexicon: DataFrame, name: str) -> DataFrame:
-    """Distinct terms of a match set with their first position in it."""
-    picked = lexicon.filter(in_set(F.col("path"), name) & (F.col("term") != ""))
-    return picked.groupBy("term").agg(F.min(F.struct("ord", "pos")).alias("first_at"))
-
-
 @dataclass(frozen=True)
 class Band:
     low: int
@@ -148,6 +134,24 @@ def compile_lexicon(
     return _build([(r["path"], r["term"], r["weight"]) for r in rows], phrases, weights, **parts)
 
 
+def compile_documents(docs: DataFrame, doc: str = "doc", weights: DataFrame | None = None) -> TriageLexicon:
+    """The same of lexicon documents held in a table: lists, templates, bands and dialect map are read in Spark, then brought together."""
+    lexicon = lexicon_from_documents(docs, doc)
+    slots = lexicon.filter(F.col("category") == "templates").select(F.col("grp").alias("tag"), "term")
+    patterns = lexicon.filter(F.col("path") == "template_patterns").select(F.col("term").alias("pattern"))
+
+    def numbers(root: str, leaf: str | None) -> list[tuple[str, float | None]]:
+        rows = collect_bounded(numbers_from_documents(docs, root, leaf, doc), root)
+        return [(r["key"], r["value"]) for r in sorted(rows, key=lambda r: r["pos"])]
+
+    distance = [(k, (0.15 if k == "16_plus" else 1.0) if v is None else v)
+                for k, v in numbers("distance_scoring_config.thresholds", "score_multiplier")]
+    dialect = {r["variant"]: r["canonical"] for r in collect_bounded(dialect_from_documents(docs, doc), "dialect map")}
+    return compile_lexicon(
+        lexicon, expand_templates(slots, patterns), weights, distance_bands=parse_bands(distance, "16_plus"),
+        length_bands=parse_bands(numbers("length_modifier", None)), dialect=dialect)
+
+
 def _build(
     rows: list[tuple[str, str, float]], boost: list[str], weights: DataFrame | None, **parts
 ) -> TriageLexicon:

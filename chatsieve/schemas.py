@@ -23,48 +23,3 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("is_bot", T.BooleanType()),
     T.StructField("timestamp", T.DoubleType()),
 ])
-
-MESSAGE_SCHEMA = T.StructType([
-    T.StructField("message_hash", T.StringType()),
-    T.StructField("chat_id", T.LongType()),
-    T.StructField("sender_id", T.LongType()),
-    T.StructField("message_text", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
-
-ALERT_SCHEMA = T.StructType([
-    T.StructField("message_hash", T.StringType()),
-    T.StructField("chat_id", T.LongType()),
-    T.StructField("sender_id", T.LongType()),
-    T.StructField("account_name", T.StringType()),
-    T.StructField("keyword", T.StringType()),
-    T.StructField("alert_text", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("decision", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("reasons", T.ArrayType(T.StringType())),
-    T.StructField("intent_verb", T.StringType()),
-    T.StructField("academic_object", T.StringType()),
-    T.StructField("negation_detected", T.BooleanType()),
-    T.StructField("advert_score", T.DoubleType()),
-])
-
-SENDER_STATE_SCHEMA = T.StructType([
-    T.StructField("sender_id", T.LongType()),
-    T.StructField("total_messages", T.LongType()),
-    T.StructField("valid_requests", T.LongType()),
-    T.StructField("invalid_requests", T.LongType()),
-    T.StructField("alerts_sent", T.LongType()),
-    T.StructField("reputation_score", T.DoubleType()),
-    T.StructField("last_alert_time", T.TimestampType()),
-    T.StructField("first_seen", T.TimestampType()),
-])
-
-LEXICON_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("grp", T.StringType()),
-    T.StructField("term", T.StringType()),
-    T.StructField("weight", T.DoubleType()),
-    T.StructField("pos", T.IntegerType()),
-])

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.operators.dedup import first_per_key
-from chatsieve.operators.text import profile_link
 
 
 def new_by_key(df: DataFrame, existing: DataFrame | None, key: str, order: list[str]) -> DataFrame:
@@ -61,8 +60,3 @@ def export_alerts_csv(alerts: DataFrame, contacts: DataFrame, path: str, limit:
     """CSV files with a header, in order from file to file; one file where a `limit` bounds the rows."""
     rows = alert_export_rows(alerts, contacts, limit)
     (rows if limit is None else rows.coalesce(1)).write.mode("overwrite").option("header", True).csv(path)
-
-
-def contact_links(df: DataFrame) -> DataFrame:
-    """Add `profile`, the contact link of username or sender id."""
-    return df.withColumn("profile", profile_link(F.col("sender_id"), F.col("username")))

@@ -76,6 +76,19 @@ def test_retries_and_stream_see_each_other(spark, tmp_path):
     assert live.table(spark, "runs").count() == 4
 
 
+def test_alerts_sent_again(spark, tmp_path):
+    live = LiveTriage(str(tmp_path / "out"), LEXICON)
+    live.process(frame(spark, EVENTS[:1]), 0)
+    sent = live.table(spark, "alerts").drop("batch", "day")
+    again = sent.unionByName(sent.withColumn("message_hash", F.lit("lost"))).unionByName(sent.withColumn("message_hash", F.lit("lost")))
+    failures = again.select(F.lit("alert_resend").alias("kind"), F.struct("*").alias("alert")).withColumn(
+        "event", F.lit(None).cast(frame(spark, []).select(F.struct("*").alias("e")).schema["e"].dataType))
+    live.reprocess(failures, 0)
+    live.reprocess(failures, 1)
+    first = sent.first()["message_hash"]
+    assert sorted((r.message_hash == first, r.batch) for r in live.table(spark, "alerts").collect()) == [(False, 1), (True, 0)]
+
+
 def test_late_events_are_rejected_and_counted(spark, tmp_path):
     live = LiveTriage(str(tmp_path / "out"), LEXICON, allowed_lateness=100.0)
     live.process(frame(spark, EVENTS[4:5]), 0)

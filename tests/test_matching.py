@@ -36,7 +36,44 @@ def test_matches_equal_brute_force(spark, strategy):
 def test_long_terms_are_found(spark):
     msgs = spark.createDataFrame([(1, "x" * 70)], "id int, norm_text string")
     tf = spark.createDataFrame([("x" * 61,)], "term string")
-    assert M.match_all(msgs, tf, ["id"]).count() == 10
+    for strategy in ("auto", "join"):
+        assert M.match_all(msgs, tf, ["id"], strategy=strategy).count() == 10
+
+
+def ratio(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return 100.0 * (1 - row[-1] / max(len(a), len(b)))
+
+
+@pytest.mark.parametrize("strategy", ["auto", "join"])
+def test_fuzzy_equals_brute_force(spark, strategy):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    terms = list(dict.fromkeys([" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(40)] + ["x", "abc", "abcdabcd"]))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["say x now", "abcdabxd", ""]
+    request = ["dd", "request phrase"]
+    out = M.fuzzy_match(spark.createDataFrame([*enumerate(texts), (999, None)], "id int, norm_text string"),
+                        spark.createDataFrame([(t, 0.5 + i / 100, i) for i, t in enumerate(terms)], "term string, weight double, ord int"),
+                        spark.createDataFrame([(t,) for t in request], "term string"), ["id"], cutoff=75.0, strategy=strategy)
+    got = {r["id"]: (r["term"], round(r["similarity"], 6), round(r["weight"], 6)) for r in out.collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        if any(r in text for r in request):
+            continue
+        best = []
+        for k, t in enumerate(terms):
+            n, w = len(t.split(" ")), text.split(" ")
+            sims = [ratio(" ".join(w[j:j + n]), t) for j in range(len(w) - n + 1)]
+            if sims and max(sims) >= 75.0:
+                best.append((-max(sims), k, t))
+        if best:
+            s, k, t = min(best)
+            want[i] = t, round(-s, 6), round((0.5 + k / 100) * 0.85, 6)
+    assert got == want
 
 
 def test_fuzzy_finds_a_typo(spark):

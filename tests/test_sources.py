@@ -1,5 +1,7 @@
 import json
 import random
+from importlib.resources import files
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from chatsieve.operators import lexicon_admin as L
 from chatsieve.sources import logs, sinks
 from chatsieve.sources.lexicon import lexicon_from_documents
 
+FIXTURES = Path(__file__).parent / "fixtures"
 DOC = {"ad_blockers": ["x.y", "q\"z"], "intent_verbs": {"t": {"_weight_hint": 0.9, "terms": ["go", "get"]}},
        "request_phrases": {"a": ["one"], "b": ["two"]}}
 
@@ -127,3 +130,50 @@ def test_replace_needs_an_object(spark, tmp_path):
     L.replace_lexicon(spark.createDataFrame([(json.dumps(DOC),)], "doc string"), str(tmp_path), 1)
     with pytest.raises(ValueError):
         L.replace_lexicon(spark.createDataFrame([("[]",)], "doc string"), str(tmp_path), 2)
+
+
+def test_documents_in_a_table_compile_as_on_the_driver(spark, tmp_path):
+    from chatsieve.plans.lexicon import compile_documents, compile_json
+    from chatsieve.sources.lexicon import documents, read_dialect, read_lexicon
+
+    for text in ((FIXTURES / "lexicon_ar.json").read_text(encoding="utf-8"), files("chatsieve.lexicons").joinpath("latin.json").read_text(encoding="utf-8")):
+        (tmp_path / "lexicon.json").write_text(text, encoding="utf-8")
+        here, there = compile_json(text), compile_documents(documents(spark, str(tmp_path / "lexicon.json")))
+        assert here.sets.keys() == there.sets.keys() and all(here.sets[k] == there.sets[k] for k in here.sets)
+        assert (here.intent_weights, here.object_weights) == (there.intent_weights, there.object_weights)
+        assert (here.distance_bands, here.length_bands, here.dialect) == (there.distance_bands, there.length_bands, there.dialect)
+        assert {r.variant: r.canonical for r in read_dialect(spark, str(tmp_path / "lexicon.json")).collect()} == here.dialect
+        assert read_lexicon(spark, str(tmp_path / "lexicon.json")).filter(F.col("path").startswith("intent_verbs")).count() >= len(here.sets["intent"])
+
+
+def test_alert_export_as_csv(spark, tmp_path):
+    alerts = spark.createDataFrame([(f"h{i}", i % 3, 7, "a", "k", "accept", 0.5, f'text, "{i}"\n' + "x" * 300, f"2024-01-0{i + 1} 00:00:00") for i in range(5)],
+                                   "message_hash string, sender_id int, chat_id int, account_name string, keyword string, decision string, confidence double, alert_text string, at string")
+    alerts = alerts.withColumn("ts", F.to_timestamp("at"))
+    contacts = spark.createDataFrame([(0, "u0", "Ann", None, "l0"), (1, "u1", "", "", "l1")], "sender_id int, username string, first_name string, last_name string, last_message_link string")
+    for limit in (None, 2):
+        out = str(tmp_path / f"csv{limit}")
+        sinks.export_alerts_csv(alerts, contacts, out, limit)
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(out).collect()
+        assert sorted((r["id"] for r in rows), reverse=True) == ["h4", "h3", "h2", "h1", "h0"][:limit]
+        assert all(r["time"] == f"2024-01-0{int(r['id'][1]) + 1} 00:00:00" for r in rows)
+    assert {r["id"]: (r["sender_name"], r["username"]) for r in sinks.alert_export_rows(alerts, contacts).collect()} == {
+        "h0": ("Ann", "u0"), "h1": (None, "u1"), "h2": (None, None), "h3": ("Ann", "u0"), "h4": (None, "u1")}
+    assert {len(r["text"]) for r in sinks.alert_export_rows(alerts, contacts).collect()} == {200}
+
+
+def test_repeated_messages_of_a_stream(spark, tmp_path):
+    from chatsieve.operators.dedup import dedup_messages_stream
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for n, ids in enumerate(([1, 1, 2], [2, 3, 1])):
+        rows = [{"chat_id": 5, "message_id": i, "text": f" Text {i} ", "ts": f"2024-01-01T00:0{i}:00Z"} for i in ids]
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    stream = (spark.readStream.schema("chat_id long, message_id long, text string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(source))
+              .withWatermark("ts", "1 hour"))
+    seen = []
+    run = dedup_messages_stream(stream).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(r.message_id for r in seen) == [1, 2, 3]
