@@ -25,6 +25,15 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def unmatched_pieces(path: str) -> frozenset[str]:
+    """Pieces that no text matches: marks of begin and end, the unknown piece, bytes. They count as ordinary letters where a text has them."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    return frozenset(model.id_to_piece(i) for i in range(model.get_piece_size()) if any(is_odd(i) for is_odd in odd))
+
+
 def default_file() -> str:
     import public_tokenizers
 
@@ -38,20 +47,20 @@ class UnigramCounter(dict):
     rules of the tokenizer: of two ways of equal score the one whose last piece begins earlier wins; a letter that is no piece by itself
     may be taken as unknown, at the lowest score less a penalty; an unknown letter counts as its bytes where there are pieces for all
     bytes, and as one token else, neighbouring unknown letters together. A text may be cut before a space where no piece holds a space
-    behind another letter; units of one text then add up.
+    behind another letter; units of one text then add up. unmatched: pieces that a text never matches.
     """
 
-    def __init__(self, pieces: Sequence[tuple[str, float]], unknown: str = "<unk>"):
+    def __init__(self, pieces: Sequence[tuple[str, float]], unmatched: frozenset[str] = frozenset()):
         import ahocorasick
 
         super().__init__()
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
-            if piece:
+            if piece and piece not in unmatched:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         names = {p for p, _ in pieces}
-        self.single = {p for p in names if len(p) == 1}
+        self.single = {p for p in names if len(p) == 1 and p not in unmatched}
         self.unknown_score = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in names) and SPACE in names
@@ -110,7 +119,7 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _MADE:
-            _MADE[path] = UnigramCounter(pieces_of(path))
+            _MADE[path] = UnigramCounter(pieces_of(path), unmatched_pieces(path))
         counter = _MADE[path]
         for batch in small_batches(batches, 1):
             n = pa.array(map(counter.count, batch.column(1).to_pylist()), pa.int64())

@@ -122,6 +122,16 @@ def test_counts_follow_the_tokenizer_s_ties(spark):
     assert counts.count_tokens(none(spark)).count() == 0
 
 
+def test_texts_do_not_match_marks_and_bytes():
+    """Such strings count as the tokenizer's own encoder has them: as letters, the same with a space in between that the marks don't have."""
+    path = counts.default_file()
+    odd_ones = counts.unmatched_pieces(path)
+    assert {"<unk>", "<s>", "</s>", "<0x41>"} <= odd_ones and len(odd_ones) == 259
+    counter, plain = counts.UnigramCounter(counts.pieces_of(path), odd_ones), counts.UnigramCounter([x for x in counts.pieces_of(path) if x[0] not in odd_ones])
+    for text in ("<s>gone</s>", "a <0x41> b", "<unk>", "</s></s>"):
+        assert counter.count(text) == plain.count(text) > len(text.split())
+
+
 def test_queries_give_the_contract_s_digests(spark, tmp_path, library):
     from chatsieve.llm import queries as Q
     some = [(i, t) for i, t in enumerate(prose(40) + ["", "x  y \n z"])] + [(50, None)]
