@@ -24,6 +24,7 @@ from chatsieve.operators import ordered as O
 from chatsieve.operators.admission import gated
 from chatsieve.operators.bounds import broadcast_if_small
 from chatsieve.operators.dedup import dedup_messages, last_per_key
+from chatsieve.operators.feedback import update_weights
 from chatsieve.operators.profiles import drop_blocked
 from chatsieve.operators.senders import running_reputation
 from chatsieve.operators.text import alert_card, chat_links
@@ -252,6 +253,40 @@ class LiveTriage:
     def current_senders(self, spark) -> DataFrame | None:
         return self.senders.read(spark, _ALL)
 
+    # --- learned weights ---------------------------------------------------------
+    @property
+    def _weights(self) -> CurrentState:
+        return CurrentState(f"{self.root}/weights", "key", 1)
+
+    def weights(self, spark) -> DataFrame | None:
+        """(kind, term, weight, n_feedback) as learned so far, for `compile_json` or `compile_documents`; None while there are none."""
+        known = self._weights.read(spark, _ALL)
+        return None if known is None else known.drop("key")
+
+    def learn(self, feedback: DataFrame, number: int) -> None:
+        """Take feedback (kind, term, was_correct, seq) into the weights, as a run of its own; `number` counts such runs, upwards.
+
+        A term begins at its learned weight, else at the lexicon's, else at the default. With a lexicon that is compiled at each run from
+        `weights`, what was learned takes effect in the next one.
+        """
+        spark = feedback.sparkSession
+        run, _ = self._begin(spark, "feedback", number)
+        if run is None:
+            return
+        lexicon = self.lexicon() if callable(self.lexicon) else self.lexicon
+        given = [(kind, term, float(w)) for kind, table in (("intent", lexicon.intent_weights), ("academic", lexicon.object_weights)) for term, w in table.items()]
+        begin = spark.createDataFrame(given, "kind string, term string, weight double").withColumn("n_feedback", F.lit(0).cast("long"))
+        known = self._weights.read(spark, run)
+        if known is not None:
+            known = known.drop("key")
+            begin = begin.join(known, ["kind", "term"], "left_anti").unionByName(known)
+        touched = feedback.select("kind", "term").distinct()
+        learned = update_weights(begin.select("kind", "term", "weight"), feedback).join(touched, ["kind", "term"], "left_semi")
+        before = begin.select("kind", "term", F.col("n_feedback").alias("_n"))
+        counted = learned.join(before, ["kind", "term"], "left").withColumn("n_feedback", (F.col("n_feedback") + F.coalesce("_n", F.lit(0))).cast("long")).drop("_n")
+        self._weights.merge(O.stable(counted.withColumn("key", F.to_json(F.array("kind", "term")))), run)
+        self.progress.merge(_one_row(spark, {"source": "feedback", "number": number, "last_run": run, "newest": None}), run)
+
     # --- entry points -----------------------------------------------------------
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         """Run on a stream of events (`sources.events.read_events_stream`)."""

@@ -89,6 +89,29 @@ def test_alerts_sent_again(spark, tmp_path):
     assert sorted((r.message_hash == first, r.batch) for r in live.table(spark, "alerts").collect()) == [(False, 1), (True, 0)]
 
 
+def test_feedback_changes_the_weights_of_the_next_run(spark, tmp_path):
+    text = (Path(__file__).parent / "fixtures" / "lexicon_ar.json").read_text(encoding="utf-8")
+    live = LiveTriage(str(tmp_path / "out"), lambda: compile_json(text, live.weights(spark)))
+    live.process(frame(spark, EVENTS[:1]), 0)
+    first = live.table(spark, "results").first()
+    term = first["intent_verb"]
+    begin = LEXICON.intent_weights.get(term, 0.7)
+    said = lambda *right: spark.createDataFrame([("intent", term, r, i) for i, r in enumerate(right)] + [("intent", "new term", True, 9)],
+                                                "kind string, term string, was_correct boolean, seq int")
+    live.learn(said(False, False), 0)
+    live.learn(said(False, False), 0)       # the same again does nothing
+    live.learn(said(True), 1)
+    want = begin
+    for target in (0.1, 0.1, 1.0):
+        want += 0.05 * (target - want)
+    got = {r.term: (round(r.weight, 9), r.n_feedback) for r in live.weights(spark).collect()}
+    assert got == {term: (round(want, 9), 3), "new term": (round(0.7 + 0.05 * 0.3 + 0.05 * (1.0 - 0.7 - 0.05 * 0.3), 9), 2)}
+    live.process(frame(spark, [event(30, 8, 900, "انا محتاج بحث ضروري الان فورا")]), 1)
+    second = live.table(spark, "results").filter("message_id = 30").first()
+    assert second["intent_verb"] == term and second["score_details"]["intent_weight"] == round(want, 4) != first["score_details"]["intent_weight"]
+    assert sorted(r.run for r in live.table(spark, "runs").collect()) == [0, 3]
+
+
 def test_late_events_are_rejected_and_counted(spark, tmp_path):
     live = LiveTriage(str(tmp_path / "out"), LEXICON, allowed_lateness=100.0)
     live.process(frame(spark, EVENTS[4:5]), 0)
