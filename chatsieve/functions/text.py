@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,16 +17,28 @@ from chatsieve.functions.patterns import quote
 _OPEN, _CLOSE = "\uFDD0", "\uFDD1"
 
 
+def _members(char_class: str) -> str:
+    """All characters of a class written as `\\x{h}` and `\\x{h}-\\x{h}`."""
+    ranges = re.findall(r"\\x\{([0-9A-F]+)\}(?:-\\x\{([0-9A-F]+)\})?", char_class)
+    return "".join(chr(c) for low, high in ranges for c in range(int(low, 16), int(high or low, 16) + 1))
+
+
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+    """Without white space at both ends; the inside isn't looked at."""
+    return F.btrim(text, F.lit(_members(WS)))
+
+
+# The same classes with a range in front that decides most characters, as members of a class are tested one after another.
+_WHITE = rf"[[\x{{0}}-\x{{20}}\x{{85}}-\x{{3000}}]&&[{WS}]]"
+_INK = rf"[\x{{21}}-\x{{84}}[^{WS}]]"
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{WS}]+", " ")
+    return F.regexp_replace(text, f"{_WHITE}+", " ")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"[^{WS}]+"))
+    return F.regexp_count(text, F.lit(f"{_INK}+"))
 
 
 def norm_word_count(text: Column) -> Column:
@@ -35,7 +48,7 @@ def norm_word_count(text: Column) -> Column:
 
 def share_of(text: Column, char_class: str) -> Column:
     """Share of the characters of `text` that fall into the class; 0 for empty text."""
-    hits = F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+    hits = F.regexp_count(text, F.lit(f"[{char_class}]"))
     return hits / F.greatest(F.length(text), F.lit(1))
 
 
@@ -61,7 +74,9 @@ def replace_terms(text: Column, mapping: dict[str, str]) -> Column:
     keys = sorted((k for k in mapping if k), key=len, reverse=True)
     if not keys:
         return text
-    pattern = rf"(?<![^{TERM_BOUNDARY}])({'|'.join(map(quote, keys))})(?=$|[{TERM_BOUNDARY}])"
+    # first characters go first: they rule out most places at once
+    firsts = "|".join(sorted({quote(k[0]) for k in keys}))
+    pattern = rf"(?={firsts})(?<![^{TERM_BOUNDARY}])({'|'.join(map(quote, keys))})(?=$|[{TERM_BOUNDARY}])"
     lookup = F.create_map(*[F.lit(x) for k in keys for x in (k, mapping[k])])
     safe = F.translate(text, _OPEN + _CLOSE, "")
 
@@ -79,11 +94,14 @@ def replace_terms(text: Column, mapping: dict[str, str]) -> Column:
 
 
 def emoji_runs(text: Column, emoji_class: str) -> Column:
-    return F.regexp_count(text, F.lit(f"{emoji_class}+"))
+    """Runs of characters of a class in `\\x{h}` notation. One comparison with its lowest member comes first, as most characters lie below it."""
+    lowest = min(_members(emoji_class))
+    return F.regexp_count(text, F.lit(rf"(?=[\x{{{ord(lowest):X}}}-\x{{10FFFF}}]){emoji_class}+"))
 
 
 def url_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(URL_PATTERN))
+    """Every URL head has a slash or `www.`, so texts without either are done."""
+    return F.when(text.contains("/") | text.contains("www."), F.regexp_count(text, F.lit(URL_PATTERN))).when(text.isNotNull(), 0)
 
 
 def has_phone(text: Column) -> Column:
@@ -91,7 +109,7 @@ def has_phone(text: Column) -> Column:
 
 
 def has_email(text: Column) -> Column:
-    return text.rlike(EMAIL_PATTERN)
+    return text.contains("@") & text.rlike(EMAIL_PATTERN)
 
 
 def has_repeat(text: Column) -> Column:
