@@ -20,30 +20,21 @@ SIGNATURE_BITS = 1024
 BUCKETS, PARTS = 1 << 20, 64
 #: Blocks of up to so many rows are compared pair by pair.
 FEW = 8
-_KEPT_WORDS = 500_000
 _M1, _M2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _M1
     h = (h ^ (h >> np.uint64(33))) * _M2
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, n: int, words: dict) -> np.ndarray:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted 64-bit keys of the distinct n-grams of words; with fewer than n words, of the whole sequence; none without words."""
     w = words_of(text)
     if not w:
         return np.empty(0, np.int64)
-    keys = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
+    keys = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, w)), ">u8").astype(np.uint64)
     h = np.full(max(1, len(w) - n + 1), min(n, len(w)), np.uint64)
     for k in range(min(n, len(w))):
         h = h * _BASE + keys[k:k + len(h)]
@@ -126,24 +117,24 @@ class SignatureTree:
 
 
 def _sets_of(n: int):
-    """(doc_id, node, n_shingles, signature, bitmap) per row; at the end of a task its counts of keys by bucket, a part per row."""
-    names = ["doc_id", "node", "n_shingles", "signature", "bitmap", "part"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+    """(doc_id, node, n_shingles, bitmap) per row; at the end of a task its counts of keys by bucket, a part per row."""
+    names = ["doc_id", "node", "n_shingles", "bitmap", "part"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.int64)
         for batch in small_batches(batches, 1):
             rows, all_keys = [], [np.empty(0, np.int64)]
             for text in batch.column(1).to_pylist():
-                keys = shingle_set(text, n, words)
-                rows.append((node_of(keys), len(keys), signature(keys) if len(keys) else None, bitmap(keys) if len(keys) else None, None))
+                keys = shingle_set(text, n)
+                rows.append((node_of(keys), len(keys), bitmap(keys) if len(keys) else None, None))
                 all_keys.append(keys)
             seen += np.bincount(bucket_of(np.concatenate(all_keys)), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True))],
                                              names=names)
         parts = np.minimum(seen, 65_535).astype("<u2").reshape(PARTS, -1)
         none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary()),
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([x.tobytes() for x in parts], pa.binary()),
                                           pa.array(range(PARTS), pa.int32())], names=names)
 
     return run
@@ -192,11 +183,10 @@ class _Order:
 
 def _prefixes(n: int, percent: int, order: _Order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in small_batches(batches, 0):
             seen, heads, nodes = set(), [], []
             for text in batch.column(0).to_pylist():
-                keys = shingle_set(text, n, words)
+                keys = shingle_set(text, n)
                 node = node_of(keys)
                 if node is not None and node not in seen:
                     seen.add(node)
@@ -224,13 +214,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
     bitmap = np.packbits(bitmap)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in small_batches(batches, 1):
             at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             wanted = (at < 0) | ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
             made = {}
             for text in batch.column(1).filter(pa.array(wanted)).to_pylist():
-                keys = shingle_set(text, n, words)
+                keys = shingle_set(text, n)
                 made[node_of(keys)] = keys
             made.pop(None, None)
             if made:
@@ -262,21 +251,58 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _words64(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SIGNATURE_BITS // 64)
-
-
-def _tree_pairs(percent: int):
-    """Sorted rows (block, node, n_shingles, signature, component): candidate pairs of each block, by its signature tree."""
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as 64-bit words, folded to `size` bits: low bits name the place, so halves fold onto each other."""
+    words = np.frombuffer(bits, np.uint64)
+    while len(words) * 64 > size:
+        words = words[:len(words) // 2] | words[len(words) // 2:]
+    return words
+
+
+def greatest_overlaps(bitmaps: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`greatest_overlap` of many pairs (i, j)."""
+    lengths = np.array([len(x) for x in bitmaps])
+    least, most = np.minimum(lengths[i], lengths[j]), np.empty(len(i), np.int64)
+    for n in np.unique(least):
+        chosen = np.flatnonzero(least == n)
+        rows = np.unique(np.concatenate((i[chosen], j[chosen])))
+        words = np.stack([folded(bitmaps[r], int(n) * 8) for r in rows])
+        for begin in range(0, len(chosen), step := max(1, 8_000_000 // int(n))):
+            some = chosen[begin:begin + step]
+            a, b = i[some], j[some]
+            x, y = words[np.searchsorted(rows, a)], words[np.searchsorted(rows, b)]
+            most[some] = np.minimum(sizes[a] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), sizes[b] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return most
+
+
+def nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) are the likeliest of one of their ends."""
+    ends, pair = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, -likeness[pair], ends))
+    first = order[np.flatnonzero(np.concatenate(([True], ends[order][1:] != ends[order][:-1])))] if len(order) else order
+    return np.unique(pair[first])
+
+
+def _tree_pairs(percent: int, nearest_only: bool):
+    """Sorted rows (block, node, n_shingles, bitmap, component): candidate pairs of each block, by its signature tree, then by whole bitmaps;
+    with `nearest_only`, for each node the likeliest one of its block."""
     def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         block = rows.column("block").to_numpy()
         node, size, own = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
-        bits = _words64(rows.column("signature").combine_chunks())
+        bitmaps = rows.column("bitmap").to_pylist()
+        bits = np.stack([folded(x, SIGNATURE_BITS) for x in bitmaps])
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
         counts = np.diff(cuts)
         found: dict[tuple[int, int], None] = {}
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
+            if not len(i):
+                return
+            most = greatest_overlaps(bitmaps, size, i, j)
+            allowed = np.flatnonzero(most >= needed(size[i], size[j], percent))
+            if nearest_only:
+                allowed = allowed[nearest(i[allowed], j[allowed], most[allowed] / (size[i] + size[j] - most)[allowed])]
+            i, j = i[allowed], j[allowed]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             found.update(dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)))
 
@@ -320,6 +346,19 @@ def _pair_batch(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _mixed_pairs(blocks: DataFrame, grouped: DataFrame, nodes: DataFrame, percent: int, block_rows: int, nearest_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a block and may be similar."""
+    labelled = blocks.select("shingle", "node").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rows = labelled.join(mixed.select("shingle", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "shingle")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = (rows.select("shingle", "node", "component", part.alias("part"), other.alias("other"))
+            .withColumn("block", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")))
+            .join(nodes.select("node", "n_shingles", "bitmap"), "node").select("block", "node", "n_shingles", "bitmap", "component"))
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_tree_pairs(percent, nearest_only), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_rows: int = 512,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included).
@@ -328,43 +367,52 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_row
 
     1. Equal sets become one node. All keys are counted in a sketch of fixed size; keys of full buckets, as those that many documents
        hold, are ranked last (the order decides cost alone, never the result).
-    2. Similar sets share a key among the first of each in that order; these keys make blocks. Which keys are shared is a minimum and a
+    2. Similar sets share a key among the first of each in that order; these keys make blocks, those of equal members one. Which keys are shared is a minimum and a
        maximum per key, so a key in all documents is no load on one task.
-    3. Each node is compared with the first node of each of its blocks. Most near copies are linked by now.
+    3. Each node is compared with the first node of all its blocks; then, where that leaves them in different components, with the first node
+       of each block. Most near copies are linked by now.
     4. Blocks that hold more than one component get signature trees: dual traversal finds pairs across components whose bitmaps and sizes
        allow the similarity; these are compared exactly. Blocks beyond `block_rows` are cut into parts, and all pairs of parts compared.
+       First each node's likeliest pair of a block, then all pairs that this leaves in different components.
     Pairs inside one component need no comparison, as they can't change it. So no link that matters is lost, and none is assumed.
 
     Null or empty text, or white space alone: n_shingles 0, linked with nothing. Null doc_id: takes part, gets the smallest known id of its
     component, else null. Repeated rows: one row each. Empty table: no rows. Other columns of `docs` don't matter.
     """
     plain = texts(docs, id_col, text_col)
-    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, signature binary, bitmap binary, part int"))
+    all_rows = staged(plain.mapInArrow(_sets_of(n), "doc_id long, node long, n_shingles long, bitmap binary, part int"))
     sets = all_rows.where("part is null").select("doc_id", "node", "n_shingles")
     order = _Order(frequency_sketch(all_rows))
     nodes = staged(all_rows.where("part is null and node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "bitmap"))))
+        F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_shingles", "bitmap"))))
 
     prefixes = staged(plain.select("text").mapInArrow(_prefixes(n, percent, order), "shingle long, node long"))
     shared = (prefixes.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
               .where("pivot <> last").select("shingle", "pivot"))
-    blocks = staged(prefixes.join(shared, "shingle"))
-    near = staged(_plausible(blocks.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent))
+    met = staged(prefixes.join(shared, "shingle").distinct())
+    # keys that the same nodes share make the same block: one is enough (sets go by 128 bits of hash)
+    alike = met.groupBy("shingle").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    blocks = staged(met.join(alike.groupBy("x", "y", "n").agg(F.min("shingle").alias("shingle")).select("shingle"), "shingle", "left_semi"))
+    apart_from_pivot = blocks.where("pivot <> node")
+    first = apart_from_pivot.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
+    near = staged(_plausible(first, nodes, percent))
     links = staged(_verified(near, plain, nodes, n, percent))
-
-    grouped = components(links)
-    labelled = blocks.select("shingle", "node").distinct().join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = labelled.join(mixed.select("shingle", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "shingle")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = (rows.select("shingle", "node", "component", part.alias("part"), other.alias("other"))
-            .withColumn("block", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")))
-            .join(nodes.select("node", "n_shingles", "signature"), "node").select("block", "node", "n_shingles", "signature", "component"))
-    pairs = (rows.repartition("block").sortWithinPartitions("block").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-             .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = _verified(staged(_plausible(pairs, nodes, percent)), plain, nodes, n, percent)
-    grouped = staged(components(links.unionByName(more)))
+    own = components(links)
+    others = apart_from_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        others = others.join(own.toDF(end, f"of_{end}"), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    # a pair whose ends are together by now needs no comparison, nor does one that was compared
+    apart = others.where("of_a <> of_b").select("a", "b").join(first, ["a", "b"], "left_anti")
+    rest = staged(_plausible(apart, nodes, percent))
+    links = staged(links.unionByName(_verified(rest, plain, nodes, n, percent)))
+    near = near.unionByName(rest)
+
+    for nearest_only in (True, False):
+        pairs = staged(_mixed_pairs(blocks, components(links), nodes, percent, block_rows, nearest_only)
+                       .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        links = staged(links.unionByName(_verified(pairs, plain, nodes, n, percent)))
+        near = near.unionByName(pairs)
+    grouped = staged(components(links))
 
     named = grouped.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = (nodes.select("node", "first_id").join(grouped, "node", "left").join(named, "component", "left")
