@@ -7,16 +7,26 @@ space goes with what follows. Texts with such a spot are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
+
+import numpy as np
 
 _WHITE = frozenset("\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0            "
                    "    　")
+#: Marks that end a word. After a letter they are tokens of their own in files with the usual pattern.
+_TAILS = ".,;:!?"
+#: Letters below this one are letters in every version of the tables that tell them.
+_SETTLED = "\u0250"
 #: Stands for a piece before which a cut isn't safe: its text has to be encoded whole.
-_WHOLE = 0
-#: Distinct pieces that a worker keeps, characters of text taken at once, and of new pieces. They bound memory and change no result.
-KEPT_PIECES, CHARS_AT_ONCE, NEW_CHARS = 1_000_000, 2_000_000, 200_000
+_WHOLE = b""
+#: Distinct pieces that a worker keeps (some 300 bytes each), characters of text taken at once, and of new pieces. They bound memory and
+#: change no result.
+KEPT_PIECES, CHARS_AT_ONCE, NEW_CHARS = 1_000_000, 2_000_000, 2_000
 
 
 def little_endian(ids: Iterable[int]) -> bytes:
@@ -29,14 +39,19 @@ def little_endian(ids: Iterable[int]) -> bytes:
 class TextEncoder:
     """Texts -> their ids as little-endian unsigned 32-bit bytes.
 
-    encode: the exact encoder of one string. encode_many: the same for many strings of which none is empty, starts or ends with white space
-    but for one leading space; it may be faster than a loop.
+    encode: the exact encoder of one string. encode_many: the same for many strings of which none is empty, starts or ends with white space but
+    for one leading space; it may be faster than a loop. encode_word: the ids of a space and a word of plain letters, where the file's pattern
+    takes these as one and parts a letter from the marks after it; words that differ in such marks alone are then encoded once.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], encode_many: Callable[[list[str]], Iterable[bytes]] | None = None):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], Iterable[int]], encode_many: Callable[[list[str]], Iterable[bytes]] | None = None,
+                 encode_word: Callable[[str], Iterable[int]] | None = None):
+        self.encode, self.encode_word = encode, encode_word
         self.encode_many = encode_many or (lambda pieces: [little_endian(encode(x)) for x in pieces])
-        self.known: dict[str, bytes | int] = {}  # of " " + piece
+        self.kept, self.tails = KEPT_PIECES, {}
+        # ids of a space and a piece: pieces met lately, and those met before them
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         begin = size = 0
@@ -48,24 +63,61 @@ class TextEncoder:
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
         cut = [text.split(" ") for text in texts]
-        held = [list(map(self.known.get, parts)) for parts in cut]
-        new = {p for parts, values in zip(cut, held, strict=True) if None in values for p, v in zip(parts, values, strict=True) if v is None}
-        if len(new) + len(self.known) > KEPT_PIECES:  # pieces of these texts stay, as they come most often
-            self.known = {p: v for parts, values in zip(cut, held, strict=True) for p, v in zip(parts, values, strict=True) if v is not None}
-        plain = []
-        for piece in new:
+        heads = [parts.pop(0) for parts in cut]
+        met = set().union(*cut)
+        if len(self.known) > self.kept // 2:
+            self.older, self.known = self.known, {}
+        new = met.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        words, others, tailed = set(), [], []
+        for piece in new.difference(again):
             if not piece or piece[0] in _WHITE:
                 self.known[piece] = _WHOLE
             elif piece[-1] in _WHITE:
                 self.known[piece] = little_endian(self.encode(" " + piece))
+            elif self.encode_word is None:
+                others.append(piece)
+            elif _plain(piece):
+                words.add(piece)
+            elif piece[-1] in _TAILS and _plain(word := piece.rstrip(_TAILS)):
+                tailed.append((piece, word))
+                words.add(word)
+            else:
+                others.append(piece)
+        for word in words:
+            if word not in self.known:
+                self.known[word] = little_endian(self.encode_word(word))
+        self.known.update(zip(others, self.encode_many([" " + x for x in others]), strict=True))
+        for piece, word in tailed:
+            tail = piece[len(word):]
+            if tail not in self.tails:
+                self.tails[tail] = little_endian(self.encode(tail))
+            self.known[piece] = self.known[word] + self.tails[tail]
+        whole, known = {p for p in met if self.known[p] is _WHOLE}, self.known.__getitem__
+        for text, head, parts in zip(texts, heads, cut, strict=True):
+            if whole and not whole.isdisjoint(parts):
+                yield little_endian(self.encode(text))
             else:
-                plain.append(piece)
-        self.known.update(zip(plain, self.encode_many([" " + x for x in plain]), strict=True))
-        for text, parts, values in zip(texts, cut, held, strict=True):
-            if None in values:
-                values = [self.known[p] if v is None else v for p, v in zip(parts, values, strict=True)]
-            values[0] = little_endian(self.encode(parts[0])) if parts[0] else b""
-            yield b"".join(values) if _WHOLE not in values else little_endian(self.encode(text))
+                yield (little_endian(self.encode(head)) if head else b"") + b"".join(map(known, parts))
+
+
+def _plain(word: str) -> bool:
+    """Letters alone, and such as are letters in every version of the tables that tell them."""
+    return word.isalpha() and (word.isascii() or max(word) < _SETTLED)
+
+
+def _word_encoder(model) -> Callable[[str], list[int]]:
+    """The ids of a space and a word by the file's own model. Byte-level files write bytes that aren't printable as letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    written = {b: chr(256 + i) for i, b in enumerate(hidden)}
+    space, tokenize = written[32], model.tokenize
+
+    def encode(word: str) -> list[int]:
+        return [x.id for x in tokenize(space + (word if word.isascii() else word.encode().decode("latin-1").translate(written)))]
+
+    return encode
 
 
 def _joined(encode: Callable[[str], list[int]], special: list[str]) -> Callable[[list[str]], Iterator[bytes]]:
@@ -73,42 +125,37 @@ def _joined(encode: Callable[[str], list[int]], special: list[str]) -> Callable[
     mark = encode("\t")
 
     def many(pieces: list[str]) -> Iterator[bytes]:
-        if len(mark) != 1:
-            yield from (little_endian(encode(x)) for x in pieces)
-            return
-        odd = [i for i, x in enumerate(pieces) if "\t" in x or any(s in x for s in special)]
-        alone = {i: little_endian(encode(pieces[i])) for i in odd}
-        even = [x for i, x in enumerate(pieces) if i not in alone] if alone else pieces
-        cuts = (ids for some in _portions(even) for ids in _split(encode("\t".join(some)), mark[0]))
-        yield from (alone[i] if i in alone else next(cuts) for i in range(len(pieces)))
+        for some in _portions(pieces):
+            text = "\t".join(some)
+            if len(mark) != 1 or text.count("\t") >= len(some) or any(s in text for s in special):
+                yield from (little_endian(encode(x)) for x in some)
+            else:
+                yield from _split(encode(text), mark[0])
 
     return many
 
 
 def _portions(pieces: list[str]) -> Iterator[list[str]]:
-    some, size = [], 0
-    for piece in pieces:
-        some.append(piece)
-        size += len(piece)
-        if size > NEW_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+    ends, begin = list(accumulate(map(len, pieces))), 0
+    while begin < len(pieces):
+        end = max(begin + 1, bisect_right(ends, (ends[begin - 1] if begin else 0) + NEW_CHARS))
+        yield pieces[begin:end]
+        begin = end
 
 
 def _split(ids: list[int], mark: int) -> Iterator[bytes]:
     packed, begin = little_endian(ids), 0
-    for end in [i for i, x in enumerate(ids) if x == mark] + [len(ids)]:
-        yield packed[4 * begin:4 * end]
-        begin = end + 1
+    for end in (4 * np.flatnonzero(np.frombuffer(packed, np.uint32) == mark)).tolist():
+        yield packed[begin:end]
+        begin = end + 4
+    yield packed[begin:]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def library_encoder(path: str) -> TextEncoder:
-    """The encoder of a tokenizers file, one for each worker process. Truncation and padding of the file are switched off."""
+def library_encoder(path: str, kept: int = KEPT_PIECES) -> TextEncoder:
+    """The encoder of a tokenizers file, one for each worker process, that keeps `kept` pieces. Truncation and padding of the file are switched off."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -122,7 +169,13 @@ def library_encoder(path: str) -> TextEncoder:
         def encode(text: str) -> list[int]:
             return tokenizer.encode(text, add_special_tokens=False).ids
 
-        _ENCODERS[path] = TextEncoder(encode, _joined(lambda text: many([text], add_special_tokens=False)[0].ids, special))
+        with open(path, encoding="utf-8") as file:
+            pattern = json.load(file).get("pre_tokenizer") or {}
+        usual = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not any(set(x) & set(_TAILS) for x in special)
+        usual = usual and tokenizer.normalizer is None and not any(_plain(x.strip()) for x in special)
+        _ENCODERS[path] = TextEncoder(encode, _joined(lambda text: many([text], add_special_tokens=False)[0].ids, special),
+                                      _word_encoder(tokenizer.model) if usual else None)
+    _ENCODERS[path].kept = kept
     return _ENCODERS[path]
 
 
