@@ -70,7 +70,7 @@ def pack_sequences(docs: DataFrame, tokenizer_file: str | None = None, end_id: i
         return (doc, start, ids[:4 * n], total), (doc, start + n, ids[4 * n:], total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, part = library_encoder(path), OpenWindows(size, open_windows), TaskContext.get().partitionId()
+        encode, windows, part = library_encoder(path, 400_000), OpenWindows(size, open_windows), TaskContext.get().partitionId()
         rows, made, held = [], 0, 0
 
         def put(pieces: list, sequence: int | None, place: int) -> int:
