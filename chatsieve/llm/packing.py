@@ -51,7 +51,7 @@ class OpenWindows:
 
 
 def pack_sequences(docs: DataFrame, tokenizer_file: str | None = None, end_id: int = 1, size: int = 2048, open_windows: int = 16,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", kept_pieces: int = 1_000_000) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its ids, then `end_id`. Each partition packs by itself, online: whole windows are cut off documents of `size` ids or more;
@@ -60,7 +60,7 @@ def pack_sequences(docs: DataFrame, tokenizer_file: str | None = None, end_id: i
     multiples of `size`, so only the last sequence of all is shorter than `size`. Each task keeps `open_windows` windows in memory.
 
     Null or empty text: the end id alone. Null and repeated ids: each row is a document of its own. Empty table: no rows. Other columns of
-    `docs` don't matter. Ties between windows: the one opened first.
+    `docs` don't matter. Ties between windows: the one opened first. kept_pieces: words that a worker remembers, some 300 bytes each.
     """
     path = tokenizer_file or default_file()
     end = little_endian([end_id])
@@ -70,7 +70,7 @@ def pack_sequences(docs: DataFrame, tokenizer_file: str | None = None, end_id: i
         return (doc, start, ids[:4 * n], total), (doc, start + n, ids[4 * n:], total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, part = library_encoder(path, 400_000), OpenWindows(size, open_windows), TaskContext.get().partitionId()
+        encode, windows, part = library_encoder(path, kept_pieces), OpenWindows(size, open_windows), TaskContext.get().partitionId()
         rows, made, held = [], 0, 0
 
         def put(pieces: list, sequence: int | None, place: int) -> int:

@@ -39,7 +39,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 2048 ids."""
     _short_batches(spark)
-    pieces = packing.pack_sequences(docs)
+    pieces = packing.pack_sequences(docs, kept_pieces=400_000)  # as other stages have left their share in the workers
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
