@@ -6,22 +6,30 @@ checked; sets too large for that take the join in `operators.matching` instead.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatsieve.functions.patterns import alternation, any_of, nesting_levels
+from chatsieve.functions.patterns import alternation, any_of, begins_like, nesting_levels
 from chatsieve.functions.text import let
 
+#: So few terms are searched for one by one, which takes less time than a pattern.
+FEW = 8
+
+
 def _usable(terms: list[str]) -> list[str]:
     return [t for t in dict.fromkeys(terms) if t]
 
 
 def occurs(text: Column, terms: list[str]) -> Column:
     """Does any of the terms occur (null for null text)?"""
-    pattern = any_of(terms)
-    if pattern is None:
+    usable = _usable(terms)
+    if not usable:
         return F.when(text.isNotNull(), F.lit(False))
-    return text.rlike(pattern)
+    if len(usable) <= FEW:
+        return reduce(Column.__or__, [F.contains(text, F.lit(t)) for t in usable])
+    return text.rlike(any_of(usable))
 
 
 def first_term(text: Column, terms: list[str]) -> Column:
@@ -46,7 +54,7 @@ def count_all(text: Column, terms: list[str]) -> Column:
     total = F.when(text.isNotNull(), F.lit(0))
     for level in nesting_levels(_usable(terms)):
         # A look-ahead consumes nothing, so every start is tried.
-        total = total + F.regexp_count(text, F.lit(f"(?={alternation(level)})"))
+        total = total + F.regexp_count(text, F.lit(f"{begins_like(level)}(?={alternation(level)})"))
     return total
 
 
@@ -59,7 +67,7 @@ def all_hits(text: Column, terms: list[str]) -> Column:
     none = F.array().cast("array<struct<start:int,term:string>>")
     hits = F.when(text.isNotNull(), none)
     for level in nesting_levels(_usable(terms)):
-        pattern = alternation(level)
+        pattern = f"{begins_like(level)}{alternation(level)}"
         starts = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({pattern}))?."), F.lit(1))
         pairs = F.transform(starts, lambda t, i: F.struct(i.alias("start"), t.alias("term")))
         found = F.filter(pairs, lambda h: h["term"] != "")
@@ -67,6 +75,18 @@ def all_hits(text: Column, terms: list[str]) -> Column:
     return hits
 
 
+def beginnings(terms: list[str]) -> dict[str, list[str]]:
+    """For each term the terms that it begins with, itself included."""
+    out: dict[str, list[str]] = {}
+    begun: list[str] = []
+    for term in sorted({t for t in terms if t}):
+        while begun and not term.startswith(begun[-1]):
+            begun.pop()
+        begun.append(term)
+        out[term] = list(begun)
+    return out
+
+
 def contained(text: Column, terms: list[str]) -> Column:
     """The terms that occur anywhere, once each, in lexicon order (null for null text)."""
     terms = [t for t in dict.fromkeys(terms) if t]
@@ -75,7 +95,7 @@ def contained(text: Column, terms: list[str]) -> Column:
         return F.when(text.isNotNull(), none)
     if len(terms) <= 64:
         found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
-        return F.when(occurs(text, terms), found).when(text.isNotNull(), none)
+        return F.when(text.isNotNull(), found) if len(terms) <= FEW else F.when(occurs(text, terms), found).when(text.isNotNull(), none)
     order = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
     distinct = F.array_distinct(F.transform(all_hits(text, terms), lambda h: h["term"]))
     ranked = F.array_sort(F.transform(
@@ -129,7 +149,7 @@ def fuzzy_term(text: Column, terms: list[str], cutoff: float) -> Column:
 
     def similarity(cuts: Column, c: Column) -> Column:
         term, edits = c["term"], c["edits"]
-        close = F.filter(cuts, lambda w: F.abs(F.length(w) - F.length(term)) <= edits)
+        close = F.filter(cuts, lambda w: (F.abs(F.length(w) - F.length(term)) <= edits) & F.exists(c["pieces"], lambda p: F.contains(w, p)))
 
         def one(w: Column) -> Column:
             distance = F.nullif(F.call_function("levenshtein", w, term, edits), F.lit(-1))

@@ -46,7 +46,29 @@ def alternation(prefix_free: list[str]) -> str:
     return f"{quote(head)}(?:{'|'.join(branches)})"
 
 
+def longest(terms: Iterable[str]) -> str | None:
+    """Pattern of the longest term at a place. A class of their first characters goes first, as it rules out most places at once."""
+    usable = sorted({t for t in terms if t})
+    if not usable:
+        return None
+    return f"{begins_like(usable)}(?:{_longest(usable)})"
+
+
+def begins_like(terms: Iterable[str]) -> str:
+    """A look at the next character alone: one that begins any of the (non-empty) terms."""
+    return f"(?=[{''.join(sorted({quote(t[0]) for t in terms}))}])"
+
+
+def _longest(terms: list[str]) -> str:
+    head = os.path.commonprefix(terms)
+    tails = [t[len(head):] for t in terms]
+    branches = [_longest(list(g)) for _, g in groupby((t for t in tails if t), key=lambda t: t[0])]
+    if not branches:
+        return quote(head)
+    return f"{quote(head)}(?:{'|'.join(branches)}){'' if tails[0] else '?'}"
+
+
 def any_of(terms: Iterable[str]) -> str | None:
     """Pattern that finds the leftmost occurrence and, there, the shortest term."""
     levels = nesting_levels(terms)
-    return alternation(levels[0]) if levels else None
+    return f"{begins_like(levels[0])}(?:{alternation(levels[0])})" if levels else None

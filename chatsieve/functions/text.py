@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chatsieve.config import (
     EMAIL_PATTERN, PHONE_PATTERN, REPEAT_PATTERN, TERM_BOUNDARY, URL_PATTERN, WS, ScriptProfile,
 )
-from chatsieve.functions.patterns import quote
+from chatsieve.functions.patterns import begins_like, quote
 
 # Noncharacters, reserved for use inside a program and so absent from real text.
 _OPEN, _CLOSE = "\uFDD0", "\uFDD1"
@@ -34,7 +34,8 @@ _INK = rf"[\x{{21}}-\x{{84}}[^{WS}]]"
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.regexp_replace(text, f"{_WHITE}+", " ")
+    """Each run of white space as one space. Runs that are one already, as most are, need no replacement."""
+    return F.regexp_replace(text, f"{_WHITE}(?:(?<! )|{_WHITE}){_WHITE}*", " ")
 
 
 def word_count(text: Column) -> Column:
@@ -48,7 +49,7 @@ def norm_word_count(text: Column) -> Column:
 
 def share_of(text: Column, char_class: str) -> Column:
     """Share of the characters of `text` that fall into the class; 0 for empty text."""
-    hits = F.regexp_count(text, F.lit(f"[{char_class}]"))
+    hits = F.length(text) - F.length(F.regexp_replace(text, f"[{char_class}]+", ""))
     return hits / F.greatest(F.length(text), F.lit(1))
 
 
@@ -74,11 +75,10 @@ def replace_terms(text: Column, mapping: dict[str, str]) -> Column:
     keys = sorted((k for k in mapping if k), key=len, reverse=True)
     if not keys:
         return text
-    # first characters go first: they rule out most places at once
-    firsts = "|".join(sorted({quote(k[0]) for k in keys}))
-    pattern = rf"(?={firsts})(?<![^{TERM_BOUNDARY}])({'|'.join(map(quote, keys))})(?=$|[{TERM_BOUNDARY}])"
+    # first characters and letters before go first: they rule out most places at once
+    pattern = rf"{begins_like(keys)}(?<![a-z])(?<![^{TERM_BOUNDARY}])({'|'.join(map(quote, keys))})(?=$|[{TERM_BOUNDARY}])"
     lookup = F.create_map(*[F.lit(x) for k in keys for x in (k, mapping[k])])
-    safe = F.translate(text, _OPEN + _CLOSE, "")
+    safe = F.when(text.contains(_OPEN) | text.contains(_CLOSE), F.translate(text, _OPEN + _CLOSE, "")).otherwise(text)
 
     def swap(piece: Column) -> Column:
         return F.concat(

@@ -40,3 +40,32 @@ def test_validation_and_card(spark):
     assert (r["group_link"], r["message_link"]) == ("https://t.me/c/1234", "https://t.me/c/1234/7")
     assert r["display_name"] == "user (5)" and r["score_bar"] == "[██░░░░░░░░] 25"
     assert r["safe_text"].startswith("&lt;b&gt;y") and r["safe_text"].endswith("...")
+
+
+def test_patterns_leave_most_characters_alone(spark):
+    """Runs of white space that are one space already need no replacement, and few terms no pattern."""
+    from pyspark.sql import functions as F
+
+    from chatsieve.functions import matching as M
+    from chatsieve.functions import text as X
+    odd = [" a b  c\t d\n\n", "  　", "", "a b   c", "one two", None, "x\x1c \x1cy", "﷐th﷑ nd th"]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, t string")
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+
+    def collapsed(t):
+        out = ""
+        for c in t:
+            out += (" " if c in spaces else c) if not (c in spaces and out.endswith(" ")) else ""
+        return out
+
+    got = df.select("id", X.collapse_ws(F.col("t")).alias("c"), X.share_of(F.col("t"), "a-c").alias("s"),
+                    X.replace_terms(F.col("t"), {"th": "the", "nd": "and"}).alias("r"),
+                    M.occurs(F.col("t"), ["b", "", "]"]).alias("o")).collect()
+    for r in got:
+        t = odd[r["id"]]
+        if t is None:
+            assert (r["c"], r["s"], r["r"], r["o"]) == (None, None, None, None)
+            continue
+        assert r["c"] == collapsed(t) and r["s"] == sum(c in "abc" for c in t) / max(1, len(t)) and r["o"] == ("b" in t)
+    assert [r["r"] for r in got][-1] == "the and the"
+    assert "rlike" not in df.select(M.occurs(F.col("t"), ["b", "c"]))._jdf.queryExecution().optimizedPlan().toString().lower()
