@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.functions import matching as M
+from chatsieve.functions.patterns import longest
 from chatsieve.operators.bounds import DRIVER_ROWS, broadcast_if_small, collect_bounded, try_collect
 
 # Characters of literal terms that one pattern may hold before the join takes over.
@@ -68,8 +69,17 @@ def match_all(
     literal = _literal_terms(terms, strategy)
     if literal is None:
         return _joined_hits(msgs, terms, keys, text)
-    hits = M.all_hits(F.col(text), literal)
-    return msgs.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.term", "hit.start")
+    pattern = longest(literal)
+    if pattern is None:
+        return msgs.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"))
+    # one pass: terms at one place are beginnings of the longest one there; each character yields a term or an empty string
+    found = F.when(F.col(text).rlike(pattern), F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=({pattern}))?."), F.lit(1)))
+    hits = msgs.select(*keys, F.posexplode(found).alias("start", "term")).filter(F.col("term") != "")
+    nested = M.beginnings(literal)
+    if all(len(x) == 1 for x in nested.values()):
+        return hits.select(*keys, "term", "start")
+    table = msgs.sparkSession.createDataFrame([(t, x) for t, xs in nested.items() for x in xs], "_longest string, term string")
+    return hits.withColumnRenamed("term", "_longest").join(F.broadcast(table), "_longest").select(*keys, "term", "start")
 
 
 def match_first(

@@ -81,3 +81,14 @@ def test_fuzzy_finds_a_typo(spark):
     terms = spark.createDataFrame([("really need", 0.8, 0)], "term string, weight double, ord int")
     out = M.fuzzy_match(msgs, terms, terms, ["id"]).collect()
     assert [(r["id"], r["term"], round(r["weight"], 3)) for r in out] == [(1, "really need", 0.68)]
+
+
+def test_matches_in_one_pass_over_the_text(spark):
+    """Nested terms and joined ones of any length read the text once, whatever their number."""
+    msgs = spark.createDataFrame([(1, "xthexthenxtherexx"), (2, None)], "id int, norm_text string")
+    tf = spark.createDataFrame([(t,) for t in ("the", "then", "there", "x", "]", "^", "")], "term string")
+    for strategy, reader in (("auto", "regexp_extract_all"), ("join", "regexp_extract_all")):
+        out = M.match_all(msgs, tf, ["id"], strategy=strategy)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(reader) == 1, plan
+        assert sorted((r["term"], r["start"]) for r in out.collect()) == brute("xthexthenxtherexx", ["the", "then", "there", "x"])
