@@ -17,6 +17,8 @@ from chatsieve.operators.bounds import DRIVER_ROWS, broadcast_if_small, collect_
 
 # Characters of literal terms that one pattern may hold before the join takes over.
 PATTERN_CHARS = 200_000
+# Characters of a text that one row holds while its starts are looked up.
+PIECE = 16
 # Characters of a term that its windows are looked up by first.
 HEAD_CHARS = 4
 
@@ -30,35 +32,35 @@ def _literal_terms(terms: DataFrame, strategy: str) -> list[str] | None:
     return sorted(r["term"] for r in rows)
 
 
-def windows(text: Column, length: int) -> Column:
-    """At each start the next `length` characters, fewer towards the end; the array index is the start."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{length}}}))?."), F.lit(1))
+def pieces(text: Column, overlap: int) -> Column:
+    """The text in pieces of `PIECE` characters, each with the next `overlap` behind it; the array index times `PIECE` is the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PIECE + overlap}}})).{{1,{PIECE}}}"), F.lit(1))
 
 
 def _joined_hits(msgs: DataFrame, terms: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row per start, not one per start and term length; the beginnings of terms leave few of them."""
+    """One pass over the text and one row per start and length of a beginning; the beginnings of terms leave few of them."""
     usable = terms.select("term").filter(F.col("term") != "").distinct()
     # One row per distinct term length: bounded by the longest term.
     lengths = sorted(r["n"] for r in collect_bounded(
         usable.select(F.length("term").alias("n")).distinct(), "term lengths"))
     if not lengths:
         return msgs.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0).alias("start"))
-    small = broadcast_if_small(usable)
-    found = []
-    for some in ([n for n in lengths if n < HEAD_CHARS], [n for n in lengths if n >= HEAD_CHARS]):
-        if not some:
-            continue
-        starts = msgs.select(*keys, F.posexplode(windows(F.col(text), some[-1])).alias("start", "_cut"))
-        if some[0] < HEAD_CHARS:
-            sized = starts.withColumn("_n", F.explode(F.array(*map(F.lit, some))))
-        else:
-            heads = usable.filter(F.length("term") >= HEAD_CHARS).groupBy(F.substring("term", 1, HEAD_CHARS).alias("_head")).agg(
-                F.collect_set(F.length("term")).alias("_sizes"))
-            sized = (starts.withColumn("_head", F.substring("_cut", 1, HEAD_CHARS)).join(broadcast_if_small(heads), "_head")
-                     .withColumn("_n", F.explode("_sizes")))
-        cut = sized.filter(F.length("_cut") >= F.col("_n")).withColumn("term", F.substring(F.col("_cut"), F.lit(1), F.col("_n")))
-        found.append(cut.select(*keys, "term", "start").join(small, "term").select(*keys, "term", "start"))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    # a term shorter than HEAD_CHARS is its own beginning
+    heads = usable.groupBy(F.substring("term", 1, HEAD_CHARS).alias("_head")).agg(F.collect_set(F.length("term")).alias("_sizes"))
+    begun = sorted({min(n, HEAD_CHARS) for n in lengths})
+    cut = msgs.select(*keys, F.posexplode(pieces(F.col(text), lengths[-1] - 1)).alias("_piece", "_chars")).withColumn("_here", F.length("_chars"))
+    at = F.col("_at") + 1
+    starts = cut.withColumn("_at", F.explode(F.array(*map(F.lit, range(PIECE))))).filter(F.col("_at") + begun[0] <= F.col("_here"))
+    starts = starts.withColumn("_head", F.substring(F.col("_chars"), at, F.lit(begun[0]))).withColumn("_n", F.lit(begun[0]))
+    if len(begun) > 1:  # the shortest beginnings go first, so that few starts are tried with the longer ones
+        shortest = usable.select(F.substring("term", 1, begun[0]).alias("_head")).distinct()
+        starts = starts.join(broadcast_if_small(shortest), "_head").withColumn("_n", F.explode(F.array(*map(F.lit, begun))))
+        starts = starts.withColumn("_head", F.substring(F.col("_chars"), at, F.col("_n")))
+    met = starts.filter(F.col("_at") + F.col("_n") <= F.col("_here")).select(
+        *keys, (F.col("_piece") * PIECE + F.col("_at")).alias("start"), F.substring(F.col("_chars"), at, F.lit(lengths[-1])).alias("_cut"), "_head")
+    met = met.join(broadcast_if_small(heads), "_head").withColumn("_n", F.explode("_sizes"))
+    whole = met.filter(F.length("_cut") >= F.col("_n")).withColumn("term", F.substring(F.col("_cut"), F.lit(1), F.col("_n")))
+    return whole.select(*keys, "term", "start").join(broadcast_if_small(usable), "term").select(*keys, "term", "start")
 
 
 def match_all(

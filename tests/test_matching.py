@@ -92,3 +92,14 @@ def test_matches_in_one_pass_over_the_text(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(reader) == 1, plan
         assert sorted((r["term"], r["start"]) for r in out.collect()) == brute("xthexthenxtherexx", ["the", "then", "there", "x"])
+
+
+def test_matches_meet_across_pieces(spark):
+    """Terms that lie across the pieces a text is cut into, at its very end, and terms longer than a piece or than the text."""
+    text = "😀b" * 40 + "tail"
+    terms = ["b😀", "😀", "😀b" * 17, "btail", "tail", "ail", "l", "tails", "😀b" * 60]
+    msgs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, norm_text string")
+    tf = spark.createDataFrame([(t,) for t in terms], "term string")
+    for strategy in ("auto", "join"):
+        got = sorted((r["term"], r["start"]) for r in M.match_all(msgs, tf, ["id"], strategy=strategy).collect())
+        assert got == brute(text, terms)
