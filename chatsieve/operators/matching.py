@@ -122,7 +122,7 @@ def fuzzy_match(
     exact = _literal_terms(request_terms, strategy)
     if exact is None:
         hit = _joined_hits(msgs, request_terms, keys, text).select(*keys).distinct()
-        unmatched = msgs.select(*keys, text).join(hit, keys, "left_anti").filter(F.col(text).isNotNull())
+        unmatched = msgs.select(*keys, text).join(hit, keys, "left_anti")
     else:
         unmatched = msgs.select(*keys, text).filter(~M.occurs(F.col(text), exact))
     if _literal_terms(intent_terms, strategy) is None:
@@ -148,9 +148,12 @@ def _joined_fuzzy(unmatched: DataFrame, terms: DataFrame, keys: list[str], text:
     last = F.col("i") == F.col("edits")
     pieces = first.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn(
         "piece", F.substring(F.col("term"), F.col("i") * step + 1, F.when(last, F.length("term")).otherwise(step))).filter(F.col("piece") != "")
-    # Both are bounded by the longest term.
-    words = sorted(r["words"] for r in collect_bounded(first.select("words").distinct(), "word counts of terms"))
-    sizes = sorted(r["n"] for r in collect_bounded(pieces.select(F.length("piece").alias("n")).distinct(), "piece lengths"))
+    # A piece keeps its place but for the edits before it. Word counts and sizes are bounded by the longest term.
+    place, size = F.col("i") * step, F.length("term")
+    spots = [tuple(r) for r in collect_bounded(pieces.groupBy("words", F.length("piece").alias("n")).agg(
+        F.greatest(F.lit(0), F.min(place - F.col("edits"))), F.max(place + F.col("edits")),
+        F.min(size - F.col("edits")), F.max(size + F.col("edits"))), "sizes of pieces")]
+    words = sorted({r[0] for r in spots})
     if not words:
         return unmatched.limit(0).select(*keys, F.lit("").alias("term"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("weight"), F.lit(0).alias("start"))
     cut = unmatched.withColumn("_words", F.split(text, " "))
@@ -158,15 +161,17 @@ def _joined_fuzzy(unmatched: DataFrame, terms: DataFrame, keys: list[str], text:
     def cut_in(n: int) -> Column:
         return F.transform(M.word_windows(F.col("_words"), n), lambda w: F.struct(F.lit(n).alias("words"), w.alias("window")))
 
-    def parts_of(n: int) -> Column:
-        all_ = F.transform(F.sequence(F.lit(1), F.length("window") - (n - 1)), lambda i: F.substring(F.col("window"), i, F.lit(n)))
-        return F.when(F.length("window") >= n, all_).otherwise(F.array().cast("array<string>"))
-
     each = F.explode(F.flatten(F.array(*map(cut_in, words)))).alias("w")
     held = cut.select(*keys, each).select(*keys, "w.words", "w.window")
     distinct = held.select("words", "window").distinct()
-    parts = F.array_distinct(F.flatten(F.array(*map(parts_of, sizes))))
-    near = distinct.withColumn("piece", F.explode(parts)).join(pieces.select("words", "piece", "term", "edits").distinct(), ["words", "piece"]).filter(
+    names = ("words", "n", "first", "last", "least", "most")
+    spot = F.explode(F.array(*[F.struct(*[F.lit(int(x)).alias(c) for x, c in zip(r, names, strict=True)]) for r in sorted(spots)]))
+    some = distinct.withColumn("_s", spot).filter(
+        (F.col("_s.words") == F.col("words")) & F.length("window").between(F.col("_s.least"), F.col("_s.most")) & (F.length("window") >= F.col("_s.n") + F.col("_s.first")))
+    until = F.least(F.col("_s.last"), F.length("window") - F.col("_s.n"))
+    parts = some.withColumn("_at", F.explode(F.sequence(F.col("_s.first"), until))).select(
+        "words", "window", F.substring(F.col("window"), F.col("_at") + 1, F.col("_s.n")).alias("piece"))
+    near = parts.join(pieces.select("words", "piece", "term", "edits").distinct(), ["words", "piece"]).filter(
         F.abs(F.length("window") - F.length("term")) <= F.col("edits")).select("words", "window", "term", "edits").distinct()
     distance = F.nullif(F.call_function("levenshtein", F.col("window"), F.col("term"), F.col("edits")), F.lit(-1))
     scored = near.withColumn("similarity", F.lit(100.0) * (1 - distance / F.greatest(F.length("window"), F.length("term")))).filter(
