@@ -359,6 +359,19 @@ def _mixed_pairs(blocks: DataFrame, grouped: DataFrame, nodes: DataFrame, percen
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_tree_pairs(percent, nearest_only), "a long, b long").distinct()
 
 
+def _second_pivots(apart_from_pivot: DataFrame, first: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each node b the pivot a of most of its blocks, of those in other components than b and not yet compared in `first`.
+
+    One pair for a node at most, so that their number grows with the nodes, not with the members of their blocks.
+    """
+    met = apart_from_pivot.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    for end in ("a", "b"):
+        met = met.join(own.toDF(end, f"of_{end}"), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    # a pair whose ends are together by now needs no comparison, nor does one that was compared
+    left = met.where("of_a <> of_b").join(first.select("b", F.col("a").alias("compared")), "b").where("a <> compared")
+    return left.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_rows: int = 512,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included).
@@ -369,8 +382,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_row
        hold, are ranked last (the order decides cost alone, never the result).
     2. Similar sets share a key among the first of each in that order; these keys make blocks, those of equal members one. Which keys are shared is a minimum and a
        maximum per key, so a key in all documents is no load on one task.
-    3. Each node is compared with the first node of all its blocks; then, where that leaves them in different components, with the first node
-       of each block. Most near copies are linked by now.
+    3. Each node is compared with the first node of all its blocks; then with the first node of most of its blocks among those that are still in
+       different components. Most near copies are linked by now.
     4. Blocks that hold more than one component get signature trees: dual traversal finds pairs across components whose bitmaps and sizes
        allow the similarity; these are compared exactly. Blocks beyond `block_rows` are cut into parts, and all pairs of parts compared.
        First each node's likeliest pair of a block, then all pairs that this leaves in different components.
@@ -398,11 +411,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_row
     near = staged(_plausible(first, nodes, percent))
     links = staged(_verified(near, plain, nodes, n, percent))
     own = components(links)
-    others = apart_from_pivot.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    for end in ("a", "b"):
-        others = others.join(own.toDF(end, f"of_{end}"), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    # a pair whose ends are together by now needs no comparison, nor does one that was compared
-    apart = others.where("of_a <> of_b").select("a", "b").join(first, ["a", "b"], "left_anti")
+    apart = _second_pivots(apart_from_pivot, first, own)
     rest = staged(_plausible(apart, nodes, percent))
     links = staged(links.unionByName(_verified(rest, plain, nodes, n, percent)))
     near = near.unionByName(rest)

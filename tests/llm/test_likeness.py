@@ -52,6 +52,16 @@ def test_jaccard_of_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11]
 
 
+def test_second_pivots_are_one_for_a_node(spark):
+    """However many blocks a node has, and however many first nodes these have."""
+    rows = [(100 * b + p, p, b) for b in (50, 51) for p in range(10)] + [(9000, 4, 50), (9001, 0, 51), (9002, 0, 51), (9003, 3, 52)]
+    blocks = spark.createDataFrame(rows, "shingle long, pivot long, node long")
+    first = spark.createDataFrame([(0, 50), (0, 51), (3, 52)], "a long, b long")
+    own = spark.createDataFrame([(51, 9), (9, 9)], "node long, component long")
+    got = {tuple(r) for r in jaccard._second_pivots(blocks, first, own).collect()}
+    assert got == {(4, 50), (8, 51)}  # 4: of two blocks; 9 is linked to 51, 0 was compared; 52 has no other
+
+
 def test_signature_tree_loses_no_pair():
     draw = np.random.default_rng(4)
     base = [draw.integers(-2**62, 2**62, draw.integers(1, 300)) for _ in range(30)]
