@@ -141,8 +141,9 @@ def _features_of(plain: DataFrame) -> np.ndarray:
         for pdf in batches:
             yield pd.DataFrame({"x": list(features(pdf["text"]).astype(np.float32))})
 
-    got = plain.select("text").mapInPandas(rows, "x array<float>").toPandas()["x"]
-    return np.array(got.tolist(), np.float64).reshape(len(got), N_FEATURES)
+    got = plain.select("text").mapInPandas(rows, "x array<float>").toArrow().column("x")
+    # a matrix from Arrow's own buffers: as Python's numbers, rows would take the driver several times their size
+    return np.concatenate([np.empty(0, np.float32), *(x.flatten().to_numpy() for x in got.chunks)]).astype(np.float64).reshape(len(got), N_FEATURES)
 
 
 def quality_score(model: QualityModel, text: Column) -> Column:

@@ -93,6 +93,17 @@ def test_classifier_tells_held_out_texts_apart(spark):
     assert 0.6 < model.prior < 0.95
 
 
+def test_samples_reach_the_driver_as_one_matrix(spark, monkeypatch):
+    """Not as rows of Python's numbers, which take several times the memory."""
+    texts = ["One two. Three!", "", "a b c\n" * 50, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(type(df), "toPandas", None)
+    monkeypatch.setattr(type(df), "collect", None)
+    got = quality._features_of(df)
+    assert got.dtype == np.float64 and np.array_equal(got, quality.features(texts).astype(np.float32).astype(np.float64))
+    assert quality._features_of(df.where("doc_id > 9")).shape == (0, quality.N_FEATURES)
+
+
 def test_risk_does_not_go_below_zero():
     draw = np.random.default_rng(1)
     p, n = draw.normal(1, 1, (300, 3)), draw.normal(-1, 1, (300, 3))
