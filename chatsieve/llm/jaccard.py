@@ -417,8 +417,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_row
     near = near.unionByName(rest)
 
     for nearest_only in (True, False):
-        pairs = staged(_mixed_pairs(blocks, components(links), nodes, percent, block_rows, nearest_only)
-                       .join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        # staged, as the join would else be put before the distinct and meet a pair once for each of its blocks
+        found = staged(_mixed_pairs(blocks, components(links), nodes, percent, block_rows, nearest_only))
+        pairs = staged(found.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         links = staged(links.unionByName(_verified(pairs, plain, nodes, n, percent)))
         near = near.unionByName(pairs)
     grouped = staged(components(links))
