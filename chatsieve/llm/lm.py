@@ -338,12 +338,13 @@ def _chance(x: np.ndarray) -> np.ndarray:
 
 
 def train_log_bilinear(docs: DataFrame, counts: CorpusCounts, vocabulary: int = 1024, id_col: str = "doc_id", text_col: str = "text", dim: int = 16,
-                       rounds: int | None = None, batch_size: int = 8192, seed: int = 5) -> TwoWords:
+                       rounds: int = 1, batch_size: int = 8192, seed: int = 5) -> TwoWords:
     """Every word of every text is learned, as target and as either context word.
 
     Start: how often each outcome (vocabulary // 4 words and as many groups) follows each other over all texts, fitted whole on the driver;
-    every number begins with the vector of its outcome. Then `rounds` rounds of noise-contrastive steps over all texts, each task for itself;
-    after a round a row is the mean over the tasks that met it, by how often. rounds: 1, or more (up to 8) below 16 million tokens.
+    every number begins with the vector of its outcome, moved a little at random, so that contexts of one outcome can be told apart from the first step
+    on. Then `rounds` rounds of noise-contrastive steps over all texts, as many for every size of the corpus, each task for itself; after a round a row
+    is the mean over the tasks that met it, by how often.
     A task and the driver hold the tables: 50 numbers of 4 bytes for each word of the head and each bucket, and the buckets grow with the square root
     of the words.
     """
@@ -386,11 +387,12 @@ def train_log_bilinear(docs: DataFrame, counts: CorpusCounts, vocabulary: int =
     start = fit_log_bilinear(pairs.reshape(outcomes, outcomes), dim, seed=seed)
     outcome = words.outcomes(np.arange(n))
     _, inner = words.unigram()
-    tables = [(start.before @ start.mapped)[outcome], np.zeros((n, dim)), np.concatenate((start.word, start.bias[:, None]), 1),
+    apart = 0.25 * np.random.default_rng(seed).standard_normal((2, n, dim))
+    tables = [(start.before @ start.mapped)[outcome] + apart[0], apart[1], np.concatenate((start.word, start.bias[:, None]), 1),
               np.concatenate((np.zeros((n, dim)), np.log(inner)[:, None]), 1)]
     model = TwoWords(words, tuple(np.ascontiguousarray(t, np.float32) for t in tables))
     names = [f"v{j}" for j in range(dim + 1)]
-    for r in range(rounds if rounds is not None else int(np.clip(16_000_000 // max(1, counts.tokens), 1, 8))):
+    for r in range(rounds):
         def learn(batches: Iterator[pa.RecordBatch], model: TwoWords = model, r: int = r) -> Iterator[pa.RecordBatch]:
             trainer = _Trainer(model, (seed, r, TaskContext.get().partitionId()), rate=0.2 / (1 + r))
             for one, two, mine in chunks(batches, 200_000):

@@ -1,6 +1,7 @@
 """Language model, quality classifier, surrogates, pipeline."""
 
 import collections
+import dataclasses
 import math
 import re
 import zlib
@@ -69,6 +70,15 @@ def test_rare_words_are_told_apart_by_the_two_words_before(spark):
     assert math.isclose(chances.sum(), 1.0, rel_tol=1e-4)
 
 
+def test_rounds_are_the_same_for_every_size(spark, monkeypatch):
+    """A corpus that counts as a large one is trained as a small one is."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(prose(40))], "doc_id long, text string").coalesce(1)
+    counts = lm.corpus_counts(df)
+    few = lm.train_log_bilinear(df, counts, vocabulary=16)
+    many = lm.train_log_bilinear(df, dataclasses.replace(counts, tokens=20_000_000), vocabulary=16)
+    assert all(np.array_equal(x, y) for x, y in zip(few.tables, many.tables, strict=True))
+
+
 def test_lm_of_odd_rows(spark):
     rows = lm.score_texts(odd(spark), *lm.trained(odd(spark), vocabulary=16)).collect()
     assert len(rows) == len(ODD) and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
