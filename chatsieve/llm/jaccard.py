@@ -20,6 +20,8 @@ SIGNATURE_BITS = 1024
 BUCKETS, PARTS = 1 << 20, 64
 #: Blocks of up to so many rows are compared pair by pair.
 FEW = 8
+#: So many of a node's keys go with it into each of its blocks.
+KEPT_KEYS = 16
 _M1, _M2, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -283,12 +285,29 @@ def nearest(i: np.ndarray, j: np.ndarray, likeness: np.ndarray) -> np.ndarray:
     return np.unique(pair[first])
 
 
+def elsewhere(keys: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of a pair (i, j) share one of their `keys` (a matrix) that is below `own`, the key of the block they meet in."""
+    out = np.empty(len(i), bool)
+    for begin in range(0, len(i), 20_000):
+        a, b = i[begin:begin + 20_000], j[begin:begin + 20_000]
+        x = keys[a]
+        met = (x[:, :, None] == keys[b][:, None, :]).any(2)
+        out[begin:begin + 20_000] = (met & (x < own[a][:, None])).any(1)
+    return out
+
+
 def _tree_pairs(percent: int, nearest_only: bool):
-    """Sorted rows (block, node, n_shingles, bitmap, component): candidate pairs of each block, by its signature tree, then by whole bitmaps;
-    with `nearest_only`, for each node the likeliest one of its block."""
+    """Sorted rows (block, shingle, part, crossed, keys, node, n_shingles, bitmap, component): candidate pairs of each block, by its signature tree,
+    then by whole bitmaps; with `nearest_only`, for each node the likeliest one of its block.
+
+    keys: the least `KEPT_KEYS` of the node's blocks. Pairs are made where their least common one is the block's, so not once for each block that
+    they share; those whose least common one isn't among both lists are made in each. crossed: of the pairs of two parts, those of one part aside,
+    as these meet in the part's own block.
+    """
     def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         block = rows.column("block").to_numpy()
-        node, size, own = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
+        node, size, own, shingle, part, crossed = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "component", "shingle", "part", "crossed"))
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rows), KEPT_KEYS)
         bitmaps = rows.column("bitmap").to_pylist()
         bits = np.stack([folded(x, SIGNATURE_BITS) for x in bitmaps])
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
@@ -298,11 +317,15 @@ def _tree_pairs(percent: int, nearest_only: bool):
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             if not len(i):
                 return
+            here = ~crossed[i] | (part[i] != part[j])
+            i, j = i[here], j[here]
             most = greatest_overlaps(bitmaps, size, i, j)
             allowed = np.flatnonzero(most >= needed(size[i], size[j], percent))
             if nearest_only:
                 allowed = allowed[nearest(i[allowed], j[allowed], most[allowed] / (size[i] + size[j] - most)[allowed])]
             i, j = i[allowed], j[allowed]
+            here = ~elsewhere(keys, shingle, i, j)
+            i, j = i[here], j[here]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             found.update(dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)))
 
@@ -353,9 +376,12 @@ def _mixed_pairs(blocks: DataFrame, grouped: DataFrame, nodes: DataFrame, percen
     rows = labelled.join(mixed.select("shingle", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")), "shingle")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    none = F.array_repeat(F.lit((1 << 63) - 1), KEPT_KEYS)
+    keys = rows.groupBy("node").agg(F.slice(F.concat(F.array_sort(F.collect_list("shingle")), none), 1, KEPT_KEYS).alias("keys"))
     rows = (rows.select("shingle", "node", "component", part.alias("part"), other.alias("other"))
             .withColumn("block", F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")))
-            .join(nodes.select("node", "n_shingles", "bitmap"), "node").select("block", "node", "n_shingles", "bitmap", "component"))
+            .join(keys, "node").join(nodes.select("node", "n_shingles", "bitmap"), "node")
+            .select("block", "shingle", "part", (F.col("part") != F.col("other")).alias("crossed"), "keys", "node", "n_shingles", "bitmap", "component"))
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_tree_pairs(percent, nearest_only), "a long, b long").distinct()
 
 
@@ -386,7 +412,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_row
        different components. Most near copies are linked by now.
     4. Blocks that hold more than one component get signature trees: dual traversal finds pairs across components whose bitmaps and sizes
        allow the similarity; these are compared exactly. Blocks beyond `block_rows` are cut into parts, and all pairs of parts compared.
-       First each node's likeliest pair of a block, then all pairs that this leaves in different components.
+       First each node's likeliest pair of a block, then all pairs that this leaves in different components. A pair is made in the first of
+       the blocks that both are in, as far as the keys that a node brings along tell.
     Pairs inside one component need no comparison, as they can't change it. So no link that matters is lost, and none is assumed.
 
     Null or empty text, or white space alone: n_shingles 0, linked with nothing. Null doc_id: takes part, gets the smallest known id of its

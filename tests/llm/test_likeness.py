@@ -62,6 +62,31 @@ def test_second_pivots_are_one_for_a_node(spark):
     assert got == {(4, 50), (8, 51)}  # 4: of two blocks; 9 is linked to 51, 0 was compared; 52 has no other
 
 
+def test_a_pair_is_made_in_one_of_its_blocks(spark, monkeypatch):
+    """Texts that share many keys, but are too different to link, meet once, not in each block; also where blocks are cut into parts."""
+    draw = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(400)]
+    rows = []
+    for d in range(12):
+        own = common.copy()
+        for at in draw.choice(400, 5, replace=False):
+            own[at] = f"d{d}x{at}"
+        rows.append((d, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, plain = [], type(df).mapInArrow
+
+    def seen(self, func, schema, *more, **named):
+        out = plain(self, func, schema, *more, **named)
+        if "block" in self.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", seen)
+    got = jaccard.jaccard_components(df, 5, 80, block_rows=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(brute([t for _, t in rows], 5, 80)[1]))
+    assert len(made) == 2 and 0 < max(made) <= 12 * 11 // 2
+
+
 def test_signature_tree_loses_no_pair():
     draw = np.random.default_rng(4)
     base = [draw.integers(-2**62, 2**62, draw.integers(1, 300)) for _ in range(30)]
