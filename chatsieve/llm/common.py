@@ -22,11 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/chatsieve-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in a shared folder and read back: its lineage is cut and lost executors cost no recomputation."""
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """`df` written as Parquet in a shared folder and read back: its lineage is cut and lost executors cost no recomputation. compression: by a codec
+    other than the session's."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -225,10 +225,17 @@ class TwoWords:
 def _wide(before: np.ndarray, earlier: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Features of the contexts, and a one for the bias."""
     wide = np.ones((len(one), before.shape[1] + 1), np.float32)
-    np.add(before[one], earlier[two], out=wide[:, :-1])
+    np.add(before.take(one, 0), earlier.take(two, 0), out=wide[:, :-1])
     return wide
 
 
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of the rows, and the rows in it; by one sort of whole numbers that hold both, which takes less than sorting places."""
+    bits = len(rows).bit_length()
+    both = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def _short(numbers: np.ndarray) -> np.ndarray:
     """In 16 bits where they fit, as these sort in linear time."""
     return numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers
@@ -242,20 +249,22 @@ def _by_group(numbers: np.ndarray, outcome: np.ndarray, own: int) -> tuple[np.nd
     return order, np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))).tolist() if len(order) else []
 
 
-def _log_chances(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray, rows: int = 1024) -> np.ndarray:
-    """Log of the chosen members' softmax; blocks of rows, so that a block's scores stay near the processor."""
+def _log_chances(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray, rows: int = 512) -> np.ndarray:
+    """Log of the chosen members' softmax; blocks of rows in one buffer, so that a block's scores stay near the processor."""
     if len(table) == 1:
         return np.zeros(len(wide))
     out, turned, ones = np.empty(len(wide)), np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
+    room = np.empty((min(rows, len(wide)), len(table)), np.float32)
     for i in range(0, len(wide), rows):
-        s = wide[i:i + rows] @ turned
+        s = np.matmul(wide[i:i + rows], turned, out=room[:len(wide) - i])
         top = s.max()
         if top > 60 or s.min() < -60:  # else neither overflows nor vanishes
             s -= s.max(1, keepdims=True)
         at = s[np.arange(len(s)), chosen[i:i + rows]].astype(np.float64)
         np.exp(s, out=s)
-        out[i:i + rows] = np.minimum(0.0, at - np.log((s @ ones).astype(np.float64)))  # rounding may pass 1
-    return out
+        out[i:i + rows] = at
+        out[i:i + rows] -= np.log((s @ ones).astype(np.float64))
+    return np.minimum(0.0, out)  # rounding may pass 1
 
 
 class _Trainer:
@@ -277,11 +286,10 @@ class _Trainer:
         self.within = np.cumsum(inner[self.members])
 
     def _change(self, k: int, rows: np.ndarray, gradient: np.ndarray, seen: bool = True) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
+        order, ordered = _sorted(rows)
         begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         some = ordered[begin]
-        g = np.add.reduceat(gradient[order], begin, axis=0)
+        g = np.add.reduceat(gradient.take(order, 0), begin, axis=0)
         self.scale[k][some] += (g * g).mean(1)
         self.tables[k][some] -= self.rate * g / np.sqrt(self.scale[k][some])[:, None]
         if seen:
@@ -293,15 +301,20 @@ class _Trainer:
         wide = _wide(before, earlier, one, two)
         outcome = self.words.outcomes(numbers)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.draw.random(self.shared)), len(self.cumulated) - 1)
-        data = _chance((wide * first[outcome]).sum(1) - np.log(self.noise * self.share[outcome])) - 1
-        noise = _chance(wide @ first[drawn].T - np.log(self.noise * self.share[drawn])) * np.float32(self.noise / self.shared)
-        back = data[:, None] * first[outcome, :-1] + noise @ first[drawn, :-1]
-        changes = [(2, _short(outcome), data[:, None] * wide, True), (2, drawn, noise.T @ wide, False)]
+        mine = first.take(outcome, 0)
+        data = _chance(np.einsum("ij,ij->i", wide, mine) - np.log(self.noise * self.share[outcome])) - 1
+        turned, noise = first[drawn].T.copy(), np.empty((len(wide), self.shared), np.float32)
+        turned[-1] -= np.log(self.noise * self.share[drawn])  # times one
+        for i in range(0, len(wide), 1024):  # short blocks stay near the processor
+            _chance(np.matmul(wide[i:i + 1024], turned, out=noise[i:i + 1024]))
+        noise *= np.float32(self.noise / self.shared)
+        back = data[:, None] * mine[:, :-1] + noise @ first[drawn, :-1]
+        changes = [(2, outcome, data[:, None] * wide, True), (2, drawn, noise.T @ wide, False)]
         order, cuts = _by_group(numbers, outcome, self.words.own)
         if len(order):
-            w, x = numbers[order], wide[order]
-            mine = within[w]
-            data = _chance((x * mine).sum(1) - np.log(self.own_noise * self.inner[w])) - 1
+            w, x = numbers[order], wide.take(order, 0)
+            mine = within.take(w, 0)
+            data = _chance(np.einsum("ij,ij->i", x, mine) - np.log(self.own_noise * self.inner[w])) - 1
             mine *= data[:, None]
             groups = outcome[order[cuts[:-1]]] - self.words.own
             low = np.where(self.starts[groups] > 0, self.within[self.starts[groups] - 1], 0.0)
@@ -357,7 +370,7 @@ def train_log_bilinear(docs: DataFrame, counts: CorpusCounts, vocabulary: int =
             yield pa.RecordBatch.from_arrays([pa.array([words.numbers(places(t)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()],
                                                        pa.binary())], names=["numbers"])
 
-    numbered = staged(texts(docs, id_col, text_col).mapInArrow(number, "numbers binary"))
+    numbered = staged(texts(docs, id_col, text_col).mapInArrow(number, "numbers binary"), "zstd")
     last = int(words.numbers(_Places(words.head)(None))[0])
 
     def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -460,7 +473,7 @@ def score_texts(docs: DataFrame, counts: CorpusCounts, model: TwoWords, id_col:
             rows.append((part << 40 | made + i, doc_id, len(at), len(common), log_counts[common].sum(), sums[i], rare, times.astype(np.int32)))
         return _scored(rows)
 
-    rows = staged(texts(docs, id_col, text_col).mapInArrow(score, _SCORED))
+    rows = staged(texts(docs, id_col, text_col).mapInArrow(score, _SCORED), "zstd")
     rare = (rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
             .join(_beyond(counts), "word")
             .groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("log_rare"), F.sum("k").alias("known_rare")))

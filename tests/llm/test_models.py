@@ -79,6 +79,14 @@ def test_rounds_are_the_same_for_every_size(spark, monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(few.tables, many.tables, strict=True))
 
 
+def test_places_sorted_by_rows():
+    """As a stable argsort gives them."""
+    draw = np.random.default_rng(2)
+    for rows in (draw.integers(0, 1 << 30, 3000), draw.integers(0, 9, 8192), np.zeros(1, np.int64)):
+        order, ordered = lm._sorted(rows)
+        assert np.array_equal(order, np.argsort(rows, kind="stable")) and np.array_equal(ordered, rows[order])
+
+
 def test_lm_of_odd_rows(spark):
     rows = lm.score_texts(odd(spark), *lm.trained(odd(spark), vocabulary=16)).collect()
     assert len(rows) == len(ODD) and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
