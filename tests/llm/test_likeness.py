@@ -18,6 +18,25 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_over_few_links_take_one_task(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 107), (107, 103)], "a long, b long").coalesce(1)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tracker, got, tasks = spark.sparkContext.statusTracker(), [], []
+    try:
+        for few in (graph.FEW_LINKS, 0):
+            monkeypatch.setattr(graph, "FEW_LINKS", few)
+            spark.sparkContext.setJobGroup(f"links-{few}", "")
+            got.append(sorted(map(tuple, graph.components(links).collect())))
+            stages = {s for job in tracker.getJobIdsForGroup(f"links-{few}") for s in tracker.getJobInfo(job).stageIds}
+            tasks.append(sum(info.numTasks for info in map(tracker.getStageInfo, stages) if info))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got[0] == got[1] == [(i, 0) for i in range(41)] + [(100, 100), (103, 100), (107, 100)]
+    assert tasks[0] < tasks[1] / 2
+
+
 def sets(texts, n):
     out = []
     for t in texts:
