@@ -18,6 +18,8 @@ from chatsieve.llm.common import crc_of_id, small_batches, staged, texts
 #: Stands for the end of a text; no word holds a line end.
 END = b"\n"
 _KEPT_WORDS = 500_000
+#: Products of the exponentials of two parts up to so far from zero, and sums of some thousand, neither overflow nor vanish in single precision.
+FAR = 40.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -214,7 +216,10 @@ class TwoWords:
         own, groups = self.words.own, self.words.groups
         wide = _wide(before, earlier, one, two)
         outcome = self.words.outcomes(numbers)
-        out = _log_chances(wide, first, outcome)
+        out = np.einsum("ij,ij->i", wide, first.take(outcome, 0)).astype(np.float64) - _log_normals(before, earlier, first, one, two)
+        far = np.flatnonzero(np.isnan(out))
+        out[far] = _log_chances(wide[far], first, outcome[far])
+        out = np.minimum(0.0, out)  # rounding may pass 1
         order, cuts = _by_group(numbers, outcome, own)
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
             mine = order[begin:end]
@@ -249,6 +254,40 @@ def _by_group(numbers: np.ndarray, outcome: np.ndarray, own: int) -> tuple[np.nd
     return order, np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))).tolist() if len(order) else []
 
 
+def _placed(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of `rows` (numbers below n), ascending, and the place of each row among them."""
+    met, at = np.zeros(n, bool), np.empty(n, np.intp)
+    met[rows] = True
+    some = np.flatnonzero(met)
+    at[some] = np.arange(len(some))
+    return some, at.take(rows)
+
+
+def _log_normals(before: np.ndarray, earlier: np.ndarray, table: np.ndarray, one: np.ndarray, two: np.ndarray, width: int = 64,
+                 rows: int = 2048) -> np.ndarray:
+    """Log of the sum of exp(score) over all outcomes of each context.
+
+    A score is a part by the word before plus a part by the one before that. So exponentials are taken once for each distinct word, and a context
+    sums their products; `width` outcomes at a time, which bounds memory. NaN where a part is beyond `FAR`.
+    """
+    words, places = zip(_placed(one, len(before)), _placed(two, len(earlier)), strict=True)
+    vectors, far = [before[words[0]], earlier[words[1]]], [np.zeros(len(w), bool) for w in words]
+    sums = np.zeros(len(one))
+    for k in range(0, len(table), width):
+        some = np.ascontiguousarray(table[k:k + width].T)
+        parts = [v @ some[:-1] for v in vectors]
+        parts[0] += some[-1]
+        for part, beyond in zip(parts, far, strict=True):
+            if not (part.max() <= FAR and part.min() >= -FAR):
+                beyond |= ~(np.abs(part).max(1) <= FAR)
+                np.clip(part, -FAR, FAR, out=part)
+            np.exp(part, out=part)
+        for i in range(0, len(one), rows):
+            sums[i:i + rows] += np.einsum("ij,ij->i", parts[0].take(places[0][i:i + rows], 0), parts[1].take(places[1][i:i + rows], 0))
+    sums[far[0][places[0]] | far[1][places[1]]] = np.nan
+    return np.log(sums)
+
+
 def _log_chances(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray, rows: int = 512) -> np.ndarray:
     """Log of the chosen members' softmax; blocks of rows in one buffer, so that a block's scores stay near the processor."""
     if len(table) == 1:
@@ -305,8 +344,9 @@ class _Trainer:
         data = _chance(np.einsum("ij,ij->i", wide, mine) - np.log(self.noise * self.share[outcome])) - 1
         turned, noise = first[drawn].T.copy(), np.empty((len(wide), self.shared), np.float32)
         turned[-1] -= np.log(self.noise * self.share[drawn])  # times one
+        np.negative(turned, out=turned)
         for i in range(0, len(wide), 1024):  # short blocks stay near the processor
-            _chance(np.matmul(wide[i:i + 1024], turned, out=noise[i:i + 1024]))
+            _chance_against(np.matmul(wide[i:i + 1024], turned, out=noise[i:i + 1024]))
         noise *= np.float32(self.noise / self.shared)
         back = data[:, None] * mine[:, :-1] + noise @ first[drawn, :-1]
         changes = [(2, outcome, data[:, None] * wide, True), (2, drawn, noise.T @ wide, False)]
@@ -321,10 +361,14 @@ class _Trainer:
             at = low[:, None] + self.draw.random((len(groups), self.own_noise)) * (self.within[self.starts[groups + 1] - 1] - low)[:, None]
             z = self.members[np.clip(np.searchsorted(self.within, at), self.starts[groups][:, None], self.starts[groups + 1][:, None] - 1)]
             shift, drawn_rows, met = np.log(self.own_noise * self.inner[z]), within[z], np.empty((*z.shape, x.shape[1]), np.float32)
-            for i, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                chance = _chance(x[begin:end] @ drawn_rows[i].T - shift[i])
-                mine[begin:end] += chance @ drawn_rows[i]
-                met[i] = chance.T @ x[begin:end]
+            spans, chance = list(zip(range(len(z)), cuts[:-1], cuts[1:], strict=True)), np.empty((len(x), self.own_noise), np.float32)
+            for i, begin, end in spans:
+                np.matmul(x[begin:end], drawn_rows[i].T, out=chance[begin:end])
+            chance -= np.repeat(shift, np.diff(cuts), 0)
+            _chance(chance)
+            for i, begin, end in spans:
+                mine[begin:end] += chance[begin:end] @ drawn_rows[i]
+                np.matmul(chance[begin:end].T, x[begin:end], out=met[i])
             back[order] += mine[:, :-1]
             changes += [(3, w, data[:, None] * x, True), (3, z.ravel(), met.reshape(-1, x.shape[1]), False)]
         for change in [*changes, (0, one, back, True), (1, two, back, True)]:
@@ -343,8 +387,12 @@ class _Trainer:
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
+    return _chance_against(np.negative(x, out=x))
+
+
+def _chance_against(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)); beyond -30 it is 1 in single precision by itself."""
+    np.minimum(x, 30, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)

@@ -220,3 +220,19 @@ def test_the_rest_runs_without(name):
     code = f"import sys; sys.modules[{name!r}] = None\nimport __spark_entry__ as e\nassert 'op3_packing' not in e.queries() or {name!r} == 'corpus_pipeline'\nassert 'pipeline' not in e.queries() and 'triage_messages' in e.queries(); e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_sums_over_outcomes_by_parts_are_those_over_whole_scores():
+    draw = np.random.default_rng(3)
+    one, two = draw.integers(0, 50, (2, 5000))
+    for size, far in ((0.3, False), (30.0, True)):
+        before, earlier = (size * draw.standard_normal((2, 50, 16))).astype(np.float32)
+        table = draw.standard_normal((130, 17)).astype(np.float32)
+        before[7] *= 100  # far beyond what single precision can hold
+        got = lm._log_normals(before, earlier, table, one, two, width=64, rows=999)
+        scores = (before[one] + earlier[two]).astype(np.float64) @ table[:, :-1].T + table[:, -1]
+        top = scores.max(1)
+        wanted = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        known = ~np.isnan(got)
+        assert not known[one == 7].any() and (far or known[one != 7].all())
+        assert np.allclose(got[known], wanted[known], atol=1e-4)
